@@ -37,25 +37,36 @@ def _power(name: str, base: int, count: int) -> np.ndarray:
     return held[:count]
 
 
+#: Stands behind a text while it is parsed (a value that is no character), so a run that reaches it is no phrase yet.
+END = "\udfff"
+
+
 def parse(text: str, seen: set[str], start: int, stop: int) -> tuple[list[int], int]:
-    """Ends of the phrases that end at or before stop, and where the one in progress begins. seen gets the phrases."""
+    """Ends of the phrases that end at or before stop, and where the one in progress begins. seen gets the phrases.
+    END has to stand in the text at stop or later."""
     ends: list[int] = []
     add, note, size = seen.add, ends.append, 1
     while start < stop:
-        end = min(start + size, stop)
-        if text[start:end] in seen:
-            while end < stop:
+        end = start + size
+        run = text[start:end]
+        if run in seen:
+            while run in seen:
                 end += 1
-                if text[start:end] not in seen:
-                    break
-            else:
-                break  # all that is left was a phrase before
+                run = text[start:end]
         else:
-            while end - 1 > start and text[start : end - 1] not in seen:
+            while size > 1:
+                shorter = text[start : end - 1]
+                if shorter in seen:
+                    break
+                run = shorter
                 end -= 1
-        add(text[start:end])
+                size -= 1
+        if end > stop:
+            break
+        add(run)
         note(end)
-        size, start = end - start, end
+        size = end - start
+        start = end
     return ends, start
 
 
@@ -99,7 +110,7 @@ def from_text(fingerprint: str) -> np.ndarray:
 
 def fingerprint(text: str) -> np.ndarray:
     """The sketch of a text. A phrase that the text's end cuts short counts too."""
-    ends, start = parse(text, set(), 0, len(text))
+    ends, start = parse(text + END, set(), 0, len(text))
     return _sketched(text, ends, start)
 
 
@@ -118,11 +129,11 @@ def both_fingerprints(text: str, following: str) -> tuple[np.ndarray, str, np.nd
     """The text's sketch, its edited text and that one's sketch. Up to the cut both are parsed once."""
     cut = len(text) - len(text) // 2
     seen: set[str] = set()
-    ends, start = parse(text, seen, 0, cut)
+    ends, start = parse(text + END, seen, 0, cut)
     edited = edited_text(text, following)
-    more, rest = parse(edited, set(seen), start, len(edited))
+    more, rest = parse(edited + END, set(seen), start, len(edited))
     of_edited = _sketched(edited, ends + more, rest)
-    more, rest = parse(text, seen, start, len(text))
+    more, rest = parse(text + END, seen, start, len(text))
     return _sketched(text, ends + more, rest), edited, of_edited
 
 
