@@ -1,10 +1,579 @@
-"""All queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators over the test tables, and the same in SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from sonara.config import StreamConfig, TranscribeConfig, VadConfig
+from sonara.functions import arrays, scores, text, times
+from sonara.operators import attempts, curves, evaluate, phrases, regions, spectral, tokens, words
+from sonara.plans import scoring, stub, transcribe
+from sonara.streaming import endpoint
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+ON, OFF = 60.0, 20.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Enters a function under its name, with its SQL if there is one."""
+
+    def enter(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return enter
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "event_type")
+
+
+# --- regions over the events of each user: a value is a score, a row's place is its time ---
+
+POSITIONS = """p AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"""
+REGIONS = f"""{POSITIONS}, a AS (
+  SELECT *, coalesce(last_value(CASE WHEN value >= {ON} THEN 1 WHEN value < {OFF} THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS active FROM p),
+b AS (SELECT *, CASE WHEN active = 1 AND lag(active, 1, 0) OVER (PARTITION BY user_id ORDER BY pos) = 0 THEN 1 ELSE 0 END AS rise FROM a),
+c AS (SELECT *, sum(rise) OVER (PARTITION BY user_id ORDER BY pos) AS region FROM b),
+r AS (SELECT user_id, CAST(region AS BIGINT) AS region, min(pos) AS first_pos, max(pos) + 1 AS end_pos, count(*) AS n, max(value) AS peak FROM c WHERE active = 1 GROUP BY ALL)"""
+
+
+def user_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.hysteresis_regions(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", ON, OFF)
+    return found.select("user_id", "region", F.col("first").alias("first_pos"), (F.col("last") + 1).alias("end_pos"), "n", "peak")
+
+
+def user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return events(spark, sf_dir).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+@query(f"WITH {REGIONS} SELECT * FROM r")
+def regions_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_regions(spark, sf_dir)
+
+
+@query(f"""WITH {REGIONS}, g AS (SELECT *, CASE WHEN first_pos - lag(end_pos) OVER (PARTITION BY user_id ORDER BY first_pos) < 3 THEN 0 ELSE 1 END AS fresh FROM r),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY first_pos) AS grp FROM g)
+SELECT user_id, min(first_pos) AS first_pos, max(end_pos) AS end_pos, count(*) AS parts FROM h GROUP BY user_id, grp HAVING max(end_pos) - min(first_pos) > 2""")
+def regions_min_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.merge_short_gaps(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos", 3, 2)
+
+
+@query(f"""WITH {REGIONS}, n AS (SELECT user_id, count(*) AS total FROM events GROUP BY user_id),
+g AS (SELECT r.*, total, first_pos - lag(end_pos) OVER w AS before, lead(first_pos) OVER w - end_pos AS after FROM r JOIN n USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY first_pos))
+SELECT user_id, region,
+  CAST(greatest(0, first_pos - CASE WHEN before IS NULL OR before >= 4 THEN 2 ELSE before // 2 END) AS BIGINT) AS first_pos,
+  CAST(CASE WHEN after < 4 THEN end_pos + after // 2 ELSE least(total, end_pos + 2) END AS BIGINT) AS end_pos FROM g""")
+def regions_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("total"))
+    rows = user_regions(spark, sf_dir).join(totals, "user_id")
+    return regions.pad_regions(rows, "user_id", "first_pos", "end_pos", 2, F.col("total")).select("user_id", "region", "first_pos", "end_pos")
+
+
+@query(f"""WITH RECURSIVE {REGIONS}, o AS (SELECT user_id, first_pos, end_pos, row_number() OVER (PARTITION BY user_id ORDER BY first_pos) AS k FROM r),
+m AS (SELECT user_id, k, first_pos AS s, end_pos AS e, 1 AS win FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, CASE WHEN o.end_pos - m.s > 40 AND m.e > m.s THEN o.first_pos ELSE m.s END, o.end_pos, m.win + CASE WHEN o.end_pos - m.s > 40 AND m.e > m.s THEN 1 ELSE 0 END
+  FROM m JOIN o ON o.user_id = m.user_id AND o.k = m.k + 1)
+SELECT user_id, CAST(win AS BIGINT) AS win, min(s) AS first_pos, max(e) AS end_pos FROM m GROUP BY user_id, win""")
+def windows_greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.greedy_windows(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos", 40)
+    return found.select("user_id", F.col("window").alias("win"), F.col("start").alias("first_pos"), F.col("end").alias("end_pos"))
+
+
+@query(f"""WITH RECURSIVE {REGIONS}, o AS (SELECT user_id, first_pos, end_pos, row_number() OVER (PARTITION BY user_id ORDER BY first_pos) AS k FROM r),
+m AS (SELECT user_id, k, first_pos AS s, end_pos AS e, 1 AS win FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, CASE WHEN o.end_pos - m.s > 25 AND m.e > m.s THEN o.first_pos ELSE m.s END, o.end_pos, m.win + CASE WHEN o.end_pos - m.s > 25 AND m.e > m.s THEN 1 ELSE 0 END
+  FROM m JOIN o ON o.user_id = m.user_id AND o.k = m.k + 1)
+SELECT user_id, CAST(count(DISTINCT win) AS BIGINT) AS windows FROM m GROUP BY user_id""")
+def windows_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("first_pos").alias("start"), F.col("end_pos").alias("end"))))
+    lists = user_regions(spark, sf_dir).groupBy("user_id").agg(ordered.alias("regions"))
+    return lists.select("user_id", F.size(regions.merge_greedily(F.col("regions"), F.lit(25))).cast("bigint").alias("windows"))
+
+
+@query("""WITH t AS (SELECT user_id, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM t),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS session FROM g)
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(us) AS start_us, max(us) AS end_us FROM s GROUP BY user_id, session""")
+def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.gap_sessions(events(spark, sf_dir), "user_id", F.unix_micros("ts"), 43_200_000_000)
+    return found.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+MAP = """s AS (SELECT user_id, first_pos, end_pos, row_number() OVER w - 1 AS idx, sum(end_pos - first_pos) OVER w AS cum_end,
+  sum(end_pos - first_pos) OVER w - (end_pos - first_pos) AS cum_start, first_pos - (sum(end_pos - first_pos) OVER w - (end_pos - first_pos)) AS silence FROM r WINDOW w AS (PARTITION BY user_id ORDER BY first_pos))"""
+
+
+@query(f"WITH {REGIONS}, {MAP} SELECT user_id, CAST(idx AS BIGINT) AS idx, CAST(cum_start AS BIGINT) AS cum_start, CAST(cum_end AS BIGINT) AS cum_end, CAST(silence AS BIGINT) AS silence FROM s")
+def silence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
+    return found.select("user_id", F.col("idx").cast("bigint").alias("idx"), "cum_start", "cum_end", "silence")
+
+
+@query(f"""WITH {REGIONS}, {MAP}, l AS (SELECT user_id, max(cum_end) AS total, arg_max(silence, cum_end) AS last_silence FROM s GROUP BY user_id)
+SELECT p.user_id, p.pos, CAST(p.pos + coalesce(s.silence, l.last_silence, 0) AS BIGINT) AS original
+FROM p LEFT JOIN l ON l.user_id = p.user_id LEFT JOIN s ON s.user_id = p.user_id AND p.pos >= s.cum_start AND p.pos < s.cum_end""")
+def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
+    restored = regions.restore_times(user_rows(spark, sf_dir).select("user_id", "pos"), found, "user_id", "pos")
+    return restored.select("user_id", "pos", F.col("original").cast("bigint").alias("original"))
+
+
+@query(f"WITH {POSITIONS}, l AS (SELECT user_id, list(value ORDER BY pos) AS v FROM p GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda y, x: 0.35 * x + 0.65 * y), 4) AS ema FROM l")
+def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    lists = events(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["value"]).alias("v"))
+    return lists.select("user_id", F.round(arrays.running_mean(F.col("v"), 0.35), 4).alias("ema"))
+
+
+@query("SELECT CAST(least(floor(value / 500 * 10), 9) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (WHERE value / 500 >= 0.5) AS n_on FROM events GROUP BY 1")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.score_histogram(events(spark, sf_dir), F.col("value") / 500)
+
+
+@query(f"WITH {REGIONS} SELECT user_id, count(*) AS regions, CAST(sum(end_pos - first_pos) AS BIGINT) AS covered FROM r GROUP BY user_id")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.coverage(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
+
+
+@query(f"""WITH {POSITIONS}, w AS (SELECT user_id, pos, value, win FROM p, (SELECT unnest([0, 1]) AS d), LATERAL (SELECT pos // 10 - d AS win) WHERE pos // 10 - d >= 0),
+x AS (SELECT user_id, pos AS frame, value, 0.54 - 0.46 * cos(2 * pi() * (pos - 10 * win) / 19) AS h FROM w)
+SELECT user_id, frame, round(sum(value * h) / greatest(sum(h), 1e-12), 4) AS score FROM x GROUP BY user_id, frame""")
+def overlap_add_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_rows(spark, sf_dir).select("user_id", "pos", "value")
+    first = F.floor(F.col("pos") / 10)
+    rows = rows.select("user_id", "pos", "value", F.explode(F.array(first, first - 1)).alias("win")).filter(F.col("win") >= 0)
+    at = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.try_element_at(F.map_from_entries("found"), F.col("win") * 10 + k))
+    lists = rows.groupBy("user_id", "win").agg(F.collect_list(F.struct("pos", "value")).alias("found")).select("user_id", "win", at.alias("values"))
+    added = curves.overlap_add(lists, "user_id", "win", "values", 20, 10.0, 1.0)
+    return added.select("user_id", "frame", F.round("score", 4).alias("score"))
+
+
+# --- spectra, with embeddings as signals of 64 samples ---
+
+
+def _dft_sql(shape: str) -> str:
+    return f"""e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+k AS (SELECT unnest(range(33)) AS bin),
+d AS (SELECT vec_id, bin, sum(x * {shape} * cos(2 * pi() * bin * i / 64)) AS re, sum(x * {shape} * sin(2 * pi() * bin * i / 64)) AS im FROM e, k GROUP BY ALL),
+pw AS (SELECT vec_id, CAST(bin AS BIGINT) AS bin, re * re + im * im AS power FROM d)"""
+
+
+HANN = "(0.5 * (1 - cos(2 * pi() * i / 64)))"
+BANDS = "bd AS (SELECT b AS band, CAST(j AS BIGINT) AS bin, 1 - abs(j - 4 * (b + 1)) / 4.0 AS weight FROM (SELECT unnest(range(7)) AS b), (SELECT unnest(range(33)) AS j) WHERE abs(j - 4 * (b + 1)) < 4)"
+
+
+def band_filters(spark: SparkSession) -> DataFrame:
+    rows = [(b, j, 1 - abs(j - 4 * (b + 1)) / 4.0) for b in range(7) for j in range(33) if abs(j - 4 * (b + 1)) < 4]
+    return spark.createDataFrame(rows, "band bigint, bin bigint, weight double")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+@query(f"WITH {_dft_sql('1')} SELECT vec_id, bin, round(power, 4) AS power FROM pw")
+def frame_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.dft_power(embeddings(spark, sf_dir), "vec_id", "embedding", 64).select("vec_id", "bin", F.round("power", 4).alias("power"))
+
+
+@query(f"WITH {_dft_sql(HANN)} SELECT vec_id, bin, round(power, 4) AS power FROM pw")
+def hann_windowed_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.dft_power(embeddings(spark, sf_dir), "vec_id", "embedding", 64, windowed=True).select("vec_id", "bin", F.round("power", 4).alias("power"))
+
+
+@query(f"WITH {_dft_sql(HANN)}, {BANDS} SELECT vec_id, CAST(band AS BIGINT) AS band, round(sum(power * weight), 4) AS energy FROM pw JOIN bd USING (bin) GROUP BY vec_id, band")
+def mel_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = spectral.dft_power(embeddings(spark, sf_dir), "vec_id", "embedding", 64, windowed=True)
+    return spectral.project_bands(power, "vec_id", band_filters(spark)).select("vec_id", "band", F.round("energy", 4).alias("energy"))
+
+
+@query(f"""WITH {_dft_sql(HANN)}, {BANDS}, en AS (SELECT vec_id, CAST(band AS BIGINT) AS band, log10(greatest(sum(power * weight), 1e-10)) AS v FROM pw JOIN bd USING (bin) GROUP BY vec_id, band)
+SELECT vec_id, band, round((greatest(v, max(v) OVER (PARTITION BY vec_id) - 8) + 4) / 4, 4) AS level FROM en""")
+def log_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = spectral.dft_power(embeddings(spark, sf_dir), "vec_id", "embedding", 64, windowed=True)
+    found = spectral.log_floor(spectral.project_bands(power, "vec_id", band_filters(spark)), "vec_id", "energy")
+    return found.select("vec_id", "band", F.round("level", 4).alias("level"))
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings), z AS (SELECT vec_id, unnest(range(60, 80)) AS i FROM embeddings)
+SELECT z.vec_id, CAST(z.i AS BIGINT) AS i, coalesce(e.x, 0::FLOAT) AS x FROM z LEFT JOIN e ON e.vec_id = z.vec_id AND e.i = z.i""")
+def framing_pad_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = embeddings(spark, sf_dir).select("vec_id", F.posexplode(arrays.pad_or_trim(F.col("embedding"), 80)).alias("i", "x"))
+    return padded.filter(F.col("i") >= 60).select("vec_id", F.col("i").cast("bigint").alias("i"), "x")
+
+
+@query("""WITH l AS (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
+r AS (SELECT vec_id, list_concat(coalesce(before[57:64], list_resize([]::FLOAT[], 8, 0::FLOAT)), embedding[1:8]) AS row FROM l)
+SELECT vec_id, CAST(generate_subscripts(row, 1) - 1 AS BIGINT) AS i, unnest(row) AS x FROM r""")
+def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("label").orderBy("vec_id")
+    before = F.coalesce(arrays.tail(F.lag("embedding").over(w), 8), F.array_repeat(F.lit(0).cast("float"), 8))
+    rows = embeddings(spark, sf_dir).withColumn("row", F.concat(before, arrays.head(F.col("embedding"), 8)))
+    return rows.select("vec_id", F.posexplode("row").alias("i", "x")).withColumn("i", F.col("i").cast("bigint"))
+
+
+@query("""WITH r AS (SELECT vec_id, label, [embedding[1:16], embedding[33:40]] AS parts FROM embeddings)
+SELECT vec_id, CAST(len(flatten(parts)) AS BIGINT) AS n, round(list_sum(list_transform(flatten(parts), lambda x: x::DOUBLE)), 5) AS total FROM r""")
+def collect_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = F.array(*(F.struct(F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("end")) for a, b in ((0, 16), (32, 40), (70, 90))))
+    joined = embeddings(spark, sf_dir).select("vec_id", arrays.collect_regions(F.col("embedding"), bounds).alias("x"))
+    return joined.select("vec_id", F.size("x").cast("bigint").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double")), 5).alias("total"))
+
+
+# --- text ---
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(lower(translate(text, 'İΣ', 'iσ')), 'ё', 'е'), '[\p{L}\p{N}]+') AS words FROM documents)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(list_distinct(words)) AS BIGINT) AS n_distinct FROM w""")
+def word_normalise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", text.normal_words(F.col("text")).alias("words"))
+    return found.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.size(F.array_distinct("words")).cast("bigint").alias("n_distinct"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\t\n\f\r \p{L}\p{N}]+|[\t\n\f\r ]+') AS tokens FROM documents)
+SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(tokens, lambda x: length(x))) AS BIGINT) AS n_chars FROM t""")
+def pretokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", text.pretokens(F.col("text")).alias("tokens"))
+    return found.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda s, t: s + F.length(t)).alias("n_chars"))
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[ \n]+')) AS unit FROM conversations)
+SELECT conv_id, turn, count(*) AS units, count(*) FILTER (WHERE regexp_matches(trim(unit), '[.!?…]["''»”)\]]*$')) AS sentence_ends,
+ count(*) FILTER (WHERE regexp_matches(regexp_extract(unit, '(\p{L})', 1), '^\p{Lu}$')) AS capitals, count(*) FILTER (WHERE regexp_matches(trim(unit), '[.!?。！？]')) AS marks FROM u WHERE unit <> '' GROUP BY conv_id, turn""".replace("。！？", "。！？"))
+def sentence_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", "[ \n]+")).alias("unit")).filter(F.col("unit") != "")
+    unit = F.col("unit")
+    return units.groupBy("conv_id", "turn").agg(F.count("*").alias("units"), F.count_if(text.ends_sentence(unit)).alias("sentence_ends"), F.count_if(text.starts_upper(unit)).alias("capitals"), F.count_if(text.has_sentence_mark(unit)).alias("marks"))
+
+
+SMALL_VOCAB = "v AS (SELECT i AS id, CASE WHEN i < 26 THEN chr(CAST(97 + i AS INTEGER)) ELSE ' ' || chr(CAST(97 + i % 26 AS INTEGER)) || chr(CAST(97 + (i * 7) % 26 AS INTEGER)) END AS token FROM range(90) t(i))"
+
+
+def small_vocab(spark: SparkSession) -> DataFrame:
+    rows = [(i, chr(97 + i) if i < 26 else f" {chr(97 + i % 26)}{chr(97 + i * 7 % 26)}") for i in range(90)]
+    return spark.createDataFrame(rows, "id int, token string")
+
+
+@query(f"""WITH {POSITIONS}, {SMALL_VOCAB}, t AS (SELECT user_id, pos, event_id % 100 AS id FROM p)
+SELECT user_id, string_agg(token, '' ORDER BY pos) AS text FROM t JOIN v USING (id) WHERE id < 80 GROUP BY user_id""")
+def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("pos", (F.col("event_id") % 100).cast("int").alias("id"))))
+    lists = user_rows(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["id"]).alias("tokens"))
+    return tokens.look_up(lists, small_vocab(spark), ["user_id"], eot=80)
+
+
+@query("""WITH t AS (SELECT user_id, list(DISTINCT event_id % 40) AS a FROM events GROUP BY user_id)
+SELECT user_id, CAST(unnest(list_sort(list_distinct(list_concat(a, [1, 7, 90, 91])))) AS BIGINT) AS id FROM t""")
+def suppress_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = events(spark, sf_dir).groupBy("user_id").agg(F.collect_set(F.col("event_id") % 40).alias("a"))
+    fixed = F.array(*(F.lit(x).cast("bigint") for x in (1, 7, 90, 91)))
+    return lists.select("user_id", F.explode(tokens.union_ids(F.col("a"), fixed)).alias("id"))
+
+
+@query(f"""WITH {POSITIONS}, l AS (SELECT user_id, list(event_id % 100 ORDER BY pos) AS t FROM p GROUP BY user_id),
+c AS (SELECT user_id, list_filter(t, lambda x: x < 80) AS t FROM l), d AS (SELECT user_id, list_concat([900], t[greatest(len(t) - 22, 1):], [901, 902]) AS prompt FROM c)
+SELECT user_id, CAST(generate_subscripts(prompt, 1) AS BIGINT) AS i, CAST(unnest(prompt) AS BIGINT) AS id FROM d""")
+def prompt_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("pos", (F.col("event_id") % 100).alias("id"))))
+    lists = user_rows(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["id"]).alias("t"))
+    kept = arrays.tail(arrays.text_tokens(F.col("t"), 80), 23)
+    prompt = F.concat(F.array(F.lit(900).cast("bigint")), kept, F.array(F.lit(901).cast("bigint"), F.lit(902).cast("bigint")))
+    return lists.select("user_id", F.posexplode(prompt).alias("i", "id")).withColumn("i", (F.col("i") + 1).cast("bigint"))
+
+
+LANGUAGES = [("en", 259), ("fr", 265), ("de", 261), ("ru", 263)]
+
+
+@query("""WITH l(lang, token) AS (VALUES ('en', 259), ('fr', 265), ('de', 261), ('ru', 263)), c AS (SELECT doc_id, '<|' || lang || '|>' AS mark, lang FROM documents)
+SELECT doc_id, regexp_replace(mark, '^<\\|([a-z]{2,3})\\|>$', '\\1') AS code, regexp_matches(mark, '^<\\|[a-z]{2,3}\\|>$') AS is_language, CAST(coalesce(token, -1) AS INTEGER) AS token FROM c LEFT JOIN l USING (lang)""".replace("\\\\", "\\"))
+def language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<|"), "lang", F.lit("|>")).alias("mark"))
+    coded = marked.select("doc_id", text.language_code(F.col("mark")).alias("code"), text.is_language_token(F.col("mark")).alias("is_language"))
+    return tokens.language_token(coded, spark.createDataFrame(LANGUAGES, "language string, token int")).select("doc_id", "code", "is_language", "token")
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL),
+t AS (SELECT source, sum(n) AS total FROM c GROUP BY source), r AS (SELECT c.*, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM c)
+SELECT source, lang AS language, n / total AS probability FROM r JOIN t USING (source) WHERE k = 1""")
+def language_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    top = counts.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("best"), F.sum("n").alias("total"))
+    return top.select("source", F.col("best.lang").alias("language"), (-F.col("best.m") / F.col("total")).alias("probability"))
+
+
+PHRASES = {"en": ["The", "of", "And!", "is", "to be"]}
+
+
+@query(r"""WITH b(phrase) AS (VALUES ('the'), ('of'), ('and'), ('is'), ('to be')),
+t AS (SELECT conv_id, turn, k, unit FROM (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '\n', '. ', 'g'), '[^.]+\.') AS u FROM conversations), LATERAL (SELECT unnest(u) AS unit, generate_subscripts(u, 1) AS k)),
+x AS (SELECT *, array_to_string(regexp_extract_all(lower(unit), '[\p{L}\p{N}]+')[1:1], ' ') AS two FROM t)
+SELECT conv_id, turn, CAST(k AS BIGINT) AS k FROM x WHERE two IN (SELECT array_to_string(regexp_extract_all(phrase, '[\p{L}\p{N}]+'), ' ') FROM b)""")
+def phrase_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", "\n", ". "), F.lit(r"([^.]+\.)"), F.lit(1))).alias("k", "unit"))
+    first = F.array_join(F.slice(text.normal_words(F.col("unit")), 1, 1), " ")
+    rows = units.select("conv_id", "turn", (F.col("k") + 1).cast("bigint").alias("k"), first.alias("said"), F.lit("en").alias("language"))
+    return phrases.whole_matches(rows, phrases.blocklist(spark, PHRASES), "said", "language").select("conv_id", "turn", "k")
+
+
+@query()
+def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as segments of a conversation, with phrases of the block list put in and taken out again."""
+    said = F.concat_ws(" ", F.lit("Thank you."), "text", F.when(F.col("turn") % 2 == 0, F.lit("thanks for watching!")))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("id"), (F.col("turn") * 1_000_000_000).alias("start_ns"), ((F.col("turn") + 1) * 1_000_000_000).alias("end_ns"), said.alias("text"), F.lit(None).cast(f"array<{phrases.WORD}>").alias("words"), F.lit("en").alias("language"))
+    return phrases.filter_phrases(rows, phrases.SEED).select("rec_id", "id", "start_ns", "end_ns", "text")
+
+
+def toy_tokenizer() -> str:
+    """A byte-level tokenizer made by rule: all bytes, pairs of common letters, and the special tokens."""
+    table_ = tokens.byte_table()
+    space = table_[32]
+    merges = [f"{a} {b}" for a in "thearnioseld" for b in "thearnioseld"] + [f"{space} {a}" for a in "taoin"] + ["th e", f"{space}t he", "an d", "in g", "er e"]
+    vocab = {c: i for i, c in enumerate(table_)}
+    for m in merges:
+        vocab.setdefault(m.replace(" ", ""), len(vocab))
+    named = ["<|endoftext|>", "<|startoftranscript|>", "<|en|>", "<|fr|>", "<|translate|>", "<|transcribe|>", "<|startoflm|>", "<|startofprev|>", "<|nospeech|>", "<|notimestamps|>"] + [f"<|{k * 0.02:.2f}|>" for k in range(1501)]
+    return json.dumps({"model": {"type": "BPE", "vocab": vocab, "merges": merges}, "added_tokens": [{"id": len(vocab) + i, "content": t} for i, t in enumerate(named)]})
+
+
+@query()
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tokens.encode_udf(toy_tokenizer())
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ids("text").alias("tokens")).select("conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), F.hash("tokens").alias("tokens_hash"))
+
+
+@query("SELECT conv_id, turn, true AS same FROM conversations")
+def bpe_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids, back = tokens.encode_udf(toy_tokenizer()), tokens.decode_udf(toy_tokenizer())
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", ids("text").alias("tokens"))
+    return found.select("conv_id", "turn", (back("tokens") == F.col("text")).alias("same"))
+
+
+@query()
+def timestamp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of each user as tokens: those from 100 on are timestamps."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.floor("value").cast("int").alias("t"))))
+    lists = user_rows(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["t"]).alias("tokens")).select("user_id", "tokens", F.lit(0.0).alias("offset"), F.lit(3000).alias("size"), F.lit(30.0).alias("duration"), F.lit(0).alias("seek"))
+    found = tokens.timestamp_segments(lists, 100)
+    return found.select("user_id", F.col("split.seek").alias("seek"), F.col("split.lone").alias("lone"), F.posexplode("split.segments").alias("k", "s")).select("user_id", "seek", "lone", "k", F.round("s.start", 2).alias("start_s"), F.round("s.end", 2).alias("end_s"), F.size("s.tokens").alias("n_tokens"))
+
+
+# --- words, attempts, gates ---
+
+WORDS = f"{POSITIONS}, w AS (SELECT user_id, event_id, pos, (event_id % 100) / 100 AS probability, value / 100 AS duration FROM p)"
+ANOMALY = "(CASE WHEN probability < 0.15 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN duration < 0.133 THEN (0.133::DOUBLE - duration) * 15 ELSE 0 END + CASE WHEN duration > 2 THEN duration - 2 ELSE 0 END)"
+
+
+def event_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_rows(spark, sf_dir).select("user_id", "event_id", "pos", ((F.col("event_id") % 100) / 100).alias("probability"), (F.col("value") / 100).alias("duration"))
+
+
+@query(f"WITH {WORDS} SELECT event_id, round({ANOMALY}, 6) AS score FROM w")
+def word_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_words(spark, sf_dir).select("event_id", F.round(scores.word_anomaly(F.col("probability"), F.col("duration")), 6).alias("score"))
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT user_id, pos // 10 AS seg, {ANOMALY} AS score, row_number() OVER (PARTITION BY user_id, pos // 10 ORDER BY pos) AS k FROM w WHERE event_id % 7 <> 0)
+SELECT user_id, CAST(seg AS BIGINT) AS seg, sum(score) >= 3.0 OR sum(score) + 0.01 >= count(*) AS anomaly FROM s WHERE k <= 8 GROUP BY user_id, seg""")
+def segment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_words(spark, sf_dir).withColumn("seg", F.floor(F.col("pos") / 10))
+    word = F.when(F.col("event_id") % 7 == 0, F.lit("!")).otherwise(F.lit("word"))
+    made = F.struct("pos", F.lit(0).cast("bigint").alias("start_ns"), F.round(F.col("duration") * 1e9).cast("bigint").alias("end_ns"), word.alias("word"), "probability")
+    lists = rows.groupBy("user_id", "seg").agg(F.array_sort(F.collect_list(made)).alias("words"))
+    spoken = lists.filter(F.exists("words", lambda w: w["word"] != "!"))
+    return spoken.select("user_id", "seg", scores.segment_anomaly(F.col("words")).alias("anomaly"))
+
+
+@query(f"WITH {WORDS} SELECT user_id, round(least(0.7::DOUBLE, coalesce(median(duration) FILTER (WHERE duration > 0), 0)), 6) AS typical FROM w GROUP BY user_id")
+def median_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.typical_lengths(event_words(spark, sf_dir), "user_id", "duration").select("user_id", F.round("typical", 6).alias("typical"))
+
+
+@query(f"""WITH {POSITIONS}, a AS (SELECT user_id, pos // 6 AS win, pos % 6 AS n, -value / 60 AS lp, (event_id % 50) / 10 AS ratio, (event_id % 11) / 10 AS ns FROM p),
+g AS (SELECT *, (ns > 0.6 AND lp < -1) OR (NOT ratio > 2.4 AND NOT lp < -1) AS good FROM a),
+f AS (SELECT user_id, win, min(n) FILTER (WHERE good) AS accepted, max(n) AS last_n FROM g GROUP BY ALL),
+b AS (SELECT user_id, win, n, row_number() OVER (PARTITION BY user_id, win ORDER BY (ratio > 2.4), lp DESC, n) AS k FROM g)
+SELECT user_id, CAST(win AS BIGINT) AS win, CAST(coalesce(accepted, b.n) AS BIGINT) AS chosen, CAST(coalesce(accepted, last_n) AS BIGINT) AS reported, accepted IS NOT NULL AS accepted
+FROM f JOIN b USING (user_id, win) WHERE k = 1""")
+def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_rows(spark, sf_dir).select("user_id", F.floor(F.col("pos") / 6).alias("win"), (F.col("pos") % 6).alias("n"), (-F.col("value") / 60).alias("lp"), ((F.col("event_id") % 50) / 10).alias("ratio"), ((F.col("event_id") % 11) / 10).alias("ns"))
+    return attempts.choose_attempts(rows, ["user_id", "win"], "n", "lp", "ratio", "ns")
+
+
+@query("""WITH s AS (SELECT event_id, -value / 40 AS score, event_id % 30 AS len, (event_id % 11) / 10 AS ns FROM events),
+l AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE score * len / (len + 1) END AS lp FROM s) SELECT event_id, round(lp, 6) AS avg_logprob FROM l WHERE NOT (ns > 0.6 AND NOT lp > -1)""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", (-F.col("value") / 40).alias("score"), (F.col("event_id") % 30).alias("len"), ((F.col("event_id") % 11) / 10).alias("ns"))
+    rows = rows.withColumn("lp", scores.recovered_logprob(F.col("score"), F.col("len")))
+    return rows.filter(~scores.is_silent(F.col("ns"), F.col("lp"))).select("event_id", F.round("lp", 6).alias("avg_logprob"))
+
+
+@query()
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", attempts.compression_ratios("text").alias("ratio"))
+
+
+@query("SELECT event_id, CAST(trunc(value * 1e9) AS BIGINT) AS ns, sign(value) * floor(abs(value) * 10 + 0.5) / 10 AS rounded, CAST(trunc(CAST(event_id AS DOUBLE) / 16000 * 1e9) AS BIGINT) AS sample_ns FROM events")
+def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", times.seconds_to_ns(F.col("value")).alias("ns"), times.round_half_away(F.col("value"), 1).alias("rounded"), times.samples_to_ns(F.col("event_id").cast("double")).alias("sample_ns"))
+
+
+# --- comparison ---
+
+PAIRS = r"""x AS (SELECT a.conv_id, trim(regexp_replace(lower(a.text), '[^a-z0-9_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(b.text), '[^a-z0-9_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2 WHERE regexp_full_match(a.text || b.text, '[\x00-\x7F]*'))"""
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    first = said.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("reference"))
+    return first.join(said.filter(F.col("turn") == 2).select("conv_id", F.col("text").alias("hypothesis")), "conv_id")
+
+
+@query(f"WITH {PAIRS}, y AS (SELECT conv_id, replace(r, ' ', '') AS r, replace(h, ' ', '') AS h FROM x) SELECT conv_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END, 6) AS cer FROM y")
+def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ascii_only = turn_pairs(spark, sf_dir).filter(F.concat("reference", "hypothesis").rlike(r"^[\x00-\x7F]*$"))
+    return ascii_only.select("conv_id", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
+
+
+@query()
+def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.error_rates(turn_pairs(spark, sf_dir), "reference", "hypothesis").select("conv_id", "wer", "cer", "ref_words", "hyp_words", "wer_distance", "cer_distance")
+
+
+@query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS text, count(*) AS segments FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def transcript_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.joined_text(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id FROM conversations WHERE role <> 'system'")
+def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
+    return kept.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("bigint").alias("id"))
+
+
+@query("SELECT event_id, CASE WHEN value - 5 > 0 THEN floor((event_id % 97) / (value - 5) * 10000 + 0.5) / 10000 ELSE 0 END AS rtf, CASE WHEN event_id % 97 > 0 THEN sign(value - 5) * floor(abs((value - 5) / (event_id % 97)) * 100 + 0.5) / 100 ELSE 0 END AS speedup FROM events")
+def real_time_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", (F.col("value") - 5).alias("audio"), (F.col("event_id") % 97).cast("double").alias("taken"))
+    return evaluate.speeds(rows, "audio", "taken").select("event_id", "rtf", "speedup")
+
+
+@query()
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as one run's results and assistants' as another's."""
+    said = table(spark, sf_dir, "conversations")
+
+    def run(role: str) -> DataFrame:
+        rows = said.filter(F.col("role") == role)
+        joined = evaluate.joined_text(rows, "conv_id", "turn", "text")
+        return joined.select(F.col("conv_id").cast("string").alias("file"), "text", F.lit("en").alias("language_detected"), (F.col("segments") * 1.5).alias("transcribe_time_sec"), F.col("segments").cast("int").alias("num_segments"), F.size(F.split("text", " ")).alias("num_words"))
+
+    return evaluate.compare_runs(run("user"), run("assistant")).select("file", "wer", "cer", "time_ratio", "same_language", "ref_num_words", "hyp_num_words")
+
+
+# --- plans around plug-ins (rows only: a fold, a stub model or a stream) ---
+
+
+@query()
+def speech_regions_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame machine with a limit on length, over each user's values as scores."""
+    rows = user_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
+    lengths = rows.groupBy("rec_id").agg((F.count("*") * regions.WINDOW).alias("n_samples"))
+    return regions.speech_regions(rows, lengths, VadConfig(max_speech_s=1.2, min_silence_ms=64, pad_ms=32))
+
+
+@query()
+def overlap_regions_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
+    lengths = rows.groupBy("rec_id").agg((F.count("*") * 273).alias("n_samples"))
+    return regions.speech_regions(rows, lengths, VadConfig(max_speech_s=0.2, pad_ms=10), backend="overlap")
+
+
+def burst_recordings(spark: SparkSession, sf_dir: str, copies: int = 40) -> DataFrame:
+    """(rec_id, pcm): an embedding repeated is a burst of sound, followed by as much silence."""
+    signal = F.transform("embedding", lambda x: (x * 2).cast("float"))
+    burst = F.flatten(F.array_repeat(signal, copies * 8))
+    quiet = F.array_repeat(F.lit(0).cast("float"), 64 * copies * 8)
+    rows = embeddings(spark, sf_dir).filter(F.col("vec_id") < 40)
+    return rows.select(F.col("vec_id").alias("rec_id"), F.concat(quiet, burst, quiet, burst, quiet).alias("pcm"))
+
+
+@query()
+def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = spectral.mel_frames(burst_recordings(spark, sf_dir))
+    return frames.groupBy("rec_id").agg(F.count("*").alias("frames"), F.round(F.avg(F.array_max("mel")), 3).alias("mean_top"))
+
+
+@query()
+def frame_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = burst_recordings(spark, sf_dir).select("rec_id", F.lit(0).cast("bigint").alias("start_sample"), "pcm")
+    return scoring.frame_scores(rows, scoring.EnergyScorer)
+
+
+@query()
+def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.overlap_scores(burst_recordings(spark, sf_dir), scoring.EnergyScorer)
+
+
+@query()
+def transcribe_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batched plan with a stub model that reads a text off the sound."""
+    found = transcribe.batched_plan(burst_recordings(spark, sf_dir), scoring.EnergyScorer, stub.StubModel, toy_tokenizer(), TranscribeConfig(word_timestamps=True))
+    return transcribe.finish(found, phrases.SEED).select("rec_id", "language", "text", F.size("segments").alias("n_segments"))
+
+
+@query()
+def transcribe_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = TranscribeConfig(vad_filter=True, word_timestamps=True, vad=VadConfig(min_silence_ms=300, pad_ms=100))
+    found = transcribe.sequential_plan(burst_recordings(spark, sf_dir), scoring.EnergyScorer, stub.StubModel, toy_tokenizer(), config)
+    return transcribe.finish(found, phrases.SEED).select("rec_id", "language", "text", F.size("segments").alias("n_segments"))
+
+
+@query()
+def live_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming machine over a table: recordings cut into chunks of 1000 samples."""
+    rows = burst_recordings(spark, sf_dir).select(F.col("rec_id").cast("string").alias("source_id"), "pcm")
+    starts = F.explode(F.sequence(F.lit(0), F.size("pcm") - 1, F.lit(1000)))
+    chunks = rows.select("source_id", "pcm", starts.alias("s")).select("source_id", F.col("s").cast("bigint").alias("start_sample"), F.slice("pcm", F.col("s") + 1, 1000).alias("pcm"), (F.col("s") + 1000 >= F.size("pcm")).alias("last"))
+    return endpoint.endpoints(chunks, scoring.EnergyScorer, StreamConfig(min_silence_ms=300))
+
+
+# --- relational operations that come with Spark ---
+
+
+@query("""SELECT r_name, n_name, count(*) AS orders, sum(l_quantity) AS quantity, grouping(r_name) + grouping(n_name) AS level
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE l_returnflag = 'R' GROUP BY ROLLUP (r_name, n_name)""")
+def star_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    joined = t("lineitem").filter(F.col("l_returnflag") == "R").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rolled = joined.rollup("r_name", "n_name").agg(F.count("*").alias("orders"), F.sum("l_quantity").alias("quantity"), (F.grouping("r_name") + F.grouping("n_name")).cast("bigint").alias("level"))
+    return rolled.select("r_name", "n_name", "orders", "quantity", "level")
+
+
+@query("""WITH r AS (SELECT c_nationkey, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer)
+SELECT c_nationkey, c_custkey, c_acctbal, k FROM r WHERE k <= 3""")
+def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_acctbal", F.row_number().over(w).cast("bigint").alias("k")).filter(F.col("k") <= 3)
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").alias("nationkey"))
+    supplied = table(spark, sf_dir, "supplier").select("s_nationkey")
+    left_out = table(spark, sf_dir, "nation").filter(F.col("n_regionkey") == 0).select("n_nationkey")
+    return rich.intersect(supplied).exceptAll(left_out)

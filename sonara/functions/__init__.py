@@ -1 +1 @@
-
+"""Column expressions: arrays, times, text and scores."""

@@ -1 +1 @@
-
+"""Operators over score curves, signals, token sequences, words and transcripts."""

@@ -1 +1 @@
-
+"""Live endpointing with keyed state."""
