@@ -26,8 +26,8 @@ from sonara.llm.common import map_arrow, pieces, text_of
 BITS = 20
 TRAIN_ROWS = 20_000
 TRAIN_FEATURES = 4096
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 #: A document is called toxic from this score on.
 THRESHOLD = 0.7
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
