@@ -140,9 +140,9 @@ def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
     if distance == 2:
         points = crowded.select("fingerprint", F.explode(flips).alias("flip")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("point"))
-    else:  # pairs one bit apart share the one that has the bit cleared
-        cleared = F.explode(F.transform(flips, lambda x: F.col("fingerprint").bitwiseAND(F.bitwise_not(x))))
-        points = crowded.select("fingerprint", cleared.alias("point")).distinct()
+    else:  # a pair one bit apart is alike but for that bit: two fingerprints at most for each bit and rest
+        rests = F.transform(flips, lambda x: F.struct(x.alias("bit"), F.col("fingerprint").bitwiseAND(F.bitwise_not(x)).alias("rest")))
+        points = crowded.select("fingerprint", F.explode(F.filter(rests, lambda r: r["bit"] != 0)).alias("point"))
     least = points.groupBy("point").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z")).filter(F.col("a") < F.col("z"))
     through = points.join(least, "point").select("a", F.col("fingerprint").alias("b")).filter(F.col("a") < F.col("b"))
     return links.union(through).distinct()
