@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonara.deploy import ship
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed on in pieces of about this many characters, so a batch of long texts stays small in memory.
@@ -19,7 +21,9 @@ ARROW_ROWS = "2000"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the size of Arrow batches that bounds a Python worker's memory; queries and the pipeline call this."""
+    """Sends the package to the executors and sets the size of Arrow batches, which bounds a Python worker's memory;
+    queries and the pipeline's stages call this."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
