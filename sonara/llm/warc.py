@@ -149,18 +149,20 @@ def reachable(chain: DataFrame) -> DataFrame:
     edges, edges_at = written(left, "warc-edges")
     start = edges.filter(F.col("at") == len(MAGIC)).select("file", "at")
     doors = edges.select("file", F.col("leave").alias("at")).union(start).distinct()
-    jump, jump_at = written(edges.join(doors, ["file", "at"]), "warc-jump")
+    nodes, nodes_at = written(edges.join(doors, ["file", "at"]), "warc-jump")
+    jump, jump_at = nodes, nodes_at
     reach, reach_at = written(start, "warc-reach")
     size = reach.count()
-    while True:
-        step = reach.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at"))
-        more, more_at = written(reach.union(step).join(jump.select("file", "at"), ["file", "at"], "left_semi").distinct(), "warc-reach")
+    while True:  # reach holds the first 2^k nodes of each file's chain, jump leads 2^k nodes on
+        step = reach.join(jump, ["file", "at"]).select("file", F.col("leave").alias("at")).join(nodes.select("file", "at"), ["file", "at"], "left_semi")
+        more, more_at = written(reach.union(step).distinct(), "warc-reach")
         further, further_at = written(jump.join(jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("end")), ["file", "leave"]).select("file", "at", F.col("end").alias("leave")), "warc-jump")
         for old in (reach_at, jump_at):
-            remove(chain.sparkSession, old)
+            if old != nodes_at:
+                remove(chain.sparkSession, old)
         grown = more.count()
         reach, reach_at, jump, jump_at = more, more_at, further, further_at
-        if grown == size or jump.isEmpty():
+        if grown == size:
             break
         size = grown
     remove(chain.sparkSession, edges_at)
