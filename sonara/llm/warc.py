@@ -43,11 +43,12 @@ def revisits(rows: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     return large.join(first.drop("last"), "digest").filter(F.col("id") > F.col("refers_to")).select("id", "digest", "refers_to").distinct()
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip") -> None:
     """Writes a record for each row: response with the payload, or revisit of the smallest id with an equal payload.
 
     A null payload is empty; of a null url or id the record has no such field. Repeated rows make repeated records.
-    Line ends in a url are percent-encoded. Columns besides the three are not read.
+    Line ends in a url are percent-encoded. Columns besides the three are not read. Without compression ("none") a reader
+    may split the files anywhere; with it each file is one split.
     """
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[url_col].cast("string").alias("url"), text_of(payload_col).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("bigint")})
@@ -65,7 +66,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         line("Content-Length", F.octet_length(body)),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
 def _candidate(chunk: bytes) -> tuple[int, int] | None:
