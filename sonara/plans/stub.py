@@ -30,7 +30,7 @@ class StubModel:
             loud = int(np.count_nonzero(mel.max(axis=1) > 0.5))
             begin, end = self.tokenizer.time_begin, self.tokenizer.time_begin + min(1500, loud // 2)
             ids = self.tokenizer.encode(SAID[loud % len(SAID)])
-            out.append(Decoded([begin, *ids, end], -0.3 * (1 - temperature), 0.05 if loud else 0.9))
+            out.append(Decoded([begin, *ids, end], -0.3 * (1 - temperature) if loud else -3.0, 0.05 if loud else 0.9))
         return out
 
     def align(self, mels: list[np.ndarray], start: list[int], tokens: list[list[int]], frames: list[int]) -> list[Alignment]:

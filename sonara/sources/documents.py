@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonara.functions.text import is_language_token, normal_words
+from sonara.functions.text import is_language_token, language_code, normal_words
 
 WORD = "struct<start: double, `end`: double, word: string, probability: double>"
 SEGMENT = f"struct<id: int, start: double, `end`: double, text: string, words: array<{WORD}>>"
@@ -36,3 +36,67 @@ MODELS = {
     "large-v3-turbo": "mobiuslabsgmbh/faster-whisper-large-v3-turbo",
     "turbo": "mobiuslabsgmbh/faster-whisper-large-v3-turbo",
 }
+MODEL_FILES = ("model.bin", "config.json", "tokenizer.json")
+VOCABULARY_FILES = ("vocabulary.json", "vocabulary.txt")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocab (token, id), merges (pair, rank), languages (language, token)) of a tokenizer file. The first rank of a
+    repeated merge holds."""
+    schema = "model struct<vocab: map<string, int>, merges: array<string>>, added_tokens array<struct<id: int, content: string>>"
+    data = spark.read.schema(schema).option("multiLine", "true").json(path)
+    vocab = data.select(F.explode("model.vocab").alias("token", "id")).union(data.select(F.explode("added_tokens").alias("t")).select("t.content", "t.id"))
+    merges = data.select(F.posexplode("model.merges").alias("rank", "pair")).groupBy("pair").agg(F.min("rank").alias("rank"))
+    languages = vocab.filter(is_language_token(F.col("token"))).select(language_code(F.col("token")).alias("language"), F.col("id").alias("token"))
+    return vocab, merges, languages
+
+
+def read_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(language, phrase, ordinal, words, first_word, n_words) of a file {language: [phrase, ...]}."""
+    whole = spark.read.text(path, wholetext=True)
+    listed = whole.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("language", "phrases"))
+    rows = listed.select("language", F.posexplode("phrases").alias("ordinal", "phrase")).withColumn("words", normal_words(F.col("phrase")))
+    return rows.withColumns({"first_word": F.try_element_at("words", F.lit(1)), "n_words": F.size("words")})
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file of a benchmark result; no rows where there is no such document."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    data = spark.read.schema(RESULTS).option("multiLine", "true").json(path) if there else spark.createDataFrame([], RESULTS)
+    return data.select("implementation", "mode", F.explode("results").alias("r")).select("implementation", "mode", "r.*")
+
+
+def write_results(results: DataFrame, path: str, **header: object) -> None:
+    """One benchmark document of all files' rows, as JSON; a benchmark has a handful of files."""
+    columns = [F.lit(v).alias(k) for k, v in header.items()]
+    results.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("results")).select(*columns, "results").coalesce(1).write.mode("overwrite").json(path)
+
+
+def model_names() -> list[str]:
+    return sorted(MODELS)
+
+
+def cache_dir(given: str | None = None) -> Path:
+    if given:
+        return Path(given)
+    return Path(os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache") / "sonara"
+
+
+def has_model(folder: Path) -> bool:
+    return all((folder / f).is_file() for f in MODEL_FILES) and any((folder / f).is_file() for f in VOCABULARY_FILES)
+
+
+def resolve_model(name: str, cache: str | None = None) -> Path:
+    """A local folder first, then the cache under the registered name. Nothing is downloaded: a model that isn't there is an
+    error that says where it is published."""
+    folder = Path(name)
+    if folder.is_dir():
+        return folder
+    published = MODELS.get(name, name if "/" in name else None)
+    if published is None:
+        raise ValueError(f"unknown model {name}; known are {', '.join(model_names())}")
+    cached = cache_dir(cache) / ("models--" + published.replace("/", "--"))
+    if has_model(cached):
+        return cached
+    raise FileNotFoundError(f"{name} is not in {cached}; it is published as {published}")
