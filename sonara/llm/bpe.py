@@ -55,7 +55,7 @@ def split_pieces(text: str) -> list[str]:
 
 
 def piece_text(key: str) -> str:
-    return key[2:] if key.startswith("\n\n") else key if key.startswith("\n") else " " + key
+    return " " + key if key[0] != "\n" else key[2:] if key[:2] == "\n\n" else key
 
 
 class Known:
@@ -71,7 +71,7 @@ class Known:
             kept = self.again if len(self.again) <= self.most // 2 else ()
             self.ids = {k: self.ids[k] for k in kept}
             self.again = set()
-        new = sorted(keys.difference(self.ids))
+        new = list(keys.difference(self.ids))
         self.again |= keys.intersection(self.ids)
         self.ids.update(zip(new, self.encode_new(new), strict=True))
         return self.ids.__getitem__
@@ -80,8 +80,8 @@ class Known:
 class PieceTable:
     """Encodes texts piece by piece; encode_new gets the unknown pieces' texts and returns each one's ids as bytes."""
 
-    def __init__(self, specials: dict[str, int], encode_new: Callable[[list[str]], list[bytes]]):
-        self.known = Known(lambda keys: encode_new([piece_text(k) for k in keys]))
+    def __init__(self, specials: dict[str, int], encode_new: Callable[[list[str]], list[bytes]], most: int = KNOWN_PIECES):
+        self.known = Known(lambda keys: encode_new([piece_text(k) for k in keys]), most)
         self.specials = specials
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
 
