@@ -42,6 +42,10 @@ class Hasher:
 
     def features(self, text: str) -> np.ndarray:
         """The distinct places of the text's unigrams, bigrams and skip-grams."""
+        return np.unique(self.places(text))
+
+    def places(self, text: str) -> np.ndarray:
+        """The same with repeats, in no order."""
         words = _word(text.lower())
         known = self.known
         if len(known) > self.most:
@@ -53,7 +57,7 @@ class Hasher:
         for gap, k in ((1, _K[1]), (2, _K[2])):
             pair = (h[:-gap] * k) ^ (h[gap:] + (h[gap:] << np.uint64(7)))
             parts.append((pair ^ (pair >> np.uint64(31))) * _K[0])
-        return np.unique(np.concatenate(parts) >> self.shift).astype(np.int64)
+        return (np.concatenate(parts) >> self.shift).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -152,7 +156,13 @@ def scorer(model: Model | None) -> Callable[[str], float]:
     if model is None:
         return lambda text: 0.5
     weights, hasher = model.dense(), Hasher(model.bits)
-    return lambda text: float(1 / (1 + np.exp(-np.clip(weights[hasher.features(text)].sum() + model.bias, -700, 700))))
+
+    def of(text: str) -> float:
+        places = hasher.places(text)
+        places = np.unique(places[weights[places] != 0])  # few have a weight, so few are sorted
+        return float(1 / (1 + np.exp(-np.clip(weights[places].sum() + model.bias, -700, 700))))
+
+    return of
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
