@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonara.llm import bpe, mixing, quality, simhash, toxicity
-from sonara.llm.common import new_path, prepare, table
+from sonara.llm.common import new_path, prepare, remove, table
 from sonara.llm.queries import tokenizer_json
 
 
@@ -50,11 +50,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows (doc_id, ids, n_tokens) for the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            path = new_path(spark, f"stage{n}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_path(spark, f"stage{n}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,6 +52,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has left in the shared folder; results that read them have to be read before."""
+    remove(spark, shared_dir(spark))
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df as a table of the shared folder, read again: no lineage that a lost executor could make run anew."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
