@@ -415,11 +415,11 @@ def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT event_id, -value / 40 AS score, event_id % 30 AS len, (event_id % 11) / 10 AS ns FROM events),
-l AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE score * len / (len + 1) END AS lp FROM s) SELECT event_id, round(lp, 6) AS avg_logprob FROM l WHERE NOT (ns > 0.6 AND NOT lp > -1)""")
+l AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE score * len / (len + 1) END AS lp FROM s) SELECT event_id, lp AS avg_logprob FROM l WHERE NOT (ns > 0.6 AND NOT lp > -1)""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", (-F.col("value") / 40).alias("score"), (F.col("event_id") % 30).alias("len"), ((F.col("event_id") % 11) / 10).alias("ns"))
     rows = rows.withColumn("lp", scores.recovered_logprob(F.col("score"), F.col("len")))
-    return rows.filter(~scores.is_silent(F.col("ns"), F.col("lp"))).select("event_id", F.round("lp", 6).alias("avg_logprob"))
+    return rows.filter(~scores.is_silent(F.col("ns"), F.col("lp"))).select("event_id", F.col("lp").alias("avg_logprob"))
 
 
 @query()
