@@ -157,8 +157,8 @@ def overlap_add_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user_rows(spark, sf_dir).select("user_id", "pos", "value")
     first = F.floor(F.col("pos") / 10)
     rows = rows.select("user_id", "pos", "value", F.explode(F.array(first, first - 1)).alias("win")).filter(F.col("win") >= 0)
-    at = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.try_element_at(F.map_from_entries("found"), F.col("win") * 10 + k))
-    lists = rows.groupBy("user_id", "win").agg(F.collect_list(F.struct("pos", "value")).alias("found")).select("user_id", "win", at.alias("values"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))  # a window's positions follow one another
+    lists = rows.groupBy("user_id", "win").agg(F.transform(ordered, lambda f: f["value"]).alias("values"))
     added = curves.overlap_add(lists, "user_id", "win", "values", 20, 10.0, 1.0)
     return added.select("user_id", "frame", F.round("score", 4).alias("score"))
 
