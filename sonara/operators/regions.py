@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,15 +104,44 @@ def merge_spans(regions: Iterable[tuple[int, int]], most: int) -> Iterator[tuple
 
 
 def greedy_windows(regions: DataFrame, key: str, start: str, end: str, most: int) -> DataFrame:
-    """(key, window, start, end) of every key's regions merged in order of their start."""
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start", "end"])
-        spans = list(merge_spans(zip(group["start"].tolist(), group["end"].tolist(), strict=True), most))
-        return pd.DataFrame({"key": group["key"].iloc[0], "window": range(1, len(spans) + 1), "start": [s for s, _ in spans], "end": [e for _, e in spans]})
+    """(key, window, start, end) of every key's regions merged in order of their start.
 
+    Each task streams through its keys in order with one span in hand, so neither many small keys nor a large one cost memory.
+    """
     rows = regions.select(F.col(key).alias("key"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"))
-    return rows.groupBy("key").applyInPandas(merge, f"key {dict(rows.dtypes)['key']}, window bigint, start bigint, `end` bigint").withColumnRenamed("key", key)
+    kind = dict(rows.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, window, held = None, 0, None
+        done: list[tuple] = []
+        schema = None
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[], [], [], []]
+            made = pa.RecordBatch.from_arrays([pa.array(columns[0], schema), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["key", "window", "start", "end"])
+            done.clear()
+            return made
+
+        for batch in batches:
+            schema = batch.schema.field(0).type
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held is None or k != of:
+                    if held is not None:
+                        done.append((of, window, *held))
+                    of, window, held = k, 1, (a, b)
+                elif b - held[0] > most and held[1] > held[0]:
+                    done.append((of, window, *held))
+                    window, held = window + 1, (a, b)
+                else:
+                    held = (held[0], b)
+            if done:
+                yield out()
+        if held is not None:
+            done.append((of, window, *held))
+            yield out()
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "start", "end")
+    return ordered.mapInArrow(run, f"key {kind}, window bigint, start bigint, `end` bigint").withColumnRenamed("key", key)
 
 
 @dataclass
