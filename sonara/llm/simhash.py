@@ -35,6 +35,8 @@ from sonara.llm.components import components
 SEED = 42
 #: Fingerprints on one key of which all pairs are joined; 64 is about what the other way takes for each.
 PAIRS_MOST = 64
+#: The same for wide fingerprints, where a block's chance matches are one or two.
+WIDE_PAIRS_MOST = 8
 #: Rows of a part where a large key is compared part by part.
 PART_ROWS = 512
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -121,11 +123,11 @@ def _links_of_small(rows: DataFrame, near: Callable[[Column, Column], Column]) -
     return left.join(right, "key").filter((F.col("a") < F.col("b")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
 
 
-def _by_key_size(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, ...) of keys that 2 to PAIRS_MOST share, and those of keys that more share, with their number n."""
+def _by_key_size(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, ...) of keys that 2 to `most` share, and those of keys that more share, with their number n."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     rows = keyed.join(counts, "key")
-    return rows.filter(F.col("n") <= PAIRS_MOST), rows.filter(F.col("n") > PAIRS_MOST)
+    return rows.filter(F.col("n") <= most), rows.filter(F.col("n") > most)
 
 
 def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
@@ -134,7 +136,7 @@ def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
     if not 1 <= distance <= 2:
         raise ValueError("the way for crowded keys is for distances 1 and 2")
     keyed, _ = written(prints.select(F.col("fingerprint").alias("id"), "fingerprint", exact_keys(distance).alias("key")), "blocks")
-    few, many = _by_key_size(keyed)
+    few, many = _by_key_size(keyed, PAIRS_MOST)
     links = _links_of_small(few, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance)
     crowded = many.select("fingerprint").distinct()
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
@@ -200,7 +202,7 @@ def wide_links(prints: DataFrame, bits: int, blocks: int, most: int) -> DataFram
         return each
 
     keyed, _ = written(map_arrow(prints.select("id", "fingerprint"), start, "block int, v bigint, id bigint").select(F.struct("block", "v").alias("key"), "id"), "blocks")
-    few, many = _by_key_size(keyed)
+    few, many = _by_key_size(keyed, WIDE_PAIRS_MOST)
     left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
     met, _ = written(left.join(right, "key").filter(F.col("a") < F.col("b")).select("a", "b").distinct(), "met")
     differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -209,8 +211,9 @@ def wide_links(prints: DataFrame, bits: int, blocks: int, most: int) -> DataFram
 
 
 def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
-    """(a, b) links among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each pair of parts is
-    compared by itself."""
+    """(a, b) among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each pair of parts is compared
+    by itself. Of each class of linked rows all are named with the least id, so a group that shares many keys gives about
+    one row for each member and not one for each link."""
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     rows = many.select("key", "id", parts.alias("parts"), own.alias("own"))
@@ -218,19 +221,19 @@ def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     rows = rows.select("key", "id", "own", pairs.alias("pair")).join(prints.select("id", "fingerprint"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
         ids = group["id"].to_numpy()
         bits = _unpack(np.stack(group["fingerprint"].to_numpy())).astype(np.float32) * 2 - 1
-        parent = np.arange(len(ids))
-        links: list[tuple[int, int]] = []
-        width = bits.shape[1]
-        for k in range(len(ids)):  # a link for each row that joins another's class: as many as rows at most
-            close = np.flatnonzero(bits[k + 1 :] @ bits[k] >= width - 2 * most) + k + 1
-            for other in np.unique(parent[close]):
-                if other != parent[k]:
-                    member = close[parent[close] == other][0]
-                    links.append((ids[k], ids[member]))
-                    parent[parent == other] = parent[k]
-        return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
+        near = bits @ bits.T >= bits.shape[1] - 2 * most
+        label = np.arange(len(ids))
+        while True:  # each row takes the least label among those near it, until classes are closed
+            least = np.where(near, label, len(ids)).min(axis=1)
+            least = np.minimum(least, least[least])
+            if (least == label).all():
+                break
+            label = least
+        other = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[label[other]], "b": ids[other]})
 
     return rows.groupBy("key", "pair").applyInPandas(compare, "a bigint, b bigint")
 

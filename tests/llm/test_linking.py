@@ -105,9 +105,9 @@ def near_copies(rng, vocabulary, words, changes, copies):
     return out
 
 
-@pytest.mark.parametrize("most", [3, 64])
+@pytest.mark.parametrize("most", [1, 3, 64])
 def test_keep_one_finds_near_copies_and_leaves_others(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "PAIRS_MOST", most)
+    monkeypatch.setattr(simhash, "WIDE_PAIRS_MOST", most)
     monkeypatch.setattr(simhash, "PART_ROWS", 4)
     rng = np.random.default_rng(8)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(4000)]
