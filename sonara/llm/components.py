@@ -46,6 +46,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     loops = now.filter(F.col("a") == F.col("b")).select(F.col("a").alias("node"), F.col("a").alias("component"))
     first = at
     links, state = now.filter(F.col("a") > F.col("b")), None
+    if links.isEmpty():
+        return loops
     while True:
         following, path = written(_star(_star(links, larger=True), larger=False), "stars")
         sums = _sums(following)
