@@ -92,16 +92,19 @@ class PieceTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         keys: set[str] = set()
-        for text in texts:
-            for part in self.parts(text)[::2]:
-                keys.update(split_pieces(part))
-        get, out = self.known.learn(keys), []
+        split: list[list[list[str]]] = []
+        specials: list[list[str]] = []
         for text in texts:
             parts = self.parts(text)
-            if len(parts) == 1:
-                out.append(b"".join(map(get, split_pieces(text))))
-            else:
-                out.append(b"".join(np.uint32(self.specials[p]).tobytes() if i % 2 else b"".join(map(get, split_pieces(p))) for i, p in enumerate(parts)))
+            split.append([split_pieces(p) for p in parts[::2]])
+            specials.append(parts[1::2])
+            keys.update(*split[-1])
+        get, out = self.known.learn(keys), []
+        for pieces_of, between in zip(split, specials, strict=True):
+            encoded = [b"".join(map(get, p)) for p in pieces_of]
+            for special, following in zip(between, encoded[1:], strict=True):
+                encoded[0] += np.uint32(self.specials[special]).tobytes() + following
+            out.append(encoded[0])
         return out
 
 

@@ -14,6 +14,7 @@ of two equal ids overlaps with itself; it is taken only where it is the most fre
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -178,6 +179,8 @@ class LibraryEncoder:
     string, whose ids are dealt to the pieces by their lengths in bytes."""
 
     def __init__(self, tokenizer_json: str):
+        # a task has one core: threads of the library's own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -192,7 +195,7 @@ class LibraryEncoder:
         self.encode = self.table.encode
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
