@@ -507,8 +507,7 @@ def burst_recordings(spark: SparkSession, sf_dir: str, copies: int = 40) -> Data
     signal = F.transform("embedding", lambda x: (x * 2).cast("float"))
     burst = F.flatten(F.array_repeat(signal, copies * 8))
     quiet = F.array_repeat(F.lit(0).cast("float"), 64 * copies * 8)
-    rows = embeddings(spark, sf_dir).filter(F.col("vec_id") < 40)
-    return rows.select(F.col("vec_id").alias("rec_id"), F.concat(quiet, burst, quiet, burst, quiet).alias("pcm"))
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("rec_id"), F.concat(quiet, burst, quiet, burst, quiet).alias("pcm"))
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from sonara.catalogue import ORACLE_SQL, QUERIES, toy_tokenizer
+from sonara.catalogue import ORACLE_SQL, QUERIES, burst_recordings, toy_tokenizer
 from sonara.config import StreamConfig, TranscribeConfig, VadConfig
 from sonara.plans import scoring, stub, transcribe
 from sonara.sources import audio, documents
@@ -209,3 +209,9 @@ def test_query_equals_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, sf, name):
     assert contract.queries()[name](spark, sf).agg(F.count("*")).first()[0] > 0
+
+
+def test_all_embeddings_are_recordings(spark, sf):
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert len(ids) > 40 and {r.rec_id for r in burst_recordings(spark, sf).select("rec_id").collect()} == ids
+    assert {r.rec_id for r in QUERIES["mel_features"](spark, sf).collect()} == ids
