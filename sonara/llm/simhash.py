@@ -6,9 +6,9 @@ of each pair that met is verified. Two ways to make keys:
 
 * `exact_keys` for short distances: with k + c blocks, two fingerprints that differ in k bits agree in c blocks at least, and
   each choice of c blocks is a key. No pair within k bits is lost.
-* `wide_keys` for a similarity of shingle sets: so many bits belong to it that no few blocks are sure to agree. Wide
+* `wide_links` for a similarity of shingle sets: so many bits belong to it that no few blocks are sure to agree. Wide
   fingerprints have many blocks; a block's width follows the number of fingerprints (log2), so the pairs that meet by chance
-  stay a constant number a row, and the number of blocks follows from the recall that is asked for.
+  stay a constant number a row. What the blocks miss is found by `rest_links`: two sets of a similarity share one of their first few shingles, in any fixed order of shingles.
 
 A key that many fingerprints share would make pairs as the square of their number. Such keys go another way, which links the
 same fingerprints: for a distance of up to 2 through the points between (two fingerprints are within 2 bits if and only
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, pieces, text_of, written
+from sonara.llm.common import map_arrow, pieces, remove, text_of, written
 from sonara.llm.components import components
 
 SEED = 42
@@ -37,6 +37,8 @@ SEED = 42
 PAIRS_MOST = 64
 #: The same for wide fingerprints, where a block's chance matches are one or two.
 WIDE_PAIRS_MOST = 8
+#: Texts whose shingles are counted, and the shingles that then are known as frequent; both bear on speed only.
+SAMPLE_TEXTS, FREQUENT_MOST = 20_000, 50_000
 #: Rows of a part where a large key is compared part by part.
 PART_ROWS = 512
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -214,11 +216,7 @@ def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     """(a, b) among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each pair of parts is compared
     by itself. Of each class of linked rows all are named with the least id, so a group that shares many keys gives about
     one row for each member and not one for each link."""
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    rows = many.select("key", "id", parts.alias("parts"), own.alias("own"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))))
-    rows = rows.select("key", "id", "own", pairs.alias("pair")).join(prints.select("id", "fingerprint"), "id")
+    rows = _in_parts(many, "id").join(prints.select("id", "fingerprint"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -238,13 +236,148 @@ def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("key", "pair").applyInPandas(compare, "a bigint, b bigint")
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; a single zero without words, so that such texts are alike."""
+    found = np.unique(shingle_hashes(text, width))
+    return found if len(found) else np.zeros(1, dtype=np.uint64)
+
+
+def _alike(common: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    return common >= similarity * (n + m - common) - 1e-9
+
+
+def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have this Jaccard similarity at least; texts are (id, text)."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)
+                near.append(bool(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
+            kept = batch.filter(pa.array(near, pa.bool_()))
+            yield {"a": kept.column(0), "b": kept.column(1)}
+
+        return each
+
+    return map_arrow(both, start, "a bigint, b bigint")
+
+
+def frequent_shingles(texts: DataFrame, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that a sample of the texts has often, and how many texts have each. They go last in the
+    order of shingles; another sample gives another order and the same links."""
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, count // SAMPLE_TEXTS))) == 0)
+
+    def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            for _, part in pieces(batch):
+                for t in part:
+                    yield {"v": pa.array(shingle_set(t, width).view(np.int64), pa.int64())}
+
+        return each
+
+    often = map_arrow(sample.select("id", "text"), start, "v bigint").groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 4)
+    rows = often.orderBy(F.desc("n"), "v").limit(FREQUENT_MOST).toPandas()
+    hashes, counts = rows["v"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix_keys(texts: DataFrame, width: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, n): a text's first n - ceil(similarity * n) + 1 of n shingles, rare ones first. Two sets of the similarity
+    have at least ceil(similarity * n) shingles in common, so the first of these in the order is a key of both."""
+    often, counts = frequent
+
+    def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            for part, texts_ in pieces(batch):
+                keys, sizes = [], []
+                for t in texts_:
+                    found = shingle_set(t, width)
+                    rank = np.zeros(len(found), dtype=np.int64)
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
+                        rank = np.where(often[at] == found, counts[at], 0)
+                    first = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+                    keys.append(found[np.lexsort((found, rank))[:first]])
+                    sizes.append(len(found))
+                taken = np.array([len(k) for k in keys])
+                rows = pa.array(np.repeat(np.arange(len(keys)), taken))
+                yield {"key": pa.array(np.concatenate(keys).view(np.int64), pa.int64()), "id": part.column(0).take(rows), "n": pa.array(np.repeat(np.array(sizes, dtype=np.int32), taken))}
+
+        return each
+
+    return map_arrow(texts.select("id", "text"), start, "key bigint, id bigint, n int")
+
+
+def rest_links(texts: DataFrame, names: DataFrame, count: int, width: int, similarity: float) -> DataFrame:
+    """(a, b) links of the similarity that join the components (node, component) found so far: with them, any two texts
+    (id, text) of the similarity are connected. Only pairs from different components are looked at."""
+    keyed, _ = written(prefix_keys(texts, width, similarity, frequent_shingles(texts, count, width)), "prefixes")
+    few, many = _by_key_size(keyed.withColumnRenamed("n", "size"), WIDE_PAIRS_MOST)
+    left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("n")), few.select("key", F.col("id").alias("b"), F.col("size").alias("m"))
+    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), similarity)).select("a", "b").distinct()
+    of = lambda side: names.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    open_, _ = written(met.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b"), "open")
+    placed, _ = written(many.join(names.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n"), "crowded")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") < F.col("high")).select("key")
+    return verified(open_, texts, width, similarity).union(_links_of_crowded(placed.join(mixed, "key"), texts, width, similarity)).distinct()
+
+
+def _in_parts(many: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, columns, pair): each key's rows are dealt to parts, and each pair of parts has the rows of both."""
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    rows = many.select("key", *columns, parts.alias("parts"), own.alias("own"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))))
+    return rows.select("key", *columns, pairs.alias("pair"))
+
+
+def _links_of_crowded(many: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of the similarity among rows (key, id, component, n) of crowded keys. All pairs of parts are compared, but for
+    rows that links already connect; so there are fewer links than rows."""
+    rows = _in_parts(many, "id", "component").join(texts.select("id", "text"), "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        ids, root = group["id"].to_numpy(), group["component"].to_numpy().copy()
+        links = []
+        if (root != root[0]).any():
+            sets = [shingle_set(t, width) for t in group["text"]]
+            sizes = np.array([len(x) for x in sets])
+            starts = np.r_[0, np.cumsum(sizes)]
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(values), dtype=np.int64)
+            for i in range(1, len(ids)):
+                fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9
+                if not (fits & (root[:i] != root[i])).any():
+                    continue
+                own = codes[starts[i] : starts[i + 1]]
+                mark[own] = 1
+                common = np.add.reduceat(mark[codes[: starts[i]]], starts[:i])
+                mark[own] = 0
+                for j in np.flatnonzero(fits & _alike(common, sizes[:i], sizes[i], similarity)):
+                    if root[j] != root[i]:
+                        links.append((ids[j], ids[i]))
+                        root[root == root[j]] = root[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "pair").applyInPandas(compare, "a bigint, b bigint")
+
+
 def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that are first (by id, null last, then text) among those linked to them as near-duplicates, with all
     their columns.
 
     Texts of fewer words than a shingle are compared by all their words; texts without words are all alike, as equal texts
-    are. The threshold on differing bits is that of the similarity plus two standard deviations, so a pair at the
-    similarity itself passes in 97 of 100 cases.
+    are. The threshold on differing bits is that of the similarity plus two standard deviations. `recall` is the share of pairs
+    of the similarity that the fingerprints' blocks bring together; the rest is found by shingles. Links are transitive.
     """
     # rows of equal text are one class from the start; h stands for the text, its 128 bits make chance matches no concern
     text = text_of(text_col)
@@ -252,13 +385,17 @@ def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: flo
     order = lambda c: F.struct(c.isNull().alias("n"), c.alias("i"))
     first = df.select(h.alias("h"), order(F.col(id_col).cast("bigint")).alias("o"), text.alias("text")).groupBy("h").agg(F.min_by("text", "o").alias("text"), F.min("o").alias("o"))
     classes, _ = written(first.select(F.monotonically_increasing_id().alias("id"), "h", "o", "text"), "texts")
-    bits, blocks = wide_plan(classes.count(), similarity, recall)
+    count = classes.count()
+    bits, blocks = wide_plan(count, similarity, recall)
     lanes = math.ceil(bits * blocks / 64)
     share = differing_share(similarity)
     most = math.floor(64 * lanes * share + 2 * math.sqrt(64 * lanes * share * (1 - share)))
-    prints, _ = written(wide_fingerprints(classes, width, lanes), "wide")
+    prints, at = written(wide_fingerprints(classes, width, lanes), "wide")
     links, _ = written(wide_links(prints, bits, blocks, most), "links")
-    names = components(links, "a", "b").withColumnsRenamed({"node": "id"})
+    remove(df.sparkSession, at)
+    known, _ = written(components(links, "a", "b"), "known")
+    rest, _ = written(rest_links(classes, known, count, width, similarity), "rest")
+    names = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "a", "b").withColumnsRenamed({"node": "id"})
     named = classes.select("id", "h", "o").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = named.groupBy("component").agg(F.min(F.struct("o", "h")).alias("best")).select("best.o", "best.h")
     kept = best.select(F.col("h").alias("kept_h"), F.col("o").alias("kept_o"))

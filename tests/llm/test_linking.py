@@ -124,6 +124,27 @@ def test_keep_one_finds_near_copies_and_leaves_others(spark, monkeypatch, most):
     assert caught >= 58 and all(min(i for i, (h, _) in enumerate(rows) if h == g) in by_group[g] for g in range(61))
 
 
+def near_pair(rng, low, high):
+    """Two texts of 400 words whose five-word shingle sets have a similarity from low to high."""
+    sets = lambda words: set(zip(*(words[k:] for k in range(5)), strict=False))
+    for _ in range(1000):
+        a = [f"w{x}" for x in rng.integers(0, 4000, 400)]
+        b = list(a)
+        for at in rng.choice(400, int(rng.integers(6, 15)), replace=False):
+            b[at] = f"w{rng.integers(0, 4000)}"
+        x, y = sets(a), sets(b)
+        if low <= len(x & y) / len(x | y) < high:
+            return [" ".join(a), " ".join(b)]
+    raise AssertionError("no such pair")
+
+
+def test_keep_one_links_all_pairs_of_the_similarity(spark):
+    rng = np.random.default_rng(12)
+    pairs = [near_pair(rng, 0.8, 0.82) for _ in range(120)]
+    df = spark.createDataFrame([(2 * g + k, t) for g, texts in enumerate(pairs) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(range(0, 240, 2))
+
+
 def test_keep_one_of_odd_rows(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
