@@ -8,7 +8,8 @@ of each pair that met is verified. Two ways to make keys:
   each choice of c blocks is a key. No pair within k bits is lost.
 * `wide_links` for a similarity of shingle sets: so many bits belong to it that no few blocks are sure to agree. Wide
   fingerprints have many blocks; a block's width follows the number of fingerprints (log2), so the pairs that meet by chance
-  stay a constant number a row. What the blocks miss is found by `rest_links`: two sets of a similarity share one of their first few shingles, in any fixed order of shingles.
+  stay a constant number a row. These pairs are candidates: each is judged by its shingle sets. What the blocks miss is
+  found by `rest_links`: two sets of a similarity share one of their first few shingles, in any fixed order of shingles.
 
 A key that many fingerprints share would make pairs as the square of their number. Such keys go another way, which links the
 same fingerprints: for a distance of up to 2 through the points between (two fingerprints are within 2 bits if and only
@@ -37,6 +38,8 @@ SEED = 42
 PAIRS_MOST = 64
 #: The same for wide fingerprints, where a block's chance matches are one or two.
 WIDE_PAIRS_MOST = 8
+#: 64-bit lanes of a wide fingerprint, at any number of texts.
+WIDE_LANES = 10
 #: Texts whose shingles are counted, and the shingles that then are known as frequent; both bear on speed only.
 SAMPLE_TEXTS, FREQUENT_MOST = 20_000, 50_000
 #: Rows of a part where a large key is compared part by part.
@@ -376,8 +379,9 @@ def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: flo
     their columns.
 
     Texts of fewer words than a shingle are compared by all their words; texts without words are all alike, as equal texts
-    are. The threshold on differing bits is that of the similarity plus two standard deviations. `recall` is the share of pairs
-    of the similarity that the fingerprints' blocks bring together; the rest is found by shingles. Links are transitive.
+    are. Texts are linked if their shingle sets have the Jaccard similarity, at any number of texts, and all such pairs are
+    connected; `recall` is the share of them that the fingerprints' blocks bring together up to 65,536 texts, and the rest is
+    found by shingles. Links are transitive.
     """
     # rows of equal text are one class from the start; h stands for the text, its 128 bits make chance matches no concern
     text = text_of(text_col)
@@ -387,12 +391,13 @@ def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: flo
     classes, _ = written(first.select(F.monotonically_increasing_id().alias("id"), "h", "o", "text"), "texts")
     count = classes.count()
     bits, blocks = wide_plan(count, similarity, recall)
-    lanes = math.ceil(bits * blocks / 64)
+    blocks = min(blocks, 64 * WIDE_LANES // bits)
     share = differing_share(similarity)
-    most = math.floor(64 * lanes * share + 2 * math.sqrt(64 * lanes * share * (1 - share)))
-    prints, at = written(wide_fingerprints(classes, width, lanes), "wide")
-    links, _ = written(wide_links(prints, bits, blocks, most), "links")
+    most = math.floor(64 * WIDE_LANES * share + 2 * math.sqrt(64 * WIDE_LANES * share * (1 - share)))
+    prints, at = written(wide_fingerprints(classes, width, WIDE_LANES), "wide")
+    near, _ = written(wide_links(prints, bits, blocks, most), "near")
     remove(df.sparkSession, at)
+    links, _ = written(verified(near, classes, width, similarity), "links")
     known, _ = written(components(links, "a", "b"), "known")
     rest, _ = written(rest_links(classes, known, count, width, similarity), "rest")
     names = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "a", "b").withColumnsRenamed({"node": "id"})

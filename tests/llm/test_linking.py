@@ -145,6 +145,23 @@ def test_keep_one_links_all_pairs_of_the_similarity(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(range(0, 240, 2))
 
 
+def test_keep_one_leaves_pairs_under_the_similarity(spark):
+    rng = np.random.default_rng(14)
+    pairs = [near_pair(rng, 0.72, 0.8) for _ in range(120)]
+    df = spark.createDataFrame([(2 * g + k, t) for g, texts in enumerate(pairs) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(range(240))
+
+
+def test_keep_one_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    pairs = [near_pair(rng, 0.7, 0.86) for _ in range(40)]
+    df = spark.createDataFrame([(2 * g + k, t) for g, texts in enumerate(pairs) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    few = {r.doc_id for r in simhash.keep_one(df).collect()}
+    plan = simhash.wide_plan
+    monkeypatch.setattr(simhash, "wide_plan", lambda count, *rest: plan(6_000_000, *rest))
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == few
+
+
 def test_keep_one_of_odd_rows(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
