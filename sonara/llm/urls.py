@@ -7,17 +7,25 @@ rule does, else allowed. Classes are connected components over addresses, found
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import written
+from sonara.llm.common import map_arrow, written
 from sonara.llm.components import components
 
 #: (verdict, host, path) of the rules in force (fixed values).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+_VALUE = r"""(?:"\s*([^">]*)|'\s*([^'>]*)|([^"'\s>]+))"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*""" + _VALUE
+_META = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*(?:"([^">]*)|'([^'>]*)|([^\s"'>][^\s>]*(?:\s+url\s*=[^\s>]*)?))"""
+_REFRESH_URL = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def after_scheme(url: str) -> Column:
@@ -41,20 +49,54 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return F.array_max(fits)
 
 
-def address(host: Column, path: Column) -> Column:
-    """A page's address without scheme, query and fragment: the node of the alias graph. Null without a host."""
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path)))
+def query_of(url: str) -> Column:
+    """The query with its question mark; empty without one."""
+    return F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+
+
+def address(host: Column, path: Column, query: Column) -> Column:
+    """A page's address without scheme and fragment: the node of the alias graph. Null without a host. Rules read no query."""
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), F.when(query == "?", F.lit("")).otherwise(query)))
+
+
+def address_of(url: str) -> Column:
+    return address(host_of(url), path_of(url), query_of(url))
+
+
+def _targets(column: str, pattern: str) -> Column:
+    """What any of a pattern's three ways to write a value took, of all its matches."""
+    ways = [F.regexp_extract_all(column, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
+    return F.flatten(F.array(*ways))
+
+
+def complete(base: str | None, target: str | None) -> str | None:
+    """A target as a whole URL, by the page's URL (RFC 3986); null where there is none."""
+    target = html.unescape(target or "").strip()
+    if not target or not base or "://" not in base:
+        return target if "://" in target.split("?")[0].split("#")[0] else None
+    try:
+        whole = urljoin(re.sub(r"^[^:/?#]*(?=://)", "http", base), target)
+    except ValueError:
+        return None
+    return whole if "://" in whole.split("?")[0].split("#")[0] else None
 
 
 def link_edges(df: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_url, to_url) of the canonical links and refresh redirects in the pages' markup; targets on the own host are
-    completed, other relative ones are left out."""
+    """(from_url, to_url) of all canonical links and refresh redirects in the pages' markup; relative targets are completed
+    by the page's URL."""
     pages = df.select(df[url_col].cast("string").alias("from_url"), F.coalesce(df[html_col].cast("string"), F.lit("")).alias("html"))
-    found = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
-    links = pages.filter(F.col("html").rlike("(?i)canonical|refresh")).select("from_url", F.explode(found).alias("to"))
-    own = F.concat(F.lit("http://"), host_of("from_url"), F.col("to"))
-    whole = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), own).when(F.col("to").contains("://"), F.col("to"))
-    return links.filter(F.col("to") != "").select("from_url", whole.alias("to_url")).filter(F.col("to_url").isNotNull())
+    pages = pages.filter(F.col("html").rlike("(?i)canonical|refresh"))
+    refresh = F.transform(_targets("html", _META), lambda x: F.regexp_extract(x, _REFRESH_URL, 1))
+    links = pages.select("from_url", F.explode(F.concat(_targets("html", _CANONICAL), refresh)).alias("to")).filter(F.trim("to") != "")
+
+    def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            found = map(complete, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield {"from_url": batch.column(0), "to_url": pa.array(list(found), pa.string())}
+
+        return each
+
+    return map_arrow(links, start, "from_url string, to_url string").filter(F.col("to_url").isNotNull())
 
 
 def judge_urls(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -67,14 +109,14 @@ def judge_urls(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, r
     edges = link_edges(df, url_col, html_col)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url"))
-    ends = edges.select(address(host_of("from_url"), path_of("from_url")).alias("a"), address(host_of("to_url"), path_of("to_url")).alias("b"))
+    ends = edges.select(address_of("from_url").alias("a"), address_of("to_url").alias("b"))
     # addresses are text; components take any ordered type
     classes, _ = written(components(ends, "a", "b"), "aliases")
     pages = df.select(df[id_col].cast("bigint").alias("id"), df[url_col].cast("string").alias("url"))
-    pages = pages.select("id", host_of("url").alias("host"), path_of("url").alias("path"))
-    pages = pages.select("id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("fit"), address(F.col("host"), F.col("path")).alias("node"))
+    pages = pages.select("id", host_of("url").alias("host"), path_of("url").alias("path"), address_of("url").alias("node"))
+    pages = pages.select("id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("fit"), "node")
     # every address of a class counts, a page of the table or not
-    node_host, node_path = F.regexp_extract("node", "^([^/]*)", 1), F.regexp_extract("node", "^[^/]*(.*)$", 1)
+    node_host, node_path = F.regexp_extract("node", "^([^/]*)", 1), F.regexp_extract("node", r"(?s)^[^/]*([^?]*)", 1)
     judged = classes.select("node", "component", fitting_rule(node_host, node_path, rules)["verdict"].alias("verdict"))
     of_class = judged.groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
     decided = of_class.select("component", F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block")).alias("by_class"))

@@ -267,6 +267,27 @@ def test_decisions_reach_aliases(spark):
     assert found[7] == (None, "allow") and found[11] == (None, "allow")
 
 
+def test_all_links_of_a_page_count(spark):
+    blocked = "http://b.com/de/1"
+    rows = [
+        (1, "http://a.net/d/1", '<link rel="canonical" href="http://q.net/x"><link rel=canonical href="http://b.com/de/1">'),
+        (2, "http://a.net/d/2", '<link rel="canonical" href="1">'),
+        (3, "http://a.net/d/e/3", "<link href='../1' rel='canonical'>"),
+        (4, "http://a.net/d/4", """<meta http-equiv="refresh" content="0; url='http://b.com/de/1'">"""),
+        (5, "http://a.net/d/5", "<meta http-equiv=refresh content=0;url=http://b.com/de/1>"),
+        (6, "http://a.net/d/6?id=1", f'<link rel="canonical" href="{blocked}">'),
+        (7, "http://a.net/d/6?id=2", ""),
+        (8, "http://a.net/d/6", '<link rel="canonical" href="?id=1">'),
+        (9, "http://a.net/d/9", '<meta http-equiv="refresh" content="5"><meta http-equiv="refresh" content="0;url=6?id=1">'),
+        (11, "http://a.net/d/11", '<link rel="canonical" href="/k?a=1&amp;b=2">'),
+        (12, "http://a.net/k?a=1&b=2", f'<link rel="canonical" href="{blocked}">'),
+        (10, "http://a.net/d/10?u=/de/", '<link rel="canonical" href="http://c.net/?v=/de/">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.page_id: r.verdict for r in urls.judge_urls(df).collect()}
+    assert found == {i: "allow" if i in (7, 10) else "block" for i in range(1, 13)}
+
+
 ROLES = st.one_of(st.sampled_from(["user", "assistant", "system", "tool", "", None]), st.text(max_size=4))
 SAID = st.lists(st.sampled_from([*chat.CONTROLS, " ", "[/INST]", "\n<</SYS>>\n", chat.ESCAPE, "ok", "[/INS", "] ", " </s", "é"]), max_size=8).map("".join)
 
