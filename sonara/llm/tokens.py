@@ -85,7 +85,8 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
         rule = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         hit = pairs[rule] == keys
         at, rule = at[hit], rule[hit]
-        if len(pairs) == 1 and pairs[0] >> np.uint64(32) == pairs[0] & np.uint64(0xFFFFFFFF):
+        alone = len(pairs) == 1 and pairs[0] >> np.uint64(32) == pairs[0] & np.uint64(0xFFFFFFFF)
+        if alone:
             place = np.arange(len(at))
             start = np.maximum.accumulate(np.where(np.r_[False, at[1:] == at[:-1] + 1], 0, place))
             at, rule = at[(place - start) % 2 == 0], rule[(place - start) % 2 == 0]
@@ -96,7 +97,7 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
         right.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         made += len(pairs)
         before, seq = len(seq), seq[keep]
-        if before - len(seq) < gain * before:
+        if not alone and before - len(seq) < gain * before:  # a round of one pair of equal ids says nothing of other pairs
             break
     empty = np.zeros(0, dtype=np.uint32)
     return base, np.concatenate([empty, *left]), np.concatenate([empty, *right]), seq

@@ -96,3 +96,12 @@ def test_encode_then_decode(odd, odd_rows, tokenizer_json):
 def test_empty_tables(empty, tokenizer_json):
     assert tokens.token_digest(empty, tokenizer_json).count() == 0
     assert bpe.bpe_round_trip(empty, tokenizer_json).count() == 0
+
+
+def test_repair_goes_on_after_a_round_of_equal_ids():
+    other = iter(range(1000, 200_000))
+    ids = [x for _ in range(400) for x in (0, 0, next(other))] + [x for _ in range(100) for k in range(300) for x in (1 + k, 301 + k, next(other))]
+    array = np.array(ids, dtype=np.uint32)
+    base, left, right, seq = tokens.repair(array)
+    assert left[0] == right[0] == 0 and len(seq) < 0.7 * len(ids)
+    assert int(tokens.expansion_lengths(base, left, right)[seq[seq >= base] - base].sum()) + int((seq < base).sum()) == len(ids)
