@@ -53,19 +53,13 @@ def _round(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray] | None:
     pairs, counts = kept[starts[frequent]], counts[frequent]
     order = np.lexsort((pairs, -counts))
     first, second, taken = set(), set(), []
-    for n, key in enumerate(pairs[order].tolist()):
+    for key in pairs[order].tolist():
         a, b = key >> 32, key & 0xFFFFFFFF
-        if a == b:
-            if n == 0:
-                return np.array([key], dtype=np.uint64), slot
-            continue
-        if a in second or b in first:
+        if a in second or b in first:  # a pair of equal ids keeps other pairs with its id out, both ways
             continue
         first.add(a)
         second.add(b)
         taken.append(key)
-    if not taken:  # pairs of equal ids only
-        taken = [pairs[order][0]]
     return np.sort(np.array(taken, dtype=np.uint64)), slot
 
 
@@ -85,11 +79,10 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
         rule = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         hit = pairs[rule] == keys
         at, rule = at[hit], rule[hit]
-        alone = len(pairs) == 1 and pairs[0] >> np.uint64(32) == pairs[0] & np.uint64(0xFFFFFFFF)
-        if alone:
-            place = np.arange(len(at))
-            start = np.maximum.accumulate(np.where(np.r_[False, at[1:] == at[:-1] + 1], 0, place))
-            at, rule = at[(place - start) % 2 == 0], rule[(place - start) % 2 == 0]
+        # only pairs of equal ids meet themselves: of a run every second one
+        place = np.arange(len(at))
+        start = np.maximum.accumulate(np.where(np.r_[False, at[1:] == at[:-1] + 1], 0, place))
+        at, rule = at[(place - start) % 2 == 0], rule[(place - start) % 2 == 0]
         seq[at] = (made + rule).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
@@ -97,7 +90,7 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
         right.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         made += len(pairs)
         before, seq = len(seq), seq[keep]
-        if not alone and before - len(seq) < gain * before:  # a round of one pair of equal ids says nothing of other pairs
+        if before - len(seq) < gain * before:
             break
     empty = np.zeros(0, dtype=np.uint32)
     return base, np.concatenate([empty, *left]), np.concatenate([empty, *right]), seq
