@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a pair occurrence index.
 
-A text falls into pieces at single spaces and line ends between other characters; no pre-token crosses such a place, so
-pieces are encoded apart and kept in a table of known pieces. The unknown pieces of a batch are laid out in one array of
+A text falls into pieces at single spaces and line ends between other characters and where letters, digits and marks
+meet; no pre-token crosses such a place, so pieces are encoded apart and kept in a table of known pieces. Finding pieces and telling them apart goes by whole arrays. The unknown pieces of a batch are laid out in one array of
 symbols. The index maps each pair that has a rank to all its positions in that array. The lowest active rank is applied
 at all its positions at once, the pairs that this makes are added to the lists of their own ranks, and so on until no
 rank is active. A pair's parts are made by lower ranks only (checked on loading), so the order over all pieces is the
@@ -14,24 +14,30 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sonara.llm.common import map_arrow, pieces, text_of
+from sonara.llm.common import map_arrow, slices, text_of
 
 #: The pre-token pattern of byte-level BPE (fixed value, as in public_tokenizers.PATTERN).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Known pieces are forgotten when there are so many: about 60 MB.
-KNOWN_PIECES = 300_000
-
-#: White space other than the space and the line end (fixed values: the characters for which str.isspace holds).
-_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-_UNEVEN = ("  ", "\n\n", " \n", "\n ", *_OTHER_SPACE)
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Known pieces are forgotten when there are so many: about 60 MB; known words, about 20 MB.
+KNOWN_PIECES, KNOWN_WORDS = 1_000_000, 100_000
+
+#: Bytes by which a piece may begin, and bytes next to which no piece begins: ASCII white space and the four separators
+#: that some libraries count as such.
+_BREAK, _WHITE = (np.isin(np.arange(256), x) for x in ([10, 32], [*range(9, 14), *range(28, 33)]))
+#: A character of several bytes may be white space if its first byte is among FIRST and the others among LATER.
+_FIRST = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_LATER = np.isin(np.arange(256), [*range(0x80, 0x8B), 0x8E, 0x85, 0x9A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
+_KIND = np.zeros(256, dtype=np.uint8)
+for _kind, _bytes in ((1, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), (2, b"0123456789"), (3, b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')):
+    _KIND[list(_bytes)] = _kind
 #: All pre-tokens of a text, in order.
 pretokens = regex.compile(PRETOKEN).findall
 
@@ -43,25 +49,52 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def split_pieces(text: str) -> list[str]:
-    """Keys of the text's pieces. A key beginning with two line ends is the first piece, one with a line end stands for
-    itself, any other for itself after a space."""
-    if text[:1].isspace() or text[-1:].isspace() or any(map(text.__contains__, _UNEVEN)):
-        keys = _SINGLE_SPACE.split(text)
-    else:
-        keys = text.replace("\n", " \n").split(" ")
-    keys[0] = "\n\n" + keys[0]
-    return keys
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """1 for bytes of letters, 2 of digits, 3 of marks, 0 where none of these is certain (or an apostrophe, as contractions
+    are pre-tokens). Letters are those of ASCII and of the Latin-1 supplement, whose first byte is C3."""
+    kind = _KIND[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3)
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]  # the signs of multiplication and division
+    kind[latin] = kind[latin + 1] = 1
+    return kind
+
 
+def piece_starts(data: np.ndarray, ends: np.ndarray, specials: list[bytes]) -> np.ndarray:
+    """Where the pieces of texts begin that lie one behind another in data (bytes of UTF-8) and end at `ends`.
 
-def piece_text(key: str) -> str:
-    return " " + key if key[0] != "\n" else key[2:] if key[:2] == "\n\n" else key
+    A piece begins at each text's start, at a single space or line end between two characters that are no white space, and
+    where a letter, a digit and a mark meet. Where a neighbour may be white space of several bytes none begins, nor inside
+    a special token, so pieces there are longer, which is as right.
+    """
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    at = np.flatnonzero(_BREAK[data])
+    before, after = data.take(at - 1, mode="clip"), data.take(at + 1, mode="clip")
+    open_ = ~(_WHITE[before] | _WHITE[after])
+    far = np.flatnonzero(open_ & ((before >= 0x80) | (after >= 0x80)))
+    if len(far):
+        place, b, a = at[far], before[far], after[far]
+        left = _LATER[b] & ((data.take(place - 2, mode="clip") == 0xC2) | (_LATER[data.take(place - 2, mode="clip")] & _FIRST[data.take(place - 3, mode="clip")]))
+        open_[far] = ~(left | (_FIRST[a] & _LATER[data.take(place + 2, mode="clip")]))
+    begins[at[open_]] = True
+    last = ends[ends > 0] - 1
+    begins[last[_BREAK[data[last]]]] = False  # a text's last character
+    kind = _kinds(data)
+    begins[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    raw = data.tobytes() if specials else b""
+    for special in specials:
+        found = raw.find(special)
+        while found >= 0:
+            begins[found + 1 : found + len(special)] = False
+            found = raw.find(special, found + 1)
+    begins[np.r_[0, ends[:-1]]] = True
+    begins[len(data)] = False
+    return np.flatnonzero(begins)
 
 
 class Known:
     """A table of what was encoded before. When it is full, entries that one batch only has asked for are forgotten."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], most: int = KNOWN_PIECES):
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], most: int = KNOWN_WORDS):
         self.encode_new, self.most = encode_new, most
         self.ids: dict[str, bytes] = {}
         self.again: set[str] = set()
@@ -77,35 +110,107 @@ class Known:
         return self.ids.__getitem__
 
 
-class PieceTable:
-    """Encodes texts piece by piece; encode_new gets the unknown pieces' texts and returns each one's ids as bytes."""
+#: From an array of distinct pieces to (the ids of all, one behind another; the number of each one's ids).
+EncodeNew = Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
+
+
+class Entries:
+    """Ids of known pieces: the k-th key has pool[start[k]:start[k] + length[k]]. When there are over `most` keys, or their
+    ids fill the pool, those that were seen once only are forgotten. Keys lie in Arrow's memory, about 15 bytes each; a table
+    to look them up is made for each batch, and a small one of the HOT most frequent keys, which is asked first."""
 
-    def __init__(self, specials: dict[str, int], encode_new: Callable[[list[str]], list[bytes]], most: int = KNOWN_PIECES):
-        self.known = Known(lambda keys: encode_new([piece_text(k) for k in keys]), most)
-        self.specials = specials
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
+    POOL, HOT = 12_000_000, 8192
 
-    def parts(self, text: str) -> list[str]:
-        """The text between special tokens, and these at the odd places."""
-        return self.special.split(text) if self.special and self.special.search(text) else [text]
+    def __init__(self, encode_new: EncodeNew, most: int):
+        self.encode_new, self.most = encode_new, most
+        none = np.zeros(0, dtype=np.int64)
+        self._keep(none, pa.array([], pa.string()), none.astype("<u4"), none, none, none)
+
+    def _keep(self, keep: np.ndarray, keys: pa.StringArray, pool: np.ndarray, start: np.ndarray, length: np.ndarray, used: np.ndarray) -> None:
+        self.keys, self.pool, self.length, self.used = keys.take(pa.array(keep)), gather(pool, start[keep], length[keep]), length[keep], used[keep]
+        self.start = np.cumsum(self.length) - self.length
+        self._heat()
+
+    def _heat(self) -> None:
+        self.hot = np.argsort(-self.used, kind="stable")[: self.HOT] if len(self.used) <= self.HOT else np.argpartition(-self.used, self.HOT)[: self.HOT]
+        self.hot_keys, self.heated = self.keys.take(pa.array(self.hot)), len(self.keys)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > self.most // 2 or self.length[keep].sum() > self.POOL // 2:
+            keep = self.hot[self.length[self.hot] < 16]
+        self._keep(keep, self.keys, self.pool, self.start, self.length, self.used)
+
+    def of(self, pieces_: pa.StringArray) -> np.ndarray:
+        """The number of each piece's key; unknown pieces are encoded first."""
+        if len(self.keys) > self.most or len(self.pool) > self.POOL:
+            self._forget()
+        elif len(self.keys) > 2 * self.heated:
+            self._heat()
+        place = pc.fill_null(pc.index_in(pieces_, value_set=self.hot_keys), -1).to_numpy()
+        found = self.hot[place] if len(self.hot) else place.astype(np.int64)
+        cold = np.flatnonzero(place < 0)
+        if len(cold):
+            rest = pieces_.take(pa.array(cold))
+            found[cold] = pc.fill_null(pc.index_in(rest, value_set=self.keys), -1).to_numpy()
+            missing = np.flatnonzero(found[cold] < 0)
+            if len(missing):
+                coded = rest.take(pa.array(missing)).dictionary_encode()
+                found[cold[missing]] = coded.indices.to_numpy() + len(self.keys)
+                ids, lengths = self.encode_new(coded.dictionary)
+                self.keys = pa.concat_arrays([self.keys, coded.dictionary])
+                self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
+                self.length, self.pool = np.concatenate([self.length, lengths]), np.concatenate([self.pool, ids])
+                self.used = np.concatenate([self.used, np.zeros(len(lengths), dtype=np.int64)])
+        self.used += np.bincount(found, minlength=len(self.used))
+        return found
+
+
+def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs pool[start:start + length], one behind another."""
+    ends = np.cumsum(length)
+    return pool[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class PieceTable:
+    """Encodes texts piece by piece. Pieces are found and told apart in Arrow's memory, so only distinct ones become Python
+    strings; encode_new gets the unknown ones. With whole=True a text is one piece."""
+
+    def __init__(self, encode_new: EncodeNew, most: int = KNOWN_PIECES, whole: bool = False, specials: Iterable[str] = ()):
+        self.known, self.whole, self.specials = Entries(encode_new, most), whole, [t.encode() for t in specials]
+
+    def encode_array(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin, and at last their number)."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, dtype=np.int32, count=len(texts) + 1, offset=4 * texts.offset).astype(np.int64)
+        if edges[-1] == edges[0]:
+            return np.zeros(0, dtype="<u4"), np.zeros(len(texts) + 1, dtype=np.int64)
+        data = data.slice(edges[0], edges[-1] - edges[0])
+        edges -= edges[0]
+        view = np.frombuffer(data, dtype=np.uint8)
+        starts = np.unique(edges[:-1][np.diff(edges) > 0]) if self.whole else piece_starts(view, edges[1:], self.specials)
+        bounds = np.append(starts, len(view)).astype(np.int32)
+        entry = self.known.of(pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), data))
+        length = self.known.length[entry]
+        begins = np.append(np.cumsum(length) - length, length.sum())
+        return gather(self.known.pool, self.known.start[entry], length), begins[np.searchsorted(starts, edges)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        keys: set[str] = set()
-        split: list[list[list[str]]] = []
-        specials: list[list[str]] = []
-        for text in texts:
-            parts = self.parts(text)
-            split.append([split_pieces(p) for p in parts[::2]])
-            specials.append(parts[1::2])
-            keys.update(*split[-1])
-        get, out = self.known.learn(keys), []
-        for pieces_of, between in zip(split, specials, strict=True):
-            encoded = [b"".join(map(get, p)) for p in pieces_of]
-            for special, following in zip(between, encoded[1:], strict=True):
-                encoded[0] += np.uint32(self.specials[special]).tobytes() + following
-            out.append(encoded[0])
-        return out
+        ids, begins = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+
+
+def splits_at_spaces(tokenizer_json: str) -> bool:
+    """Whether a tokenizer is byte-level BPE, whose pre-tokens cross no start of a piece, and its special tokens neither."""
+    data = json.loads(tokenizer_json)
+    model, pre = data["model"], data.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not (pre.get("add_prefix_space") or data.get("normalizer") or data.get("post_processor"))
+    odd = any(t.get(k) for t in data["added_tokens"] for k in ("single_word", "lstrip", "rstrip")) or any(re.search(r"\s", t["content"]) for t in data["added_tokens"])
+    return plain and not odd
 
 
 class Vocabulary:
@@ -135,6 +240,9 @@ class Vocabulary:
             self.bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.specials.items():
             self.bytes_of[i] = token.encode()
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.byte_length = np.fromiter(map(len, self.bytes_of), dtype=np.int64, count=size)
+        self.byte_start = np.cumsum(self.byte_length) - self.byte_length
 
     def _enter(self, keys: np.ndarray) -> None:
         """An open-addressing table from a pair to its rank: a pair lies at its slot or among the few that follow."""
@@ -172,7 +280,7 @@ class Vocabulary:
         return ranks
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        return gather(self.byte_pool, self.byte_start[ids], self.byte_length[ids]).tobytes().decode("utf-8", errors="replace")
 
 
 class PairIndex:
@@ -251,14 +359,18 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary = Vocabulary(tokenizer_json)
+        specials = sorted(self.vocabulary.specials, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.words = Known(lambda words: [x.tobytes() for x in encode_words(self.vocabulary, [w.encode() for w in words])])
-        self.table = PieceTable(self.vocabulary.specials, self._new)
-        self.encode = self.table.encode
+        self.table = PieceTable(self._new, whole=not splits_at_spaces(tokenizer_json), specials=specials)
+        self.encode, self.encode_array = self.table.encode, self.table.encode_array
 
-    def _new(self, texts: list[str]) -> list[bytes]:
-        tokens = [pretokens(t) for t in texts]
-        get = self.words.learn({t for found in tokens for t in found})
-        return [b"".join(map(get, found)) for found in tokens]
+    def _new(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        split = (self.special.split(t) if self.special and self.special.search(t) else [t] for t in texts.to_pylist())
+        parts = [[pretokens(p) if k % 2 == 0 else p for k, p in enumerate(of)] for of in split]  # special tokens at odd places
+        get = self.words.learn({t for of in parts for found in of[::2] for t in found})
+        out = [b"".join(b"".join(map(get, p)) if k % 2 == 0 else np.uint32(self.vocabulary.specials[p]).tobytes() for k, p in enumerate(of)) for of in parts]
+        return np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), dtype=np.int64, count=len(out)) // 4
 
 
 _encoders: dict[str, Encoder] = {}
@@ -291,9 +403,10 @@ def bpe_encode(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_
         coder = encoder(shared.value)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            for part, texts in pieces(batch):
-                ids = coder.encode(texts)
-                yield {"id": part.column(0), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            for part in slices(batch):
+                ids, begins = coder.encode_array(part.column(1))
+                binary = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield {"id": part.column(0), "ids": binary, "n_tokens": pa.array(np.diff(begins))}
 
         return each
 
@@ -330,16 +443,17 @@ def bpe_round_trip(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
         coder = encoder(shared.value)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            for part, texts in pieces(batch):
-                ids = coder.encode(texts)
-                decoded = [coder.vocabulary.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+            for part in slices(batch):
+                ids, begins = coder.encode_array(part.column(1))
+                each_ids = [ids[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                decoded = pa.array(map(coder.vocabulary.decode, each_ids), pa.string())
                 yield {
                     "id": part.column(0),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
-                    "decoded_chars": pa.array(map(len, decoded), pa.int64()),
-                    "same_text": [a == b for a, b in zip(texts, decoded, strict=True)],
+                    "n_tokens": pa.array(np.diff(begins)),
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in each_ids],
+                    "decoded_sha256": [hashlib.sha256(t.as_buffer()).hexdigest() for t in decoded],
+                    "decoded_chars": pc.utf8_length(decoded).cast(pa.int64()),
+                    "same_text": pc.equal(decoded, part.column(1)),
                 }
 
         return each

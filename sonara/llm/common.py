@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,10 @@ from sonara.deploy import ship
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts are handed on in pieces of about this many characters, so a batch of long texts stays small in memory.
-CHUNK_CHARS = 8_000_000
-#: Rows of an Arrow batch; texts of 10 kB then make batches of 20 MB.
-ARROW_ROWS = "2000"
+#: Texts become Python strings in slices of about this many bytes.
+CHUNK_BYTES = 8_000_000
+#: Rows and bytes of an Arrow batch: whichever is reached first, so a batch of long texts stays small in memory too.
+ARROW_ROWS, ARROW_BYTES = "2000", "16m"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +29,7 @@ def prepare(spark: SparkSession) -> None:
     queries and the pipeline's stages call this."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,21 +77,33 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iter
         for batch in batches:
             for columns in each(batch):
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, text: int = 1, chars: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with about so many characters of text each, and their texts; null is the empty text."""
-    texts = [t or "" for t in batch.column(text).to_pylist()]
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system; a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: int = 1, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text each; a longer text is a slice of its own."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = held[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(held, before + size, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def pieces(batch: pa.RecordBatch, text: int = 1, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same with the texts of each slice, of which no more are Python strings at a time; null is the empty text."""
+    for part in slices(batch, text, size):
+        yield part, [t or "" for t in part.column(text).to_pylist()]
 
 
 def text_of(column: str) -> F.Column:

@@ -14,53 +14,53 @@ of two equal ids overlaps with itself; it is taken only where it is the most fre
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonara.llm.bpe import PieceTable
-from sonara.llm.common import map_arrow, new_path, pieces, text_of
+from sonara.llm.bpe import PieceTable, gather, splits_at_spaces
+from sonara.llm.common import give_back, map_arrow, new_path, slices, text_of
 
 MAGIC = b"RPG1"
 #: Tokens of a shard, about; a longer document makes a shard of its own.
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced while it occurs so often, and rounds go on while they shorten the sequence by this share.
 LEAST_COUNT, LEAST_GAIN = 24, 0.01
-#: Pieces of text whose ids are kept: about 120 MB.
-KNOWN = 600_000
-
-
-def _round(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The pairs to replace in this round, as packed keys in ascending order; None where no pair occurs often."""
-    keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    bits = 21
-    slot = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    often = np.bincount(slot.view(np.int64), minlength=1 << bits) >= least  # keys in other slots are too rare
-    kept = np.sort(keys[often[slot]])
-    if not len(kept):
-        return None
-    starts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
-    counts = np.diff(np.r_[starts, len(kept)])
+#: ASCII bytes that are no white space, nor one of the separators that some libraries count as such.
+_SOLID = np.isin(np.arange(256), [b for b in range(128) if b not in (*range(9, 14), *range(28, 33))])
+
+
+def _round(seq: np.ndarray, least: int, made: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """The pairs to replace in this round, as packed keys in ascending order, the keys of all places, and the bits of a key's
+    right half; None where no pair occurs often. All symbols are below `made`."""
+    half = 16 if made <= 1 << 16 else 32
+    kind = np.uint32 if half == 16 else np.uint64
+    keys = seq[:-1].astype(kind) << kind(half) | seq[1:]
+    ordered = np.sort(keys)
+    starts = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1]
+    counts = np.diff(np.r_[starts, len(ordered)])
     frequent = counts >= least
     if not frequent.any():
         return None
-    pairs, counts = kept[starts[frequent]], counts[frequent]
+    pairs, counts = ordered[starts[frequent]], counts[frequent]
     order = np.lexsort((pairs, -counts))
-    first, second, taken = set(), set(), []
+    first, second, taken, low = set(), set(), [], (1 << half) - 1
     for key in pairs[order].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+        a, b = key >> half, key & low
         if a in second or b in first:  # a pair of equal ids keeps other pairs with its id out, both ways
             continue
         first.add(a)
         second.add(b)
         taken.append(key)
-    return np.sort(np.array(taken, dtype=np.uint64)), slot
+    return np.sort(np.array(taken, dtype=kind)), keys, half
 
 
 def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,14 +68,15 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
     base = int(ids.max()) + 1 if len(ids) else 0
     seq, left, right, made = ids.astype(np.uint32), [], [], base
     while len(seq) > 1:
-        found = _round(seq, least)
+        found = _round(seq, least, made)
         if found is None:
             break
-        pairs, slot = found
-        wanted = np.zeros(1 << 21, dtype=bool)
-        wanted[((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).view(np.int64)] = True
-        at = np.flatnonzero(wanted[slot])
-        keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        pairs, keys, half = found
+        firsts, seconds = pairs >> pairs.dtype.type(half), pairs & pairs.dtype.type((1 << half) - 1)
+        begins, ends = np.zeros(made, dtype=bool), np.zeros(made, dtype=bool)
+        begins[firsts] = ends[seconds] = True  # few places of other pairs pass it, and they are sorted out next
+        at = np.flatnonzero(begins.take(seq[:-1]) & ends.take(seq[1:]))
+        keys = keys.take(at)
         rule = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         hit = pairs[rule] == keys
         at, rule = at[hit], rule[hit]
@@ -86,10 +87,10 @@ def repair(ids: np.ndarray, least: int = LEAST_COUNT, gain: float = LEAST_GAIN)
         seq[at] = (made + rule).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        left.append((pairs >> np.uint64(32)).astype(np.uint32))
-        right.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append(firsts.astype(np.uint32))
+        right.append(seconds.astype(np.uint32))
         made += len(pairs)
-        before, seq = len(seq), seq[keep]
+        before, seq = len(seq), seq.take(np.flatnonzero(keep))
         if before - len(seq) < gain * before:
             break
     empty = np.zeros(0, dtype=np.uint32)
@@ -121,7 +122,7 @@ class TokenShard:
         for count in (rules, rules, rules, symbols, docs):
             arrays.append(np.frombuffer(payload, dtype="<u4", count=count, offset=at))
             at += 4 * count
-        self.base = base
+        self.base, self.expanded = base, None
         self.left, self.right, self.lengths, self.sequence, self.doc_lengths = arrays
         spans = np.ones(len(self.sequence), dtype=np.int64)
         rule = self.sequence >= base
@@ -133,7 +134,23 @@ class TokenShard:
         return int(self.ends[-1]) if len(self.ends) else 0
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that the symbols stand for: all nonterminals are replaced by their pairs until none is left."""
+        """The ids that the symbols stand for. Many symbols go through the rules' own expansions, which are made once; of few
+        the nonterminals are replaced by their pairs until none is left."""
+        if len(symbols) > 4 * len(self.left) + 1000:
+            rule = symbols >= self.base
+            of = symbols[rule] - self.base
+            spans = np.ones(len(symbols), dtype=np.int64)
+            spans[rule] = self.lengths[of]
+            start = np.empty(len(symbols), dtype=np.int64)
+            if self.expanded is None:
+                self.expanded = self._replace(np.arange(self.base, self.base + len(self.left), dtype=np.uint32))
+            start[rule] = (np.cumsum(self.lengths, dtype=np.int64) - self.lengths)[of]
+            plain = symbols[~rule]
+            start[~rule] = len(self.expanded) + np.arange(len(plain))
+            return gather(np.concatenate([self.expanded, plain]), start, spans)
+        return self._replace(symbols)
+
+    def _replace(self, symbols: np.ndarray) -> np.ndarray:
         while True:
             rule = symbols >= self.base
             if not rule.any():
@@ -168,9 +185,10 @@ def pack_shard(ids: np.ndarray, doc_lengths: list[int]) -> bytes:
 
 
 class LibraryEncoder:
-    """Encodes with the tokenizers library. It gets each piece of text (see bpe.split_pieces) that is not known yet once:
-    pieces that begin with a single white space and end without one are parted from any neighbours there, so many go in one
-    string, whose ids are dealt to the pieces by their lengths in bytes."""
+    """Encodes with the tokenizers library. It gets each piece of text (see bpe.piece_starts) that is not known yet once.
+    Pieces that begin with a single white space and end without one are parted from any neighbours there, others without
+    white space at their ends are so after a line end; so many go in one string, whose ids are dealt to the pieces by their
+    lengths in bytes."""
 
     def __init__(self, tokenizer_json: str):
         # a task has one core: threads of the library's own would only wait for each other
@@ -180,33 +198,53 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.splits = splits_at_spaces(tokenizer_json)
         vocab = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():  # a character of a token stands for a byte
             self.bytes[i] = len(token)
-        self.table = PieceTable(specials, self._new, KNOWN)
-        self.encode = self.table.encode
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
+        self.table = PieceTable(self._new, whole=not self.splits, specials=[t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        self.encode, self.encode_array = self.table.encode, self.table.encode_array
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        alone, joined = [], []
-        for n, t in enumerate(texts):
-            (joined if len(t) > 1 and t[0] in " \n" and not t[1].isspace() and not t[-1].isspace() else alone).append(n)
-        for n, ids in zip(alone, self._ids([texts[n] for n in alone]), strict=True):
-            out[n] = ids.tobytes()
-        groups = [joined[k : k + 2000] for k in range(0, len(joined), 2000)]
-        for group, ids in zip(groups, self._ids(["".join([texts[n] for n in g]) for g in groups]), strict=True):
-            stops = np.cumsum(np.fromiter((len(texts[n].encode()) for n in group), dtype=np.int64, count=len(group)))
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), stops) + 1
-            data, before = ids.tobytes(), 0
-            for n, end in zip(group, (ends * 4).tolist(), strict=True):
-                out[n] = data[before:end]
-                before = end
-        return out
+    def _parted(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece, which isn't empty: whether it may be joined to others, and whether it begins with white space."""
+        offsets, data = (np.frombuffer(x, dtype=t) for x, t in zip(texts.buffers()[1:], (np.int32, np.uint8), strict=True))
+        starts, ends = offsets[texts.offset : texts.offset + len(texts)], offsets[texts.offset + 1 : texts.offset + len(texts) + 1]
+        first, last = data[starts], data[ends - 1]
+        spaced = (first == 32) | (first == 10)
+        head = np.where(spaced, data.take(starts + 1, mode="clip"), first)
+        # of characters of several bytes those that begin with C3 are no white space; others are left alone
+        ended = _SOLID[last] | ((last >= 0x80) & (data.take(ends - 2, mode="clip") == 0xC3))
+        return (_SOLID[head] | (head == 0xC3)) & ended & (ends - starts > spaced), spaced
+
+    def _new(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        joins, spaced = self._parted(texts) if self.splits else (np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=bool))
+        parts, lengths = [], np.zeros(len(texts), dtype=np.int64)
+        alone = np.flatnonzero(~joins)
+        for ids in self._ids(texts.take(pa.array(alone)).to_pylist()):
+            parts.append(ids)
+        lengths[alone] = np.fromiter(map(len, parts), dtype=np.int64, count=len(alone))
+        joined = np.flatnonzero(joins)
+        prefix = pa.array(["\n", ""], pa.string()).take(pa.array(spaced[joined].astype(np.int8)))
+        lines = pc.binary_join_element_wise(prefix, texts.take(pa.array(joined)), "")
+        _, offsets, data = lines.buffers()
+        edges = np.frombuffer(offsets, dtype=np.int32, count=len(lines) + 1).astype(np.int64)
+        cuts = [*range(0, len(joined), 2000), len(joined)] if len(joined) else [0]
+        pages = [data[edges[a] : edges[b]].to_pybytes().decode() for a, b in itertools.pairwise(cuts)]
+        for a, b, ids in zip(cuts[:-1], cuts[1:], self._ids(pages), strict=True):
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), edges[a + 1 : b + 1] - edges[a]) + 1
+            own = np.ones(len(ids), dtype=bool)
+            own[np.r_[0, ends[:-1]][~spaced[joined[a:b]]]] = False  # the line end that was put before a piece
+            lengths[joined[a:b]] = np.diff(np.r_[0, ends]) - ~spaced[joined[a:b]]
+            parts.append(ids[own])
+        order = np.argsort(np.r_[alone, joined])
+        of = lengths[np.r_[alone, joined]]
+        return gather(np.concatenate([np.zeros(0, dtype="<u4"), *parts]), (np.cumsum(of) - of)[order], lengths), lengths
 
 
 _library: dict[str, LibraryEncoder] = {}
@@ -230,28 +268,30 @@ def write_shards(df: DataFrame, tokenizer_json: str, path: str, id_col: str = "d
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     rows = df.select(df[id_col].cast("bigint").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    end = np.uint32(end_id).tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_encoder(shared.value)
         part, seq, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            payload = pack_shard(np.frombuffer(b"".join(held), dtype="<u4"), [len(x) // 4 for x in held])
+            payload = pack_shard(np.concatenate(held), [len(x) + 1 for x in held[::2]])
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for piece, texts in pieces(batch):
-                for i, x in zip(piece.column(0).to_pylist(), coder.encode(texts), strict=True):
-                    n = len(x) // 4 + 1
+            for piece in slices(batch):
+                tokens, begins = coder.encode_array(piece.column(1))
+                for i, a, b in zip(piece.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                    n = b - a + 1
                     if held and size + n > shard_tokens:
                         yield shard()
                         ids, held, size, seq = [], [], 0, seq + 1
                     ids.append(i)
-                    held.append(x + end)
+                    held += (tokens[a:b], end)
                     size += n
         if held:
             yield shard()
+        give_back()
 
     out = rows.mapInArrow(run, "part int, seq int, ids array<bigint>, n_tokens bigint, payload binary")
     out.write.option("compression", "zstd").parquet(path)
