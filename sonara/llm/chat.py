@@ -1,24 +1,27 @@
 """Chat formatting with a grammar round trip.
 
 A turn is rendered as opener, text, closer, by its role. Each text goes as it is at first; then the rendered turn is parsed
-by the same deterministic parser that reads the output, and if the turn it finds is not the source's (the text holds control
-strings or escape characters), the text is escaped and parsed again, more strictly each time, until both are identical. At
-the strictest level an escape precedes every character, so that no control string is left in any text.
-
-Rendering goes turn by turn, so a conversation of any length is spread over tasks. Reading back, a task streams through its
-conversations in order and holds one turn at a time.
+by the same deterministic parser that reads the output. The parser takes no turn whose text holds a control string of any
+role, and undoes escapes; so if the turn it finds is not the source's, the text is escaped and parsed again, more strictly
+each time, until both are identical. An escape stands inside each control string, behind its first character, so that none
+is left for any other reader either; at the strictest level an escape precedes every character.
+
+Beside each rendered turn stands the span of its text that counts for the loss, if any; a reader takes the loss from these
+spans. Rendering goes turn by turn, so a conversation of any length is spread over tasks. Reading back, a task streams
+through its conversations in order and holds one turn at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, new_path, text_of
+from sonara.llm.common import map_arrow, map_batches, new_path, pieces, text_of
 
 ESCAPE = "\x1b"
 #: Opener and closer by role; any other role is spelled out in its opener. (Fixed values: the marks of a public template.)
@@ -28,16 +31,19 @@ NULL_ROLE = ESCAPE + "0"
 CONTROLS = sorted({"<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "<<SYS>>", "<</SYS>>", "[ROLE:", "[/ROLE]"})
 
 
+#: Roles whose texts count for the loss.
+LOSS_ROLES = ("assistant",)
+_CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
+_ESCAPED = re.compile(f"{ESCAPE}|" + "|".join(map(re.escape, CONTROLS)))
+
+
 def escape(text: str, level: int) -> str:
-    """Level 0: as it is. 1: an escape before each escape and control string. 2: before every character."""
+    """Level 0: as it is. 1: an escape before each escape and inside each control string. 2: before every character."""
     if level == 0:
         return text
     if level >= 2:
         return "".join(ESCAPE + c for c in text)
-    text = text.replace(ESCAPE, ESCAPE + ESCAPE)
-    for control in CONTROLS:
-        text = text.replace(control, ESCAPE + control)
-    return text
+    return _ESCAPED.sub(lambda found: ESCAPE + ESCAPE if found[0] == ESCAPE else found[0][0] + ESCAPE + found[0][1:], text)
 
 
 def _find(text: str, mark: str, start: int) -> int:
@@ -61,7 +67,8 @@ def unescape(text: str) -> str:
 
 
 def parse_turn(text: str, at: int = 0) -> tuple[str | None, str, int, int, int] | None:
-    """(role, text, start and stop of the text as rendered, end of the turn) of the turn at this place; None if there is none."""
+    """(role, text, start and stop of the text as rendered, end of the turn) of the turn at this place; None if there is none,
+    or one whose text holds a control string."""
     for role, (opener, closer) in TURNS.items():
         if text.startswith(opener, at):
             start = at + len(opener)
@@ -74,11 +81,16 @@ def parse_turn(text: str, at: int = 0) -> tuple[str | None, str, int, int, int]
         raw, start = text[at + len(opener) : named], named + len(mid)
         role = None if raw == NULL_ROLE else unescape(raw)
     stop = _find(text, closer, start)
-    return None if stop < 0 else (role, unescape(text[start:stop]), start, stop, stop + len(closer))
+    return None if stop < 0 or _CONTROL.search(text, start, stop) else (role, unescape(text[start:stop]), start, stop, stop + len(closer))
 
 
 def render_turn(role: str | None, text: str) -> tuple[str, int]:
     """The rendered turn and the escape level that made it parse back into itself."""
+    return render_spanned(role, text)[:2]
+
+
+def render_spanned(role: str | None, text: str) -> tuple[str, int, tuple[int, int] | None]:
+    """The same with the span of the text as rendered, if it counts for the loss."""
     for level in range(3):
         body = escape(text, level)
         if role in TURNS:
@@ -89,7 +101,7 @@ def render_turn(role: str | None, text: str) -> tuple[str, int]:
             rendered = OTHER[0] + name + OTHER[1] + body + OTHER[2]
         found = parse_turn(rendered)
         if found is not None and (found[0], found[1], found[4]) == (role, text, len(rendered)):
-            return rendered, level
+            return rendered, level, (found[2], found[3]) if role in LOSS_ROLES else None
     raise AssertionError("an escape before every character always parses back")
 
 
@@ -106,45 +118,56 @@ def parse(text: str) -> list[tuple[str | None, str, int, int]]:
 
 
 def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, rendered, escape_level) of each row; a null text is empty, a null role is kept apart from any name."""
+    """(conv_id, turn, rendered, escape_level, loss_start, loss_stop) of each row: the last two are the span of the text in
+    rendered, null where it does not count for the loss. A null text is empty, a null role is kept apart from any name.
+    Repeated rows are repeated turns; no rows give none; other columns are not read."""
     rows = df.select(df[conv_col].cast("bigint").alias("conv_id"), df[turn_col].cast("bigint").alias("turn"), df[role_col].cast("string").alias("role"), text_of(text_col).alias("text"))
 
     def start():
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            made = [render_turn(r, t) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield {"conv_id": batch.column(0), "turn": batch.column(1), "rendered": pa.array([m[0] for m in made], pa.string()), "escape_level": pa.array([m[1] for m in made], pa.int32())}
+            for part, texts in pieces(batch, 3):
+                made = [render_spanned(r, t) for r, t in zip(part.column(2).to_pylist(), texts, strict=True)]
+                yield {
+                    "conv_id": part.column(0),
+                    "turn": part.column(1),
+                    "rendered": pa.array([m[0] for m in made], pa.string()),
+                    "escape_level": pa.array([m[1] for m in made], pa.int32()),
+                    "loss_start": pa.array([m[2] and m[2][0] for m in made], pa.int64()),
+                    "loss_stop": pa.array([m[2] and m[2][1] for m in made], pa.int64()),
+                }
 
         return each
 
-    return map_arrow(rows, start, "conv_id bigint, turn bigint, rendered string, escape_level int")
+    return map_arrow(rows, start, FORMATTED)
 
 
 class _Reader:
-    """Reads a conversation that comes in parts and keeps the digests of what it has read."""
+    """Reads a conversation turn by turn and keeps the digests of what it has read."""
 
     def __init__(self, conv_id: int | None):
-        self.conv_id, self.rest = conv_id, ""
+        self.conv_id = conv_id
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
-    def feed(self, part: str) -> None:
+    def feed(self, part: str, loss: tuple[int, int] | None) -> None:
+        """The next part, which is one turn, and the span of it that counts for the loss."""
         self.chars += len(part)
-        text, at = self.rest + part, 0
-        while (found := parse_turn(text, at)) is not None:
-            role, said, _, _, at = found
-            self.n_turns += 1
-            self.turns.update(f"{'' if role is None else role}\n{said}\n".encode())
-            if role == "assistant":
-                self.loss.update(said.encode())
-                self.loss_chars += len(said)
-        self.rest = text[at:]
+        found = parse_turn(part)
+        if found is None or found[4] != len(part):
+            raise ValueError(f"conversation {self.conv_id} holds what is no turn")
+        self.n_turns += 1
+        self.turns.update(f"{found[0] or ''}\n{found[1]}\n".encode())
+        if loss is not None:
+            counted = unescape(part[loss[0] : loss[1]])
+            self.loss.update(counted.encode())
+            self.loss_chars += len(counted)
 
     def row(self) -> tuple:
-        if self.rest:
-            raise ValueError(f"conversation {self.conv_id} ends within a turn")
         return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
+#: The formatted output: a row for each turn, and the digests of what is read back from it.
+FORMATTED = "conv_id bigint, turn bigint, rendered string, escape_level int, loss_start bigint, loss_stop bigint"
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
@@ -154,24 +177,25 @@ def read_formatted(spark, path: str) -> DataFrame:
     A conversation's turns come to one task in order of (turn, rendered), as its hash has to; that task streams through
     them and holds no more than a turn. Nothing else of this operator needs a conversation in one place.
     """
-    rows = spark.read.schema("conv_id bigint, turn bigint, rendered string, escape_level int").parquet(path)
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered").select("conv_id", "rendered")
+    rows = spark.read.schema(FORMATTED).parquet(path)
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "rendered").select("conv_id", "rendered", "loss_start", "loss_stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader: _Reader | None = None
         for batch in batches:
-            done = []
-            for conv_id, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if reader is None or reader.conv_id != conv_id:
-                    if reader is not None:
-                        done.append(reader.row())
-                    reader = _Reader(conv_id)
-                reader.feed(part)
-            yield _digests(done)
+            for part, texts in pieces(batch):
+                done = []
+                for conv_id, text, start, stop in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if reader is None or reader.conv_id != conv_id:
+                        if reader is not None:
+                            done.append(reader.row())
+                        reader = _Reader(conv_id)
+                    reader.feed(text, None if start is None else (start, stop))
+                yield _digests(done)
         if reader is not None:
             yield _digests([reader.row()])
 
-    return rows.mapInArrow(run, DIGEST)
+    return map_batches(rows, run, DIGEST)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

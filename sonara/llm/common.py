@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a new one on this machine, for
+    a local master (tests) only: on a cluster executors would not see each other's files there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(shared_dir, "own", None)
         if folder is None:
             folder = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -77,9 +81,18 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iter
         for batch in batches:
             for columns in each(batch):
                 yield pa.RecordBatch.from_pydict(columns)
+
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow of a task's batches, after which the worker hands its freed memory back."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def give_back() -> None:

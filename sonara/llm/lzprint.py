@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, text_of, written
+from sonara.llm.common import map_arrow, map_batches, pieces, text_of, written
 
 #: Hashes of a sketch: likeness has a standard error of 1 / (2 sqrt(SIZE)) at most.
 SIZE = 64
@@ -171,7 +171,7 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append((*waiting[:8], likeness(waiting[9], found), None))
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text in ((k, t) for part, texts in pieces(batch) for k, t in zip(part.column(0).to_pylist(), texts, strict=True)):
                 if held is not None:
                     found, edited, of_edited = both_fingerprints(held[1], text)
                     own(found)
@@ -186,7 +186,7 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.append((LAST, part, held[0], None, None, to_text(found), None, None, None, held[1]))
             yield _batch(out)
 
-    found, _ = written(rows.mapInArrow(run, _COLUMNS), "lz")
+    found, _ = written(map_batches(rows, run, _COLUMNS), "lz")
     # a row for each task says which task's first text follows its last one
     heads = found.filter(F.col("kind") == HEAD)
     around = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("to"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, pieces, text_of
+from sonara.llm.common import map_arrow, map_batches, pieces, text_of
 
 #: Symbols that mark junk (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -175,4 +175,4 @@ def quality_filter(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
             for part, texts in pieces(batch, place):
                 yield part.filter(pa.array([cascade(Document(t), ordered) for t in texts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -105,22 +105,25 @@ by_class AS (SELECT r.x AS node, CASE WHEN bool_or(d.rv = 'allow') THEN 'allow'
 SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, d.rule, coalesce(d.rv, c.v, 'allow') AS verdict
 FROM pages p LEFT JOIN nodes n ON n.url = p.url LEFT JOIN ruled d ON d.host = n.host AND d.path = n.path LEFT JOIN by_class c ON c.node = n.node"""
 
-OP9 = r"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM s),
+OP9 = r"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
+o AS (SELECT *, row_number() OVER () AS n, sum(size) OVER (PARTITION BY source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM s),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
-n AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS most FROM t),
+w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS most FROM t),
 l AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(most) OVER w - most AS before, sum(weight) OVER (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
-  FROM n WINDOW w AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  FROM w WINDOW w AS (ORDER BY most / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 v AS (SELECT *, CASE WHEN NOT most * after <= (budget - before) * weight THEN (budget - before) / after END AS level FROM l),
-g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE weight * max(level) OVER () END AS target FROM v)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, floor(target) - (upto - size))) + greatest(0, least(size, floor(target) - (source_size + upto - size))) AS BIGINT) AS taken
-FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source"""
+g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE weight * max(level) OVER () END AS target FROM v),
+d AS (SELECT o.*, g.source_size, g.target FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT d.*, pass, source_size * pass + upto - size AS begin, greatest(0, least(size, floor(target) - (source_size * pass + upto - size))) AS first FROM d, (VALUES (0), (1)) AS x(pass)),
+c AS (SELECT n, k, pass, FALSE AS behind, first AS words, (begin + first) / target AS finish FROM p WHERE first > 0 UNION ALL SELECT n, k, pass, TRUE, size - first, (begin + size) / target FROM p WHERE first < size),
+q AS (SELECT n, words, sum(words) OVER (ORDER BY finish, behind, k, pass, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served FROM c),
+r AS (SELECT n, sum(greatest(0, least(words, (SELECT sum(floor(target)) FROM g) - (served - words)))) AS taken FROM q GROUP BY n)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN r USING (n)"""
 
 OP10 = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, CASE role WHEN 'assistant' THEN 14 ELSE 18 END AS marks,
-  CASE WHEN contains(text, chr(27)) OR (role = 'user' AND contains(text, ' [/INST]')) OR (role = 'assistant' AND contains(text, ' </s>')) OR (role = 'system' AND contains(text, chr(10) || '<</SYS>>' || chr(10)))
-  THEN len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|\[ANS\]|<<SYS>>|<</SYS>>|\[ROLE:|\[/ROLE\]|\x1b')) ELSE 0 END AS escapes FROM c)
+  len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]|\[ANS\]|<<SYS>>|<</SYS>>|\[ROLE:|\[/ROLE\]|\x1b')) AS escapes FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256, CAST(sum(marks + length(text) + escapes) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonara.llm.bpe import PieceTable, gather, splits_at_spaces
-from sonara.llm.common import give_back, map_arrow, new_path, slices, text_of
+from sonara.llm.common import map_arrow, map_batches, new_path, slices, text_of
 
 MAGIC = b"RPG1"
 #: Tokens of a shard, about; a longer document makes a shard of its own.
@@ -291,9 +291,8 @@ def write_shards(df: DataFrame, tokenizer_json: str, path: str, id_col: str = "d
                     size += n
         if held:
             yield shard()
-        give_back()
 
-    out = rows.mapInArrow(run, "part int, seq int, ids array<bigint>, n_tokens bigint, payload binary")
+    out = map_batches(rows, run, "part int, seq int, ids array<bigint>, n_tokens bigint, payload binary")
     out.write.option("compression", "zstd").parquet(path)
 
 

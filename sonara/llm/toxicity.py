@@ -2,17 +2,19 @@
 
 Features are the distinct unigrams, bigrams and skip-grams (one word left out) of a text's words, hashed to 2^BITS places.
 FTRL-proximal keeps for each coordinate a sum of gradients and of their squares, so frequent coordinates learn slowly and
-rare ones fast, and its L1 term keeps a weight at zero until the evidence for it is large. What is left is a few thousand
+rare ones fast, and its L1 term keeps a weight at zero until the evidence for it is large. What is left is some hundred
 weights: they travel with the tasks, and scoring stays where the texts lie.
 
-Training takes labelled rows only, TRAIN_ROWS of them at most, chosen by a hash of the id, and of each TRAIN_FEATURES
-features at most, those of the smallest hash; so it holds 330 MB at most. Scoring takes all rows and whole texts.
+Training takes labelled rows only, TRAIN_ROWS of them at most, chosen by a hash of the id, with all their features. These
+are a table of the shared folder, which each epoch streams to the driver part by part. Scoring takes all rows and whole
+texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, pieces, text_of
+from sonara.llm.common import map_arrow, map_batches, pieces, remove, text_of, written
 
 BITS = 20
 TRAIN_ROWS = 20_000
-TRAIN_FEATURES = 4096
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 #: A document is called toxic from this score on.
@@ -75,12 +76,13 @@ class Model:
         return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
-    """Fits rows of (places, label) in the order given. Both labels together weigh the same."""
+def ftrl(rows: Iterable[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
+    """Fits rows of (places, label) in the order given, which are gone through once more than there are epochs. Both labels
+    together weigh the same."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
-    positive = sum(y for _, y in rows)
-    share = {1: len(rows) / (2 * max(1, positive)), 0: len(rows) / (2 * max(1, len(rows) - positive))}
+    counts = Counter(y for _, y in rows)
+    share = {y: counts.total() / (2 * max(1, counts[y])) for y in (0, 1)}
     for _ in range(epochs):
         for places, y in rows:
             zi, ni = z[places], n[places]
@@ -96,6 +98,18 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPO
     return Model(bits, places, weights[places], -zb / ((beta + nb**0.5) / alpha + l2))
 
 
+class Stored:
+    """Rows (id, y, places) of a table as (places, label) in an order of their hashes, each time anew; the driver holds a
+    part of the table at a time."""
+
+    def __init__(self, table: DataFrame):
+        self.ordered = table.orderBy(F.xxhash64("id"), "id", F.xxhash64("places"), "y").select("y", "places")
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        for row in self.ordered.toLocalIterator():
+            yield np.frombuffer(row["places"], dtype="<i4"), row["y"]
+
+
 def in_training(id_col: str) -> F.Column:
     """Rows whose crc32(id as text) mod 3 is not 1 may be learned from; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
@@ -116,23 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         hasher = Hasher()
 
-        def some(text: str) -> bytes:
-            places = hasher.features(text)
-            if len(places) > TRAIN_FEATURES:
-                places = places[np.argsort(places.astype(np.uint64) * _K[1])[:TRAIN_FEATURES]]
-            return np.sort(places).astype("<i4").tobytes()
-
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             for part, of in pieces(batch, 2):
-                yield {"id": part.column(0), "y": part.column(1), "places": pa.array(map(some, of), pa.binary())}
+                yield {"id": part.column(0), "y": part.column(1), "places": pa.array([hasher.features(t).astype("<i4").tobytes() for t in of], pa.binary())}
 
         return each
 
-    taken = map_arrow(found, start, "id bigint, y int, places binary").toArrow()
-    order = np.lexsort((np.array([xxhash.xxh64_intdigest(p or b"") for p in taken["places"].to_pylist()], dtype=np.uint64), np.array([xxhash.xxh64_intdigest(str(i)) for i in taken["id"].to_pylist()], dtype=np.uint64)))
-    places, y = taken["places"].to_pylist(), taken["y"].to_pylist()
-    data = [(np.frombuffer(places[i], dtype="<i4"), y[i]) for i in order]
-    return ftrl(data) if len({v for _, v in data}) == 2 else None
+    stored, path = written(map_arrow(found, start, "id bigint, y int, places binary"), "features")
+    both = stored.select("y").distinct().count() == 2
+    model = ftrl(Stored(stored)) if both else None
+    remove(docs.sparkSession, path)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +181,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not called toxic, with all their columns; rows don't move."""
+    """The rows of docs that are not called toxic, with all their columns; rows don't move. A null text is scored as the empty
+    one, repeated rows alike; without labels of both kinds every row stays."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     place = docs.columns.index(text_col)
 
@@ -183,4 +192,4 @@ def toxicity_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             for part, texts in pieces(batch, place):
                 yield part.filter(pa.array([of(t) < THRESHOLD for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -18,16 +18,22 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, new_path, remove, text_of, written
+from sonara.llm.common import map_arrow, map_batches, new_path, remove, text_of, written
 
 MAGIC = "WARC/1.0\r\n"
 SEPARATOR = "\r\n\r\n"
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
 _CONTENT_LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})\r\n", re.I)
+#: Records of a file at most: about 1 GB of pages of 30 kB.
+FILE_RECORDS = 32_768
+#: The date of records whose rows have none, and the profile of revisits (fixed values).
+DATE, PROFILE = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bits of the bitmap of shared payloads, as a power of two: 8 million bits.
+FILTER_BITS = 23
 #: Offsets are joined to records by ranges of so many bytes.
 BIN_BYTES = 1 << 20
 
@@ -43,30 +49,63 @@ def revisits(rows: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     return large.join(first.drop("last"), "digest").filter(F.col("id") > F.col("refers_to")).select("id", "digest", "refers_to").distinct()
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip") -> None:
+def shared_payloads(rows: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of 2^FILTER_BITS bits over the hashes of the digests of rows (digest), in 4 kB buckets; so it
+    has 1 MB at most, whatever the rows. A payload without its bit is shared by nobody."""
+    slot = F.pmod(F.xxhash64("digest"), F.lit(1 << FILTER_BITS))
+    bits = rows.select((slot / 32768).cast("int").alias("bucket"), (slot % 32768).alias("bit")).groupBy("bucket")
+    return bits.agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _bit_of(digest: str) -> tuple[Column, Column]:
+    """The bucket of a digest, and whether its bit is set in the column bits."""
+    slot = F.pmod(F.xxhash64(digest), F.lit(1 << FILTER_BITS))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor((slot % 32768) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (slot / 32768).cast("int"), F.coalesce(F.getbit(byte, (slot % 8).cast("int")), F.lit(0)) == 1
+
+
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "none", file_records: int = FILE_RECORDS, date: str = DATE) -> None:
     """Writes a record for each row: response with the payload, or revisit of the smallest id with an equal payload.
 
-    A null payload is empty; of a null url or id the record has no such field. Repeated rows make repeated records.
-    Line ends in a url are percent-encoded. Columns besides the three are not read. Without compression ("none") a reader
-    may split the files anywhere; with it each file is one split.
+    A null payload is empty; of a null url or id the record has no such field. Repeated rows make repeated records, whose
+    record id is one, as it is made of page id and digest. Line ends in a url are percent-encoded. Columns besides the three
+    are not read. Files hold `file_records` records at most. Without compression a reader may split them
+    anywhere; with it ("gzip") each file is one split.
+
+    Payloads that no other row may share, by a bitmap of bounded size, are written where they lie; only the others are dealt
+    out to be joined with what they revisit.
     """
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[url_col].cast("string").alias("url"), text_of(payload_col).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("bigint")})
-    rows = rows.join(revisits(rows), ["id", "digest"], "left")
-    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
+    again, _ = written(revisits(rows), "revisits")
+    bits, _ = written(shared_payloads(again), "revisit-bits")
+    bucket, is_set = _bit_of("digest")
+    # bits has 256 rows of 4 kB at most, so its broadcast is bounded
+    marked = rows.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket", "left").withColumn("maybe", (F.col("bytes") >= LEAST_REVISIT_BYTES) & is_set).drop("bits", "bucket")
+    alone = marked.filter(~F.col("maybe")).withColumn("refers_to", F.lit(None).cast("bigint"))
+    joined = marked.filter("maybe").join(again, ["id", "digest"], "left").select(alone.columns)
+    rows = alone.unionByName(joined)
+    revisit = F.col("refers_to").isNotNull()
+    body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
+    of = lambda id_: F.md5(F.concat_ws("|", id_.cast("string"), "digest").cast("binary"))
+    uuid = lambda h: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
     header = F.concat(
         F.lit(MAGIC),
-        F.when(F.col("refers_to").isNull(), F.lit("WARC-Type: response\r\n")).otherwise(F.lit("WARC-Type: revisit\r\n")),
+        F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
+        line("WARC-Record-ID", uuid(of(F.col("id")))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")),
         line("WARC-Page-ID", F.col("id")),
-        line("WARC-Refers-To-Page-ID", F.col("refers_to")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", uuid(of(F.col("refers_to")))), line("WARC-Refers-To-Page-ID", F.col("refers_to")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("bytes")),
+        line("Content-Type", F.lit("text/html")),
         line("Content-Length", F.octet_length(body)),
         F.lit("\r\n"),
     )
-    rows.select(F.concat(header, body).alias("value")).write.option("lineSep", SEPARATOR).option("compression", compression).text(path)
+    out = rows.select(F.concat(header, body).alias("value")).write.option("lineSep", SEPARATOR)
+    out.option("maxRecordsPerFile", file_records).option("compression", compression).text(path)
 
 
 def _candidate(chunk: bytes) -> tuple[int, int] | None:
@@ -116,7 +155,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((file, block, at, at + head + length + len(SEPARATOR) + len(MAGIC), len(value), value[:head], whole))
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
 
-    return _scan(spark, path).mapInArrow(run, "file string, block bigint, at bigint, next bigint, size bigint, header binary, content_sha256 string")
+    return map_batches(_scan(spark, path), run, "file string, block bigint, at bigint, next bigint, size bigint, header binary, content_sha256 string")
 
 
 def _leave(split: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +245,7 @@ def mended(spark: SparkSession, path: str, bases: DataFrame, broken: DataFrame)
             names = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "value": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in batch], t) for i, (k, t) in enumerate(names.items())})
 
-    parts = _scan(spark, path).mapInArrow(places, "file string, block bigint, at bigint, value binary").join(bases, ["file", "block"])
+    parts = map_batches(_scan(spark, path), places, "file string, block bigint, at bigint, value binary").join(bases, ["file", "block"])
     parts = parts.select("file", (F.col("base") + F.col("at")).alias("at"), "value").withColumn("bin", F.floor(F.col("at") / BIN_BYTES))
     bins = broken.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN_BYTES), F.floor(F.col("stop") / BIN_BYTES))))
     parts = parts.join(bins, ["file", "bin"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("stop") - len(MAGIC)))
