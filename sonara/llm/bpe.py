@@ -22,12 +22,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from sonara.llm.common import map_arrow, slices, text_of
+from sonara.llm.common import give_back, map_arrow, slices, text_of
 
 #: The pre-token pattern of byte-level BPE (fixed value, as in public_tokenizers.PATTERN).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Known pieces are forgotten when there are so many: about 60 MB; known words, about 20 MB.
-KNOWN_PIECES, KNOWN_WORDS = 1_000_000, 100_000
+#: Known pieces are forgotten when there are so many, and words. The own encoder knows less than one of the library: it runs
+#: last in the pipeline, where executors hold most.
+KNOWN_PIECES, KNOWN_OWN, KNOWN_WORDS = 1_000_000, 300_000, 100_000
+#: Bytes of text that the own encoder takes at a time.
+SLICE_BYTES = 4_000_000
 
 #: Bytes by which a piece may begin, and bytes next to which no piece begins: ASCII white space and the four separators
 #: that some libraries count as such.
@@ -116,10 +119,11 @@ EncodeNew = Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
 
 class Entries:
     """Ids of known pieces: the k-th key has pool[start[k]:start[k] + length[k]]. When there are over `most` keys, or their
-    ids fill the pool, those that were seen once only are forgotten. Keys lie in Arrow's memory, about 15 bytes each; a table
+    ids are over POOL times that, those that were seen once only are forgotten. Keys lie in Arrow's memory, about 15 bytes
+    each; a table
     to look them up is made for each batch, and a small one of the HOT most frequent keys, which is asked first."""
 
-    POOL, HOT = 12_000_000, 8192
+    POOL, HOT = 12, 8192
 
     def __init__(self, encode_new: EncodeNew, most: int):
         self.encode_new, self.most = encode_new, most
@@ -137,13 +141,13 @@ class Entries:
 
     def _forget(self) -> None:
         keep = np.flatnonzero(self.used > 1)
-        if len(keep) > self.most // 2 or self.length[keep].sum() > self.POOL // 2:
+        if len(keep) > self.most // 2 or self.length[keep].sum() > self.POOL * self.most // 2:
             keep = self.hot[self.length[self.hot] < 16]
         self._keep(keep, self.keys, self.pool, self.start, self.length, self.used)
 
     def of(self, pieces_: pa.StringArray) -> np.ndarray:
         """The number of each piece's key; unknown pieces are encoded first."""
-        if len(self.keys) > self.most or len(self.pool) > self.POOL:
+        if len(self.keys) > self.most or len(self.pool) > self.POOL * self.most:
             self._forget()
         elif len(self.keys) > 2 * self.heated:
             self._heat()
@@ -362,7 +366,7 @@ class Encoder:
         specials = sorted(self.vocabulary.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.words = Known(lambda words: [x.tobytes() for x in encode_words(self.vocabulary, [w.encode() for w in words])])
-        self.table = PieceTable(self._new, whole=not splits_at_spaces(tokenizer_json), specials=specials)
+        self.table = PieceTable(self._new, KNOWN_OWN, whole=not splits_at_spaces(tokenizer_json), specials=specials)
         self.encode, self.encode_array = self.table.encode, self.table.encode_array
 
     def _new(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +407,8 @@ def bpe_encode(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_
         coder = encoder(shared.value)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
+                give_back()
                 ids, begins = coder.encode_array(part.column(1))
                 binary = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * 4).astype(np.int32)), pa.py_buffer(ids)])
                 yield {"id": part.column(0), "ids": binary, "n_tokens": pa.array(np.diff(begins))}
@@ -443,7 +448,8 @@ def bpe_round_trip(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
         coder = encoder(shared.value)
 
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
+                give_back()
                 ids, begins = coder.encode_array(part.column(1))
                 each_ids = [ids[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
                 decoded = pa.array(map(coder.vocabulary.decode, each_ids), pa.string())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of finished steps, and has the driver drop what it keeps of these steps, upon which Spark deletes their
+    shuffle files; without that both lie on disk until the application happens to collect its garbage."""
+    for path in paths:
+        remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this application has left in the shared folder; results that read them have to be read before."""
     remove(spark, shared_dir(spark))
@@ -88,11 +98,11 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iter
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow of a task's batches, after which the worker hands its freed memory back."""
 
-    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_and_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         give_back()
 
-    return df.mapInArrow(tidy, schema)
+    return df.mapInArrow(run_and_give_back, schema)
 
 
 def give_back() -> None:

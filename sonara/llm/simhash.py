@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, pieces, remove, text_of, written
+from sonara.llm.common import map_arrow, pieces, text_of, tidy, written
 from sonara.llm.components import components
 
 SEED = 42
@@ -42,6 +42,9 @@ WIDE_PAIRS_MOST = 8
 WIDE_LANES = 10
 #: Texts whose shingles are counted, and the shingles that then are known as frequent; both bear on speed only.
 SAMPLE_TEXTS, FREQUENT_MOST = 20_000, 50_000
+#: Sets of so many shingles at most are compared themselves. A larger pair of the similarity lies within FAR standard
+#: deviations of the bits in which it is expected to differ: of a thousand million such pairs one might not.
+SMALL, FAR = 40, 6
 #: Rows of a part where a large key is compared part by part.
 PART_ROWS = 512
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -96,21 +99,6 @@ def fingerprints(df: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     return map_arrow(rows, start, "id bigint, fingerprint bigint")
 
 
-def wide_fingerprints(df: DataFrame, width: int, lanes: int) -> DataFrame:
-    """(id, fingerprint array<bigint>) of rows (id, text)."""
-
-    def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
-        def each(batch: pa.RecordBatch) -> Iterator[dict]:
-            for part, texts in pieces(batch):
-                found = [fingerprint(shingle_hashes(t, width), lanes).view(np.int64) for t in texts]
-                flat = pa.array(np.concatenate(found), pa.int64())
-                yield {"id": part.column(0), "fingerprint": pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, lanes), pa.int32()), flat)}
-
-        return each
-
-    return map_arrow(df.select("id", "text"), start, "id bigint, fingerprint array<bigint>")
-
-
 def exact_keys(distance: int, extra: int = 2) -> Column:
     """Keys of a 64-bit fingerprint: each choice of `extra` of distance + extra blocks, with their bits."""
     count = distance + extra
@@ -128,11 +116,12 @@ def _links_of_small(rows: DataFrame, near: Callable[[Column, Column], Column]) -
     return left.join(right, "key").filter((F.col("a") < F.col("b")) & near(F.col("fa"), F.col("fb"))).select("a", "b")
 
 
-def _by_key_size(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, ...) of keys that 2 to `most` share, and those of keys that more share, with their number n."""
+def _by_key_size(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows (key, ...) of keys that 2 to `most` share, those of keys that more share, with their number n, and where both
+    are written: few keys are shared, so the rest isn't dealt out again for each."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    rows = keyed.join(counts, "key")
-    return rows.filter(F.col("n") <= most), rows.filter(F.col("n") > most)
+    rows, at = written(keyed.join(counts, "key"), "shared")
+    return rows.filter(F.col("n") <= most), rows.filter(F.col("n") > most), at
 
 
 def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
@@ -141,7 +130,7 @@ def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
     if not 1 <= distance <= 2:
         raise ValueError("the way for crowded keys is for distances 1 and 2")
     keyed, _ = written(prints.select(F.col("fingerprint").alias("id"), "fingerprint", exact_keys(distance).alias("key")), "blocks")
-    few, many = _by_key_size(keyed, PAIRS_MOST)
+    few, many, _ = _by_key_size(keyed, PAIRS_MOST)
     links = _links_of_small(few, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance)
     crowded = many.select("fingerprint").distinct()
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
@@ -182,17 +171,34 @@ def differing_share(similarity: float) -> float:
 def wide_plan(count: int, similarity: float, recall: float) -> tuple[int, int]:
     """(bits of a block, blocks) for so many fingerprints: a block holds log2 of their number in bits, 16 at least, and
     there are enough blocks for a pair of the similarity to share one with probability `recall`."""
-    bits = min(32, max(16, math.ceil(math.log2(max(2, count)))))
+    bits = min(62, max(16, math.ceil(math.log2(max(2, count)))))
     share = (1 - differing_share(similarity)) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - share))
 
 
+def bits_apart(similarity: float, deviations: float) -> int:
+    """Bits of a wide fingerprint in which two sets of the similarity differ at most, up to so many standard deviations."""
+    count, share = 64 * WIDE_LANES, differing_share(similarity)
+    return math.floor(count * share + deviations * math.sqrt(count * share * (1 - share)))
+
+
 def _unpack(fingerprint: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fingerprint).astype("<i8").view(np.uint8), axis=1, bitorder="little")
 
 
-def wide_links(prints: DataFrame, bits: int, blocks: int, most: int) -> DataFrame:
-    """(a, b) near pairs of (id, fingerprint array<bigint>): they share a block of `bits` bits and differ in `most` bits."""
+def _differ(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+
+def _with_prints(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their fingerprints and numbers of shingles, fa and fb, na and nb."""
+    side = lambda k: shapes.select(F.col("id").alias(k), F.col("fingerprint").alias(f"f{k}"), F.col("n").alias(f"n{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def wide_links(shapes: DataFrame, bits: int, blocks: int, most: int) -> tuple[DataFrame, str]:
+    """(a, b) near pairs of (id, fingerprint array<bigint>, n), written: they share a block of `bits` bits and differ in
+    `most` bits."""
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
@@ -206,20 +212,22 @@ def wide_links(prints: DataFrame, bits: int, blocks: int, most: int) -> DataFram
 
         return each
 
-    keyed, _ = written(map_arrow(prints.select("id", "fingerprint"), start, "block int, v bigint, id bigint").select(F.struct("block", "v").alias("key"), "id"), "blocks")
-    few, many = _by_key_size(keyed, WIDE_PAIRS_MOST)
+    keyed, keyed_at = written(map_arrow(shapes.select("id", "fingerprint"), start, "block int, v bigint, id bigint").select(F.struct("block", "v").alias("key"), "id"), "blocks")
+    few, many, shared_at = _by_key_size(keyed, WIDE_PAIRS_MOST)
+    tidy(shapes.sparkSession, keyed_at)
     left, right = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
-    met, _ = written(left.join(right, "key").filter(F.col("a") < F.col("b")).select("a", "b").distinct(), "met")
-    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = met.join(prints.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(prints.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b").filter(differ <= most).select("a", "b")
-    return near.union(_links_of_large(many, prints, most)).distinct()
+    met, met_at = written(left.join(right, "key").filter(F.col("a") < F.col("b")).select("a", "b").distinct(), "met")
+    near = _with_prints(met, shapes).filter(_differ("fa", "fb") <= most).select("a", "b")
+    found = written(near.union(_links_of_large(many, shapes, most)).distinct(), "near")
+    tidy(shapes.sparkSession, shared_at, met_at)
+    return found
 
 
-def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
+def _links_of_large(many: DataFrame, shapes: DataFrame, most: int) -> DataFrame:
     """(a, b) among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each pair of parts is compared
     by itself. Of each class of linked rows all are named with the least id, so a group that shares many keys gives about
     one row for each member and not one for each link."""
-    rows = _in_parts(many, "id").join(prints.select("id", "fingerprint"), "id")
+    rows = _in_parts(many, "id").join(shapes.select("id", "fingerprint"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -236,7 +244,7 @@ def _links_of_large(many: DataFrame, prints: DataFrame, most: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[label[other]], "b": ids[other]})
 
-    return rows.groupBy("key", "pair").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -291,87 +299,167 @@ def frequent_shingles(texts: DataFrame, count: int, width: int) -> tuple[np.ndar
     return hashes[order], counts[order]
 
 
-def prefix_keys(texts: DataFrame, width: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n): a text's first n - ceil(similarity * n) + 1 of n shingles, rare ones first. Two sets of the similarity
-    have at least ceil(similarity * n) shingles in common, so the first of these in the order is a key of both."""
+def shapes_of(texts: DataFrame, width: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, fingerprint, prefix, small) of texts (id, text): the number of a text's distinct shingles, their wide
+    fingerprint, the first n - ceil(similarity * n) + 1 of them, rare ones first, and all of them if they are few.
+
+    Two sets of the similarity have at least ceil(similarity * n) shingles in common, so the first of these in the order is
+    in the prefixes of both.
+    """
     often, counts = frequent
+    longs = lambda found: pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             for part, texts_ in pieces(batch):
-                keys, sizes = [], []
-                for t in texts_:
-                    found = shingle_set(t, width)
+                sets = [shingle_set(t, width) for t in texts_]
+                prefixes = []
+                for found in sets:
                     rank = np.zeros(len(found), dtype=np.int64)
                     if len(often):
                         at = np.minimum(np.searchsorted(often, found), len(often) - 1)
                         rank = np.where(often[at] == found, counts[at], 0)
                     first = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
-                    keys.append(found[np.lexsort((found, rank))[:first]])
-                    sizes.append(len(found))
-                taken = np.array([len(k) for k in keys])
-                rows = pa.array(np.repeat(np.arange(len(keys)), taken))
-                yield {"key": pa.array(np.concatenate(keys).view(np.int64), pa.int64()), "id": part.column(0).take(rows), "n": pa.array(np.repeat(np.array(sizes, dtype=np.int32), taken))}
+                    prefixes.append(found[np.lexsort((found, rank))[:first]])
+                yield {
+                    "id": part.column(0),
+                    "n": pa.array(map(len, sets), pa.int32()),
+                    "fingerprint": longs([fingerprint(x, WIDE_LANES) for x in sets]),
+                    "prefix": longs(prefixes),
+                    "small": longs([x if len(x) <= SMALL else x[:0] for x in sets]),
+                }
 
         return each
 
-    return map_arrow(texts.select("id", "text"), start, "key bigint, id bigint, n int")
+    return map_arrow(texts.select("id", "text"), start, "id bigint, n int, fingerprint array<bigint>, prefix array<bigint>, small array<bigint>")
 
 
-def rest_links(texts: DataFrame, names: DataFrame, count: int, width: int, similarity: float) -> DataFrame:
-    """(a, b) links of the similarity that join the components (node, component) found so far: with them, any two texts
-    (id, text) of the similarity are connected. Only pairs from different components are looked at."""
-    keyed, _ = written(prefix_keys(texts, width, similarity, frequent_shingles(texts, count, width)), "prefixes")
-    few, many = _by_key_size(keyed.withColumnRenamed("n", "size"), WIDE_PAIRS_MOST)
+def rest_links(texts: DataFrame, shapes: DataFrame, names: DataFrame, width: int, similarity: float) -> tuple[DataFrame, str]:
+    """(a, b) links of the similarity, written, that join the components (node, component) found so far: with them, any two
+    texts (id, text) of the similarity are connected. Only pairs from different components are looked at, and of sets that
+    are not small only those whose fingerprints are no further apart than FAR standard deviations allow for the similarity."""
+    spark, far = texts.sparkSession, bits_apart(similarity, FAR)
+    keyed = shapes.select(F.explode("prefix").alias("key"), "id", F.col("n").alias("size"))
+    few, many, shared_at = _by_key_size(keyed, WIDE_PAIRS_MOST)
+    tidy(spark)
     left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("n")), few.select("key", F.col("id").alias("b"), F.col("size").alias("m"))
     met = left.join(right, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), similarity)).select("a", "b").distinct()
     of = lambda side: names.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    open_, _ = written(met.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b"), "open")
-    placed, _ = written(many.join(names.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n"), "crowded")
+    open_, open_at = written(met.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b"), "open")
+    placed, placed_at = written(many.join(names.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n"), "crowded")
+    tidy(spark, shared_at)
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") < F.col("high")).select("key")
-    return verified(open_, texts, width, similarity).union(_links_of_crowded(placed.join(mixed, "key"), texts, width, similarity)).distinct()
+    crowded, crowded_at = written(placed.join(mixed, "key"), "mixed")
+    tidy(spark, placed_at)
+    looked, looked_at = written(_near_of_crowded(crowded, shapes, similarity, far), "looked")
+    sure = looked.filter(F.col("b").isNotNull()).select("a", "b")
+    sure = sure.union(_links_of_crowded(looked.filter(F.col("b").isNull()), texts, shapes, width, similarity, far))
+    near = _with_prints(open_, shapes).filter((F.greatest("na", "nb") <= SMALL) | (_differ("fa", "fb") <= far)).select("a", "b")
+    found = written(verified(near, texts, width, similarity).union(sure).distinct(), "rest")
+    tidy(spark, open_at, crowded_at, looked_at)
+    return found
 
 
 def _in_parts(many: DataFrame, *columns: str) -> DataFrame:
-    """Rows (key, columns, pair): each key's rows are dealt to parts, and each pair of parts has the rows of both."""
+    """Rows (key, columns, i, j): each key's rows are dealt to parts, and each pair of parts i and j has the rows of both."""
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     rows = many.select("key", *columns, parts.alias("parts"), own.alias("own"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))))
-    return rows.select("key", *columns, pairs.alias("pair"))
+    return rows.select("key", *columns, pairs.alias("pair")).select("key", *columns, "pair.i", "pair.j")
+
+
+def _near_matrix(group: pd.DataFrame, similarity: float, far: int) -> np.ndarray:
+    """Which rows' sets may have the similarity, by their fingerprints and sizes, if they are in different components."""
+    sizes, root = group["size"].to_numpy().astype(np.int64), group["component"].to_numpy()
+    bits = _unpack(np.stack(group["fingerprint"].to_numpy())).astype(np.float32) * 2 - 1
+    near = bits @ bits.T >= bits.shape[1] - 2 * far
+    near &= np.minimum.outer(sizes, sizes) >= similarity * np.maximum.outer(sizes, sizes) - 1e-9
+    return near & (root[:, None] != root)
 
 
-def _links_of_crowded(many: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b) of the similarity among rows (key, id, component, n) of crowded keys. All pairs of parts are compared, but for
-    rows that links already connect; so there are fewer links than rows."""
-    rows = _in_parts(many, "id", "component").join(texts.select("id", "text"), "id")
+def _met_before(key: int, keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows have a smaller key in common too, by each row's crowded keys: that key's group compares them."""
+    smaller = [k[k < key] for k in keys]
+    values, codes = np.unique(np.concatenate(smaller), return_inverse=True)
+    has = np.zeros((len(keys), len(values)), dtype=np.float32)
+    has[np.repeat(np.arange(len(keys)), [len(k) for k in smaller]), codes] = 1
+    return has @ has.T > 0
+
+
+def _near_of_crowded(crowded: DataFrame, shapes: DataFrame, similarity: float, far: int) -> DataFrame:
+    """(key, i, j, a, b, component) of rows (key, id, component, n) of crowded keys, of which all pairs of parts are compared:
+    either a link between two small sets, or, with b null, a row of the parts i and j whose fingerprint is near enough to
+    another's there. There are fewer of both than rows."""
+    mine = crowded.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of one text: no more than its prefix
+    rows = _in_parts(crowded, "id", "component").join(shapes.select("id", F.col("n").alias("size"), "fingerprint", "small"), "id").join(mine, "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
-        ids, root = group["id"].to_numpy(), group["component"].to_numpy().copy()
-        links = []
+        ids, root, is_small = group["id"].to_numpy(), group["component"].to_numpy().copy(), (group["size"] <= SMALL).to_numpy()
+        out = {"a": [], "b": [], "component": []}
         if (root != root[0]).any():
-            sets = [shingle_set(t, width) for t in group["text"]]
-            sizes = np.array([len(x) for x in sets])
-            starts = np.r_[0, np.cumsum(sizes)]
-            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            mark = np.zeros(len(values), dtype=np.int64)
-            for i in range(1, len(ids)):
-                fits = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9
-                if not (fits & (root[:i] != root[i])).any():
-                    continue
-                own = codes[starts[i] : starts[i + 1]]
-                mark[own] = 1
-                common = np.add.reduceat(mark[codes[: starts[i]]], starts[:i])
-                mark[own] = 0
-                for j in np.flatnonzero(fits & _alike(common, sizes[:i], sizes[i], similarity)):
-                    if root[j] != root[i]:
-                        links.append((ids[j], ids[i]))
-                        root[root == root[j]] = root[i]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("key", "pair").applyInPandas(compare, "a bigint, b bigint")
+            near = _near_matrix(group, similarity, far) & ~(is_small[:, None] & is_small)
+            if near.any():
+                near &= ~_met_before(int(group["key"].iloc[0]), list(group["keys"]))
+            at = np.flatnonzero(near.any(axis=1))
+            links = _small_links(np.flatnonzero(is_small), list(group["small"]), root, similarity)
+            out = {
+                "a": [*(ids[i] for i, _ in links), *ids[at]],
+                "b": [*(ids[j] for _, j in links), *[None] * len(at)],
+                "component": [*[None] * len(links), *group["component"].to_numpy()[at]],
+            }
+        made = pd.DataFrame({k: pd.array(v, dtype="Int64") for k, v in out.items()})
+        return made.assign(**{k: group[k].iloc[0] for k in ("key", "i", "j")})[["key", "i", "j", "a", "b", "component"]]
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "key bigint, i int, j int, a bigint, b bigint, component bigint")
+
+
+def _links_of_crowded(rows: DataFrame, texts: DataFrame, shapes: DataFrame, width: int, similarity: float, far: int) -> DataFrame:
+    """(a, b) of the similarity among rows (key, i, j, a, component), by their texts' sets. Rows that links already connect
+    aren't compared, so there are fewer links than rows."""
+    rows = rows.select("key", "i", "j", F.col("a").alias("id"), "component").join(shapes.select("id", F.col("n").alias("size"), "fingerprint"), "id").join(texts.select("id", "text"), "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        sets = [shingle_set(t, width) for t in group["text"]]
+        links = _small_links(np.arange(len(sets)), sets, group["component"].to_numpy().copy(), similarity, _near_matrix(group, similarity, far))
+        ids = group["id"].to_numpy()
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _small_links(at: np.ndarray, sets: list[np.ndarray], root: np.ndarray, similarity: float, near: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of the rows `at` whose sets have the similarity and whose roots differ, of those that are near if that is given;
+    root is joined as they are found."""
+    links: list[tuple[int, int]] = []
+    if len(at) < 2:
+        return links
+    sizes = np.array([len(sets[i]) for i in at])
+    starts = np.r_[0, np.cumsum(sizes)]
+    values, codes = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)
+    mark = np.zeros(len(values), dtype=np.int64)
+    for i in range(1, len(at)):
+        open_ = root[at[:i]] != root[at[i]]
+        if near is not None:
+            open_ &= near[i, :i]
+        others = np.flatnonzero(open_)
+        if not len(others):
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        if len(others) > i // 8:
+            common = np.add.reduceat(mark[codes[: starts[i]]], starts[:i])[others]
+        else:
+            common = np.array([mark[codes[starts[j] : starts[j + 1]]].sum() for j in others])
+        mark[own] = 0
+        for j in others[_alike(common, sizes[others], sizes[i], similarity)]:
+            if root[at[j]] != root[at[i]]:
+                links.append((at[j], at[i]))
+                root[root == root[at[j]]] = root[at[i]]
+    return links
 
 
 def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,22 +476,22 @@ def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: flo
     h = F.struct(F.xxhash64(text).alias("x"), F.substring(F.md5(text), 1, 16).alias("y"))
     order = lambda c: F.struct(c.isNull().alias("n"), c.alias("i"))
     first = df.select(h.alias("h"), order(F.col(id_col).cast("bigint")).alias("o"), text.alias("text")).groupBy("h").agg(F.min_by("text", "o").alias("text"), F.min("o").alias("o"))
-    classes, _ = written(first.select(F.monotonically_increasing_id().alias("id"), "h", "o", "text"), "texts")
+    classes, classes_at = written(first.select(F.monotonically_increasing_id().alias("id"), "h", "o", "text"), "texts")
     count = classes.count()
     bits, blocks = wide_plan(count, similarity, recall)
     blocks = min(blocks, 64 * WIDE_LANES // bits)
-    share = differing_share(similarity)
-    most = math.floor(64 * WIDE_LANES * share + 2 * math.sqrt(64 * WIDE_LANES * share * (1 - share)))
-    prints, at = written(wide_fingerprints(classes, width, WIDE_LANES), "wide")
-    near, _ = written(wide_links(prints, bits, blocks, most), "near")
-    remove(df.sparkSession, at)
-    links, _ = written(verified(near, classes, width, similarity), "links")
-    known, _ = written(components(links, "a", "b"), "known")
-    rest, _ = written(rest_links(classes, known, count, width, similarity), "rest")
-    names = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "a", "b").withColumnsRenamed({"node": "id"})
+    shapes, shapes_at = written(shapes_of(classes, width, similarity, frequent_shingles(classes, count, width)), "shapes")
+    near, near_at = wide_links(shapes, bits, blocks, bits_apart(similarity, 2))
+    links, links_at = written(verified(near, classes, width, similarity), "links")
+    known, known_at = written(components(links, "a", "b"), "known")
+    tidy(df.sparkSession, near_at, links_at)
+    rest, rest_at = rest_links(classes, shapes, known, width, similarity)
+    names, names_at = written(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "a", "b").withColumnsRenamed({"node": "id"}), "names")
+    tidy(df.sparkSession, known_at, rest_at, shapes_at)
     named = classes.select("id", "h", "o").join(names, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = named.groupBy("component").agg(F.min(F.struct("o", "h")).alias("best")).select("best.o", "best.h")
-    kept = best.select(F.col("h").alias("kept_h"), F.col("o").alias("kept_o"))
+    kept, _ = written(best.select(F.col("h").alias("kept_h"), F.col("o").alias("kept_o")), "kept")
+    tidy(df.sparkSession, classes_at, names_at)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), h.alias("h"), order(F.col(id_col).cast("bigint")).alias("o"))
     chosen = rows.join(kept, (F.col("h") == F.col("kept_h")) & (F.col("o") == F.col("kept_o"))).select("row", "h", "o")
     # rows repeated whole, id and all: one of them stays
