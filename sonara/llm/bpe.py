@@ -120,8 +120,8 @@ EncodeNew = Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
 class Entries:
     """Ids of known pieces: the k-th key has pool[start[k]:start[k] + length[k]]. When there are over `most` keys, or their
     ids are over POOL times that, those that were seen once only are forgotten. Keys lie in Arrow's memory, about 15 bytes
-    each; a table
-    to look them up is made for each batch, and a small one of the HOT most frequent keys, which is asked first."""
+    each; a table to look them up is made for each batch, and a small one of the HOT most frequent keys, which is asked
+    first."""
 
     POOL, HOT = 12, 8192
 
