@@ -12,6 +12,7 @@ from sonara.config import StreamConfig, TranscribeConfig, VadConfig
 from sonara.functions import arrays, scores, text, times
 from sonara.operators import attempts, curves, evaluate, phrases, regions, spectral, tokens, words
 from sonara.plans import scoring, stub, transcribe
+from sonara.sources import documents as sources
 from sonara.streaming import endpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,13 +322,18 @@ PHRASES = {"en": ["The", "of", "And!", "is", "to be"]}
 
 @query(r"""WITH b(phrase) AS (VALUES ('the'), ('of'), ('and'), ('is'), ('to be')),
 t AS (SELECT conv_id, turn, k, unit FROM (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '\n', '. ', 'g'), '[^.]+\.') AS u FROM conversations), LATERAL (SELECT unnest(u) AS unit, generate_subscripts(u, 1) AS k)),
-x AS (SELECT *, array_to_string(regexp_extract_all(lower(unit), '[\p{L}\p{N}]+')[1:1], ' ') AS two FROM t)
-SELECT conv_id, turn, CAST(k AS BIGINT) AS k FROM x WHERE two IN (SELECT array_to_string(regexp_extract_all(phrase, '[\p{L}\p{N}]+'), ' ') FROM b)""")
+x AS (SELECT conv_id, turn, k, regexp_extract_all(lower(unit), '[\p{L}\p{N}]+') AS ws FROM t),
+c AS (SELECT conv_id, turn, k, p, 1 AS n, ws[p] AS said FROM x, LATERAL (SELECT unnest(generate_series(1, len(ws))) AS p)
+  UNION ALL SELECT conv_id, turn, k, p, 2, ws[p] || ' ' || ws[p + 1] FROM x, LATERAL (SELECT unnest(generate_series(1, len(ws) - 1)) AS p))
+SELECT conv_id, turn, CAST(k AS BIGINT) AS k, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n FROM c WHERE said IN (SELECT array_to_string(regexp_extract_all(phrase, '[\p{L}\p{N}]+'), ' ') FROM b)""")
 def phrase_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", "\n", ". "), F.lit(r"([^.]+\.)"), F.lit(1))).alias("k", "unit"))
-    first = F.array_join(F.slice(text.normal_words(F.col("unit")), 1, 1), " ")
-    rows = units.select("conv_id", "turn", (F.col("k") + 1).cast("bigint").alias("k"), first.alias("said"), F.lit("en").alias("language"))
-    return phrases.whole_matches(rows, phrases.blocklist(spark, PHRASES), "said", "language").select("conv_id", "turn", "k")
+    rows = units.select("conv_id", "turn", (F.col("k") + 1).cast("bigint").alias("k"), text.normal_words(F.col("unit")).alias("ws"))
+    part = lambda i, n, said: F.struct((i + 1).cast("bigint").alias("p"), F.lit(n).cast("bigint").alias("n"), said.alias("said"))
+    singles = F.transform("ws", lambda w, i: part(i, 1, w))
+    pairs = F.transform(F.slice("ws", 2, F.size("ws")), lambda w, i: part(i, 2, F.concat_ws(" ", F.get("ws", i), w)))
+    rows = rows.select("conv_id", "turn", "k", F.explode(F.concat(singles, pairs)).alias("c")).select("conv_id", "turn", "k", "c.*", F.lit("en").alias("language"))
+    return phrases.whole_matches(rows, phrases.blocklist(spark, PHRASES), "said", "language").select("conv_id", "turn", "k", "p", "n")
 
 
 @query()
@@ -372,6 +378,84 @@ def timestamp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.col("split.seek").alias("seek"), F.col("split.lone").alias("lone"), F.posexplode("split.segments").alias("k", "s")).select("user_id", "seek", "lone", "k", F.round("s.start", 2).alias("start_s"), F.round("s.end", 2).alias("end_s"), F.size("s.tokens").alias("n_tokens"))
 
 
+# --- small operators over samples, prompts, files and timings ---
+
+
+@query("SELECT event_id, least(event_id % 50 - 5, 30) AS start, least(event_id % 50 - 5 + event_id % 20, 30) AS stop FROM events")
+def range_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin = F.col("event_id") % 50 - 5
+    start, stop = arrays.clamp_range(begin, begin + F.col("event_id") % 20, F.lit(30))
+    return events(spark, sf_dir).select("event_id", start.alias("start"), stop.alias("stop"))
+
+
+@query("""WITH s AS (SELECT event_id, greatest(0, least(CAST(floor(value / 10 * 16000 + 0.5) AS BIGINT), 80000)) AS start, greatest(0, least(CAST(floor((value / 10 + (event_id % 5) / 10) * 16000 + 0.5) AS BIGINT), 80000)) AS stop FROM events)
+SELECT * FROM s WHERE stop > start""")
+def region_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("value") / 10
+    rows = events(spark, sf_dir).select("event_id", times.region_of(start, start + (F.col("event_id") % 5) / 10, F.lit(80000).cast("bigint")).alias("r"))
+    return rows.filter(F.col("r").isNotNull()).select("event_id", F.col("r.start").alias("start"), F.col("r.end").alias("stop"))
+
+
+@query("""SELECT ch, count(*) AS n, octet_length(encode(ch)) = 1 AND regexp_full_match(ch, '[!-/:-@\\[-`{-~]') AS punctuation
+FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations) WHERE ch <> '' GROUP BY ch""")
+def punctuation_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "")).alias("ch")).filter(F.col("ch") != "").groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.select("ch", "n", text.is_punctuation_byte(F.col("ch")).alias("punctuation"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 50258 WHEN event_id % 2 = 0 THEN 50300 ELSE 50259 END AS second, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 50300 WHEN event_id % 3 = 0 THEN 50259 ELSE 50359 END AS third FROM events")
+def prompt_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.lit(50259)
+    prompt = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(50258), lang)).otherwise(F.array(F.lit(50258), lang, F.lit(50359)))
+    found = arrays.replace_language(prompt, lang, F.when(F.col("event_id") % 2 == 0, F.lit(50300)).otherwise(lang))
+    return events(spark, sf_dir).select("event_id", found[1].alias("second"), found[2].alias("third"))
+
+
+@query("SELECT vec_id, CAST(k AS BIGINT) AS frame, list_max(embedding[3 * k + 1 : 3 * k + 3])::DOUBLE AS score FROM embeddings, generate_series(0, 20) AS g(k)")
+def slot_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: curves.max_over_slots(F.slice("embedding", k * 3 + 1, 3)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames).alias("frame", "score")).select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH {REGIONS} SELECT user_id, CAST(sum(CAST(trunc(CAST(end_pos - first_pos AS DOUBLE) / 16000 * 1e9) AS BIGINT)) AS BIGINT) AS duration_ns FROM r GROUP BY user_id")
+def speech_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.regions_duration(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
+
+
+@query("SELECT user_id, event_type, min(value) AS best, count(value) AS runs FROM events GROUP BY user_id, event_type")
+def best_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_of(events(spark, sf_dir), ["user_id", "event_type"], "value")
+
+
+@query("SELECT event_type, round(sum(value), 4) AS total, count(value) AS batches FROM events GROUP BY event_type")
+def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.stage_totals(events(spark, sf_dir), "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("SELECT doc_id, '/data/' || source || '/' || lang || '.wav' AS path FROM documents WHERE lang = 'de' OR ('/data/' || source || '/' || lang || '.wav') IN ('/data/src1/en.wav', '/data/src2/fr.wav')")
+def file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit(".wav")).alias("path"))
+    return sources.named_files(files, "path", ["de.wav", "/data/src1/en.wav", "/data/src2/fr.wav"])
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE trim(text) <> '' AND conv_id % 5 <> turn")
+def kept_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumns({"start": F.col("conv_id") % 5, "stop": F.col("turn")})
+    return evaluate.kept_segments(rows, "text", "start", "stop").select("conv_id", "turn")
+
+
+@query(f"WITH {POSITIONS} SELECT user_id, min_by(value, pos) FILTER (WHERE value > 20) AS first_start, max_by(value + 1, pos) FILTER (WHERE value > 20) AS last_end FROM p GROUP BY user_id")
+def spoken_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = lambda x: F.when(F.col("value") > 20, x)
+    return evaluate.spoken_edges(user_rows(spark, sf_dir), "user_id", "pos", spoken(F.col("value")), spoken(F.col("value") + 1))
+
+
+@query(f"WITH {POSITIONS} SELECT user_id, pos // 4 AS word, round(coalesce(avg(CASE WHEN event_id % 3 > 0 THEN value / 500 END), 0), 6) AS probability FROM p GROUP BY ALL")
+def word_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = user_rows(spark, sf_dir).select("user_id", F.floor(F.col("pos") / 4).alias("word"), F.when(F.col("event_id") % 3 > 0, F.col("value") / 500).alias("p"))
+    return evaluate.mean_probability(rows, ["user_id", "word"], "p").withColumn("probability", F.round("probability", 6))
+
+
 # --- words, attempts, gates ---
 
 WORDS = f"{POSITIONS}, w AS (SELECT user_id, event_id, pos, (event_id % 100) / 100 AS probability, value / 100 AS duration FROM p)"
@@ -391,10 +475,10 @@ def word_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, CAST(seg AS BIGINT) AS seg, sum(score) >= 3.0 OR sum(score) + 0.01 >= count(*) AS anomaly FROM s WHERE k <= 8 GROUP BY user_id, seg""")
 def segment_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_words(spark, sf_dir).withColumn("seg", F.floor(F.col("pos") / 10))
-    word = F.when(F.col("event_id") % 7 == 0, F.lit("!")).otherwise(F.lit("word"))
+    word = F.when(F.col("event_id") % 14 == 0, F.lit("!")).when(F.col("event_id") % 7 == 0, F.lit(" .")).when(F.col("event_id") % 7 == 1, F.lit("?!")).otherwise(F.lit("word"))
     made = F.struct("pos", F.lit(0).cast("bigint").alias("start_ns"), F.round(F.col("duration") * 1e9).cast("bigint").alias("end_ns"), word.alias("word"), "probability")
     lists = rows.groupBy("user_id", "seg").agg(F.array_sort(F.collect_list(made)).alias("words"))
-    spoken = lists.filter(F.exists("words", lambda w: w["word"] != "!"))
+    spoken = lists.filter(F.exists("words", lambda w: ~w["word"].isin("!", " .")))
     return spoken.select("user_id", "seg", scores.segment_anomaly(F.col("words")).alias("anomaly"))
 
 
@@ -434,7 +518,9 @@ def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- comparison ---
 
-PAIRS = r"""x AS (SELECT a.conv_id, trim(regexp_replace(lower(a.text), '[^a-z0-9_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(b.text), '[^a-z0-9_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2 WHERE regexp_full_match(a.text || b.text, '[\x00-\x7F]*'))"""
+#: DuckDB's levenshtein counts bytes, so each letter of the tables beyond ASCII stands for a capital or mark of its own there.
+FOREIGN = "àáâäçèéêëíîïñóôöùúûüßœ¿¡"
+PAIRS = rf"""x AS (SELECT a.conv_id, trim(regexp_replace(lower(a.text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(b.text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2)"""
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,10 +529,9 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(said.filter(F.col("turn") == 2).select("conv_id", F.col("text").alias("hypothesis")), "conv_id")
 
 
-@query(f"WITH {PAIRS}, y AS (SELECT conv_id, replace(r, ' ', '') AS r, replace(h, ' ', '') AS h FROM x) SELECT conv_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END, 6) AS cer FROM y")
+@query(f"WITH {PAIRS}, y AS (SELECT conv_id, translate(replace(r, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS r, translate(replace(h, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS h FROM x) SELECT conv_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END, 6) AS cer FROM y")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = turn_pairs(spark, sf_dir).filter(F.concat("reference", "hypothesis").rlike(r"^[\x00-\x7F]*$"))
-    return ascii_only.select("conv_id", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
+    return turn_pairs(spark, sf_dir).select("conv_id", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
 
 
 @query()

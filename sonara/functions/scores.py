@@ -20,7 +20,9 @@ def word_anomaly(probability: Column, duration_s: Column) -> Column:
 
 
 def is_punctuation_word(word: Column) -> Column:
-    return (F.trim(word) == "") | F.array_contains(F.array(*map(F.lit, sorted(set(PUNCTUATION)))), word)
+    """No word but one mark, or none, white space aside."""
+    mark = F.regexp_replace(word, r"^\s+|\s+$", "")
+    return (mark == "") | F.array_contains(F.array(*map(F.lit, sorted(set(PUNCTUATION)))), mark)
 
 
 def segment_anomaly(words: Column) -> Column:

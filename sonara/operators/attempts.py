@@ -72,7 +72,7 @@ def word_score(start: float, end: float, probability: float) -> float:
 
 
 def is_anomaly(segment: Heard) -> bool:
-    spoken = [w for w in segment.words if w[2].strip() and w[2] not in PUNCTUATION][:FIRST_WORDS]
+    spoken = [w for w in segment.words if w[2].strip() and w[2].strip() not in set(PUNCTUATION)][:FIRST_WORDS]
     score = sum(word_score(s, e, p) for s, e, _, p in spoken)
     return bool(spoken) and (score >= SEGMENT_SCORE or score + 0.01 >= len(spoken))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonara.functions.scores import ratio
-from sonara.functions.times import round_half_away
+from sonara.functions.times import round_half_away, samples_to_ns
 
 COUNTS = ["wer_distance", "ref_words", "hyp_words", "cer_distance", "ref_chars", "hyp_chars"]
 _OTHER = regex.compile(r"[^\w]+")
@@ -104,3 +104,34 @@ def joined_text(segments: DataFrame, key: str, order: str, text: str) -> DataFra
     """(key, text, segments): texts joined by a space in order. The key's texts become one row, as the result is one text."""
     ordered = F.array_sort(F.collect_list(F.struct(order, F.trim(F.col(text)).alias("t"))))
     return segments.filter(F.trim(F.col(text)) != "").groupBy(key).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), " ").alias("text"), F.count("*").alias("segments"))
+
+
+def regions_duration(regions: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, duration_ns) of regions in samples; each region's length is cut to whole nanoseconds before they are added."""
+    return regions.groupBy(key).agg(F.sum(samples_to_ns((F.col(end) - F.col(start)).cast("double"))).alias("duration_ns"))
+
+
+def best_of(runs: DataFrame, keys: list[str], seconds: str) -> DataFrame:
+    """(keys, best, runs): of repeated runs the fastest, and how many there were."""
+    return runs.groupBy(*keys).agg(F.min(seconds).alias("best"), F.count(seconds).alias("runs"))
+
+
+def stage_totals(timings: DataFrame, stage: str, seconds: str) -> DataFrame:
+    """(stage, total, batches): a stage's seconds over all batches."""
+    return timings.groupBy(stage).agg(F.sum(seconds).alias("total"), F.count(seconds).alias("batches"))
+
+
+def kept_segments(segments: DataFrame, text: str, start: str, end: str) -> DataFrame:
+    """Segments that have a text and a length."""
+    return segments.filter((F.trim(text) != "") & (F.col(start) != F.col(end)))
+
+
+def spoken_edges(segments: DataFrame, key: str, order: str, start: Column, end: Column) -> DataFrame:
+    """(key, first_start, last_end) of the first and last segment that have words: start and end are null where none are."""
+    place = F.when(start.isNotNull(), F.col(order))
+    return segments.groupBy(key).agg(F.min_by(start, place).alias("first_start"), F.max_by(end, F.when(end.isNotNull(), F.col(order))).alias("last_end"))
+
+
+def mean_probability(tokens: DataFrame, keys: list[str], probability: str) -> DataFrame:
+    """(keys, probability): the mean over a word's tokens, 0 if none has one."""
+    return tokens.groupBy(*keys).agg(F.coalesce(F.avg(probability), F.lit(0.0)).alias("probability"))

@@ -100,3 +100,8 @@ def resolve_model(name: str, cache: str | None = None) -> Path:
     if has_model(cached):
         return cached
     raise FileNotFoundError(f"{name} is not in {cached}; it is published as {published}")
+
+
+def named_files(files: DataFrame, path: str, names: list[str]) -> DataFrame:
+    """Files whose whole path or last part is among the names; all without names."""
+    return files.filter(F.col(path).isin(names) | F.element_at(F.split(path, "/"), -1).isin(names)) if names else files
