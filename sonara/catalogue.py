@@ -136,9 +136,8 @@ def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSITIONS}, l AS (SELECT user_id, list(value ORDER BY pos) AS v FROM p GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda y, x: 0.35 * x + 0.65 * y), 4) AS ema FROM l")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    lists = events(spark, sf_dir).groupBy("user_id").agg(F.transform(ordered, lambda x: x["value"]).alias("v"))
-    return lists.select("user_id", F.round(arrays.running_mean(F.col("v"), 0.35), 4).alias("ema"))
+    found = curves.running_means(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 0.35)
+    return found.select("user_id", F.round("mean", 4).alias("ema"))
 
 
 @query("SELECT CAST(least(floor(value / 500 * 10), 9) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (WHERE value / 500 >= 0.5) AS n_on FROM events GROUP BY 1")

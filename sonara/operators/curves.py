@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,12 @@ def overlap_add(windows: DataFrame, key: str, window: str, scores: str, frames:
 def max_over_slots(slots: Column) -> Column:
     """The highest of the speakers' activities in a frame."""
     return F.array_max(slots)
+
+
+def running_means(df: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
+    """(key, mean): the last value of y = alpha * x + (1 - alpha) * y along each key's rows, beginning at its first x. Each
+    row has its weight by its place from the end, so rows are added up and never gathered."""
+    back = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    rows = df.select(key, F.col(value).alias("x"), (F.row_number().over(back) - 1).alias("age"), F.lead(F.lit(1)).over(back).isNull().alias("first"))
+    weight = F.pow(F.lit(1.0 - alpha), F.col("age")) * F.when(F.col("first"), F.lit(1.0)).otherwise(F.lit(alpha))
+    return rows.groupBy(key).agg(F.sum(F.col("x") * weight).alias("mean"))

@@ -326,8 +326,11 @@ def silence_map(regions: DataFrame, key: str, start: str, end: str) -> DataFrame
 def restore_times(times: DataFrame, silence: DataFrame, key: str, at: str) -> DataFrame:
     """times with `original`: a position in the cut recording plus the silence before the region it falls into (the last
     one for positions behind all). Without regions the position stays."""
-    ordered = F.array_sort(F.collect_list(F.struct("cum_end", "silence")))
-    maps = silence.groupBy(key).agg(ordered.alias("steps"))
-    behind = F.filter("steps", lambda s: s["cum_end"] > F.floor(F.col(at)))
-    step = F.coalesce(F.try_element_at(behind, F.lit(1)), F.try_element_at("steps", F.lit(-1)))
-    return times.join(maps, key, "left").withColumn("original", F.col(at) + F.coalesce(step["silence"], F.lit(0))).drop("steps")
+    rows = times.select(key, F.struct(*(F.col(f"`{c}`") for c in times.columns)).alias("row"), F.floor(at).alias("place"), F.lit(None).cast("bigint").alias("step"))
+    steps = silence.select(key, F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.col("cum_end").cast("bigint").alias("place"), F.col("silence").cast("bigint").alias("step"))
+    # from the back: what a position passes first is the region that ends behind it; at a region's end the position comes first
+    back = Window.partitionBy(key).orderBy(F.desc("place"), F.col("step").isNotNull())
+    next_step = F.last("step", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    last_step = F.first("step", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = rows.unionByName(steps).withColumn("silence", F.coalesce(next_step, last_step, F.lit(0))).filter(F.col("row").isNotNull())
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in times.columns), (F.col(f"row.`{at}`") + F.col("silence")).alias("original"))

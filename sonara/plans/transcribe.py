@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,8 @@ def speech_windows(samples: np.ndarray, scorer, config: TranscribeConfig, backen
 def batched_plan(recordings: DataFrame, scorer: Callable[[], object], model: Callable[[], SpeechModel], tokenizer_json: str, config: TranscribeConfig = TranscribeConfig(), backend: str = "frames") -> DataFrame:
     """SEGMENT rows of rows (rec_id, pcm): voice activity, windows, features and decoding, each a step of its own.
 
-    The first temperature only, no context and no silence gate, as in the published batched mode. The language is each
-    window's own if it isn't given. A recording without windows has no rows.
+    The first temperature only, no context, no timestamps from the model and no silence gate, as in the published batched
+    mode. The language is that of a recording's first window if it isn't given. A recording without windows has no rows.
     """
     rows = recordings.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.col("pcm").cast("array<float>").alias("pcm"))
 
@@ -68,32 +69,52 @@ def batched_plan(recordings: DataFrame, scorer: Callable[[], object], model: Cal
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plug, tokenizer = model(), Tokenizer.from_json(tokenizer_json)
+        progress = None  # windows of a recording come one after another, as they were cut in this task
         for batch in batches:
             for at in range(0, len(batch), config.batch_size):
-                yield _decode_batch(batch.iloc[at : at + config.batch_size], plug, tokenizer, config)
+                found, progress = _decode_batch(batch.iloc[at : at + config.batch_size], plug, tokenizer, config, progress)
+                yield found
 
     return windows.mapInPandas(decode, SEGMENT)
 
 
-def _decode_batch(batch: pd.DataFrame, model: SpeechModel, tokenizer: Tokenizer, config: TranscribeConfig) -> pd.DataFrame:
+@dataclass
+class Progress:
+    """What a recording's later windows need of the ones before."""
+
+    language: tuple[str, float] | None = None
+    last_speech: float = 0.0
+
+
+def _decode_batch(batch: pd.DataFrame, model: SpeechModel, tokenizer: Tokenizer, config: TranscribeConfig, progress: Progress | None) -> tuple[pd.DataFrame, Progress]:
+    """The batch's segments, and what the windows after it need."""
     mels = [chunk_mel(np.asarray(p, dtype=np.float32), model.n_mels) for p in batch["pcm"]]
-    languages = [(config.language, 1.0)] * len(mels) if config.language else model.detect(mels)
+    of, first = [], []
+    for k, win in enumerate(batch["win"]):
+        if win == 0 or progress is None:
+            progress = Progress((config.language, 1.0) if config.language else None)
+            first.append(k)
+        of.append(progress)
+    if first and not config.language:
+        for k, language in zip(first, model.detect([mels[k] for k in first]), strict=True):
+            of[k].language = language
+    languages = [x.language for x in of]
     previous = tokenizer.encode(" " + config.initial_prompt.strip()) if config.initial_prompt else []
-    prompts = [tokenizer.prompt(lang, config.task, previous, config.hotwords, None, not config.without_timestamps) for lang, _ in languages]
+    prompts = [tokenizer.prompt(lang, config.task, previous, config.hotwords, None, False) for lang, _ in languages]
     temperature = config.temperatures[0]
     found = model.decode(mels, prompts, temperature, options(config, tokenizer, prompts[0]))
     rows = []
-    for r, mel, (lang, probability), d in zip(batch.itertuples(), mels, languages, found, strict=True):
+    for r, mel, (lang, probability), d, heard in zip(batch.itertuples(), mels, languages, found, of, strict=True):
         segments, _, _ = split_segments(d.tokens, tokenizer.time_begin, r.offset, math.ceil(r.duration) * 100, r.duration, 0)
         spoken = [Spoken(ns(a), ns(b), t) for a, b, t in segments]
         if config.word_timestamps:
             tokens = [t for s in spoken for t in s.tokens if t < tokenizer.eot]
-            path = model.align([mel], tokenizer.start_sequence(lang, config.task), [tokens], [int(r.duration * 100)])[0]
+            path = model.align([mel], tokenizer.start_sequence(lang, config.task), [tokens], [math.ceil(r.duration) * 100])[0]
             words = aligned_words(path.text_index, path.time_index, path.probabilities, tokens, tokenizer, lang)
-            hand_out(spoken, words, tokenizer.eot, round(r.offset * 100), config.prepend_punctuations, config.append_punctuations, 0.0)
+            heard.last_speech = hand_out(spoken, words, tokenizer.eot, int(r.offset * 100), config.prepend_punctuations, config.append_punctuations, heard.last_speech)
         logprob = d.score * len(d.tokens) ** config.length_penalty / (len(d.tokens) + 1) if d.tokens else 0.0
         rows += _rows(r.rec_id, r.win, spoken, tokenizer, (lang, probability), temperature, logprob, d.no_speech)
-    return pd.DataFrame(rows, columns=NAMES)
+    return pd.DataFrame(rows, columns=NAMES), progress
 
 
 def _rows(rec: int, win: int, spoken: list[Spoken], tokenizer: Tokenizer, language: tuple, temperature: float, logprob: float, no_speech: float) -> list[tuple]:
