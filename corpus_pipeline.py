@@ -44,7 +44,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("toxicity", toxicity_filter), ("SimHash near-dedup", near_dedup), ("mixing sources", mix_sources), ("BPE encoding", encode)]
 
-#: The stages learn, hash and encode, which SQL does not express; tests hold run() against brute force.
+#: The stages learn, hash and encode, which SQL does not express; tests hold the stages' operators against brute force and run()
+#: against the stages one by one.
 #: Nulls, repeated rows and ties are as each stage's operator says; an empty table stays empty through all stages.
 ORACLE_SQL = None
 
