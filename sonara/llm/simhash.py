@@ -145,8 +145,8 @@ def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fingerprint, component_id, links) of every row: the fingerprint as 16 hexadecimal digits, the smallest id
-    that links of up to `distance` bits lead to, and the number of other distinct fingerprints linked to its own.
+    """(id_col, fingerprint, component_id) of every row: the fingerprint as 16 hexadecimal digits, and the smallest id that
+    links of up to `distance` bits lead to.
 
     Null and empty texts have fingerprint zero and are linked like others. Rows with a null id get the component of their
     fingerprint and never name one, so that is null where all ids are. Repeated rows each get a result.
@@ -155,12 +155,11 @@ def near_duplicates(df: DataFrame, width: int = 3, distance: int = 2, id_col: st
     classes, _ = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "classes")
     links, _ = written(near_fingerprints(classes, distance), "links")
     joined = components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("links"))
     of = classes.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").join(degree, "fingerprint", "left").select("fingerprint", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    of = of.join(least, "component").select("fingerprint", "component_id")
     named = rows.join(of, "fingerprint")
-    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "links")
+    return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def differing_share(similarity: float) -> float:
