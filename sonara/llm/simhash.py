@@ -13,8 +13,11 @@ of each pair that met is verified. Two ways to make keys:
 
 A key that many fingerprints share would make pairs as the square of their number. Such keys go another way, which links the
 same fingerprints: for a distance of up to 2 through the points between (two fingerprints are within 2 bits if and only
-if some point is within one bit of both: 65 rows a fingerprint), else in pairs of parts of the key's fingerprints, compared
-part by part, of which each gives no more links than it has rows.
+if some point is within one bit of both: 65 rows a fingerprint). Candidates of a crowded block are looked for in parts of its
+rows, each with the same hub of them, which is in proportion to the rows; what that misses is among the rest. On a crowded
+shingle, texts that can't reach the similarity with another's there drop out by their sizes and the shingle's place in their
+orders, and so do shingles on which all that stay are connected. What is left is compared part by part, the rows of the
+component that most are in only with those of others.
 """
 
 from __future__ import annotations
@@ -223,9 +226,10 @@ def wide_links(shapes: DataFrame, bits: int, blocks: int, most: int) -> tuple[Da
 
 
 def _links_of_large(many: DataFrame, shapes: DataFrame, most: int) -> DataFrame:
-    """(a, b) among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each pair of parts is compared
-    by itself. Of each class of linked rows all are named with the least id, so a group that shares many keys gives about
-    one row for each member and not one for each link."""
+    """(a, b) among rows (key, id, n) of crowded keys: each key's rows are dealt to parts, and each part is compared by itself.
+    Of each class of linked rows all are named with the least id, so a group that shares many keys gives about one row for
+    each member and not one for each link. Pairs of different parts that the hub does not connect are left to other keys,
+    where they are dealt otherwise, and to rest_links."""
     rows = _in_parts(many, "id").join(shapes.select("id", "fingerprint"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +247,16 @@ def _links_of_large(many: DataFrame, shapes: DataFrame, most: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[label[other]], "b": ids[other]})
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy("key", "part").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _in_parts(many: DataFrame, *columns: str) -> DataFrame:
+    """Rows (key, columns, part): each key's rows are dealt to parts, of which the first, the hub, goes with each other one: so
+    there are about two rows for each at most."""
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    rows = many.select("key", *columns, parts.alias("parts"), F.pmod(F.xxhash64("id", "key"), parts).cast("int").alias("own"))
+    hub = (F.col("own") == 0) & (F.col("parts") > 1)
+    return rows.select("key", *columns, F.explode(F.when(hub, F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1)))).otherwise(F.array("own"))).alias("part"))
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -256,8 +269,15 @@ def _alike(common: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float)
     return common >= similarity * (n + m - common) - 1e-9
 
 
-def _sizes_fit(n: Column, m: Column, similarity: float) -> Column:
-    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+def _largest_fit(n: Column, at: Column, similarity: float) -> Column:
+    """The largest size of a set that can have the similarity with one of n shingles, if the first that they have in common is
+    at this place (from 0) in its order: n - at of them at most are in both."""
+    return (n - at) * ((1 + similarity) / similarity) - n + 1e-6
+
+
+def _fit(n: Column, i: Column, m: Column, j: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles can have the similarity, if the first common one is at the places i and j."""
+    return (_largest_fit(n, i, similarity) >= m) & (_largest_fit(m, j, similarity) >= n)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -338,18 +358,22 @@ def rest_links(texts: DataFrame, shapes: DataFrame, names: DataFrame, width: int
     texts (id, text) of the similarity are connected. Only pairs from different components are looked at, and of sets that
     are not small only those whose fingerprints are no further apart than FAR standard deviations allow for the similarity."""
     spark, far = texts.sparkSession, bits_apart(similarity, FAR)
-    keyed = shapes.select(F.explode("prefix").alias("key"), "id", F.col("n").alias("size"))
+    keyed = shapes.select(F.posexplode("prefix").alias("at", "key"), "id", F.col("n").alias("size"))
     few, many, shared_at = _by_key_size(keyed, WIDE_PAIRS_MOST)
     tidy(spark)
-    left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("n")), few.select("key", F.col("id").alias("b"), F.col("size").alias("m"))
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("n"), F.col("m"), similarity)).select("a", "b").distinct()
+    left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("n"), F.col("at").alias("i")), few.select("key", F.col("id").alias("b"), F.col("size").alias("m"), F.col("at").alias("j"))
+    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & _fit(F.col("n"), F.col("i"), F.col("m"), F.col("j"), similarity)).select("a", "b").distinct()
     of = lambda side: names.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
     open_, open_at = written(met.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b"), "open")
-    placed, placed_at = written(many.join(names.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), "n"), "crowded")
+    fitting, fitting_at = written(_fitting(many, similarity), "crowded")
     tidy(spark, shared_at)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(F.col("low") < F.col("high")).select("key")
-    crowded, crowded_at = written(placed.join(mixed, "key"), "mixed")
+    placed, placed_at = written(fitting.join(names.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    tidy(spark, fitting_at)
+    sizes = placed.groupBy("key", "span", "component").agg(F.count("*").alias("n")).groupBy("key", "span")
+    mixed = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).filter(F.col("n") > F.col("main.n"))
+    mixed = mixed.select("key", "span", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("n") - F.col("main.n")).alias("n_other"))
+    crowded, crowded_at = written(placed.join(mixed, ["key", "span"]), "mixed")
     tidy(spark, placed_at)
     looked, looked_at = written(_near_of_crowded(crowded, shapes, similarity, far), "looked")
     sure = looked.filter(F.col("b").isNotNull()).select("a", "b")
@@ -360,65 +384,98 @@ def rest_links(texts: DataFrame, shapes: DataFrame, names: DataFrame, width: int
     return found
 
 
-def _in_parts(many: DataFrame, *columns: str) -> DataFrame:
-    """Rows (key, columns, i, j): each key's rows are dealt to parts, and each pair of parts i and j has the rows of both."""
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    rows = many.select("key", *columns, parts.alias("parts"), own.alias("own"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))))
-    return rows.select("key", *columns, pairs.alias("pair")).select("key", *columns, "pair.i", "pair.j")
+def _fitting(many: DataFrame, similarity: float) -> DataFrame:
+    """Rows (key, span, id, size, at, home) of those rows (key, id, size, at) that can have the similarity with another text of
+    their key, by the sizes and the key's places in the orders.
+
+    A span holds sizes that differ by 1 / similarity at most. Each row is at home in its own span and a guest in the one
+    below, so each pair that can have the similarity meets in the shorter one's span, where that one is at home.
+    """
+    step = math.log(1 / similarity) * (1 + 1e-9)
+    own = F.floor(F.log(F.col("size").cast("double")) / step).cast("int")
+    spans = F.explode(F.array(F.struct(own.alias("span"), F.lit(True).alias("home")), F.struct((own - 1).alias("span"), F.lit(False).alias("home"))))
+    rows = many.select("key", "id", "size", "at", spans.alias("s")).select("key", "s.span", "id", "size", "at", "s.home")
+    largest = _largest_fit(F.col("size"), F.col("at"), similarity)
+    shorter = F.col("home") & (largest >= F.col("size"))  # may be the shorter of two
+    least = rows.filter(shorter).groupBy("key", "span").agg(F.min("size").alias("least"))
+    return rows.join(least, ["key", "span"]).filter(shorter | (largest >= F.col("least"))).drop("least")
+
+
+def _in_pairs_of_parts(crowded: DataFrame) -> DataFrame:
+    """The rows with parts i and j: of each key and span, the rows of the main component and the others are dealt to parts, and
+    each pair of parts has the rows of both, but for two parts of the main component. Up to PART_ROWS rows are one part."""
+    alone = F.col("n_main") + F.col("n_other") <= PART_ROWS
+    others = F.when(alone, 1).otherwise(F.ceil(F.col("n_other") / PART_ROWS)).cast("int")
+    mains = F.when(alone, 0).otherwise(F.ceil(F.col("n_main") / PART_ROWS)).cast("int")
+    is_main, code = ~alone & (F.col("component") == F.col("main")), F.xxhash64("id")
+    own = F.when(is_main, F.col("others") + F.pmod(code, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(code, F.col("others"))).cast("int")
+    rows = crowded.select("*", others.alias("others"), mains.alias("mains")).withColumn("own", own)
+    with_ = F.sequence(F.lit(0), F.when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    with_ = F.when(alone, F.array(F.lit(0))).otherwise(F.filter(with_, lambda other: other != F.col("own")))
+    pairs = F.explode(F.transform(with_, lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"))))
+    return rows.select("key", "span", "id", "component", "at", "home", pairs.alias("pair")).select("key", "span", "id", "component", "at", "home", "pair.i", "pair.j")
+
+
+def _fit_matrix(group: pd.DataFrame, similarity: float) -> np.ndarray:
+    """Which rows' sets may have the similarity, by their sizes and the key's places, if they are in different components."""
+    sizes, root = group["size"].to_numpy().astype(np.int64), group["component"].to_numpy()
+    left = sizes - group["at"].to_numpy()
+    return (np.minimum.outer(left, left) >= similarity / (1 + similarity) * np.add.outer(sizes, sizes) - 1e-6) & (root[:, None] != root)
 
 
 def _near_matrix(group: pd.DataFrame, similarity: float, far: int) -> np.ndarray:
-    """Which rows' sets may have the similarity, by their fingerprints and sizes, if they are in different components."""
-    sizes, root = group["size"].to_numpy().astype(np.int64), group["component"].to_numpy()
+    """Of these, those whose fingerprints are near enough."""
     bits = _unpack(np.stack(group["fingerprint"].to_numpy())).astype(np.float32) * 2 - 1
-    near = bits @ bits.T >= bits.shape[1] - 2 * far
-    near &= np.minimum.outer(sizes, sizes) >= similarity * np.maximum.outer(sizes, sizes) - 1e-9
-    return near & (root[:, None] != root)
+    return (bits @ bits.T >= bits.shape[1] - 2 * far) & _fit_matrix(group, similarity)
 
 
 def _met_before(key: int, keys: list[np.ndarray]) -> np.ndarray:
-    """Which rows have a smaller key in common too, by each row's crowded keys: that key's group compares them."""
-    smaller = [k[k < key] for k in keys]
-    values, codes = np.unique(np.concatenate(smaller), return_inverse=True)
+    """Which rows have an earlier key in common too, by each row's crowded keys in their order: the group of the first such key
+    compares them. On a later one they may not fit, so it has to be the first."""
+    earlier = [k[: np.flatnonzero(k == key)[0]] for k in keys]
+    values, codes = np.unique(np.concatenate(earlier), return_inverse=True)
     has = np.zeros((len(keys), len(values)), dtype=np.float32)
-    has[np.repeat(np.arange(len(keys)), [len(k) for k in smaller]), codes] = 1
+    has[np.repeat(np.arange(len(keys)), [len(k) for k in earlier]), codes] = 1
     return has @ has.T > 0
 
 
 def _near_of_crowded(crowded: DataFrame, shapes: DataFrame, similarity: float, far: int) -> DataFrame:
-    """(key, i, j, a, b, component) of rows (key, id, component, n) of crowded keys, of which all pairs of parts are compared:
-    either a link between two small sets, or, with b null, a row of the parts i and j whose fingerprint is near enough to
-    another's there. There are fewer of both than rows."""
-    mine = crowded.groupBy("id").agg(F.collect_list("key").alias("keys"))  # of one text: no more than its prefix
-    rows = _in_parts(crowded, "id", "component").join(shapes.select("id", F.col("n").alias("size"), "fingerprint", "small"), "id").join(mine, "id")
+    """(key, span, i, j, a, b, component, at) of rows of crowded keys that fit and are in components of their own: either a link
+    between two small sets, or, with b null, a row of the parts i and j whose fingerprint is near enough to another's there.
+    There are fewer of both than rows."""
+    mine = crowded.groupBy("id", "span").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("keys"))  # of one text: no more than its prefix
+    mine = mine.withColumn("keys", F.transform("keys", lambda k: k["key"]))
+    mine = mine.join(shapes.select("id", F.col("n").alias("size"), "fingerprint", "small"), "id")
+    rows = _in_pairs_of_parts(crowded).join(mine, ["id", "span"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         ids, root, is_small = group["id"].to_numpy(), group["component"].to_numpy().copy(), (group["size"] <= SMALL).to_numpy()
-        out = {"a": [], "b": [], "component": []}
+        out = {"a": [], "b": [], "component": [], "at": []}
         if (root != root[0]).any():
-            near = _near_matrix(group, similarity, far) & ~(is_small[:, None] & is_small)
+            home = group["home"].to_numpy().astype(bool)  # two guests meet in the span where the shorter is at home
+            near = _near_matrix(group, similarity, far) & ~(is_small[:, None] & is_small) & (home[:, None] | home)
             if near.any():
                 near &= ~_met_before(int(group["key"].iloc[0]), list(group["keys"]))
             at = np.flatnonzero(near.any(axis=1))
-            links = _small_links(np.flatnonzero(is_small), list(group["small"]), root, similarity)
+            small = np.flatnonzero(is_small)
+            links = _small_links(small, list(group["small"]), root, similarity, _fit_matrix(group.iloc[small], similarity))
             out = {
                 "a": [*(ids[i] for i, _ in links), *ids[at]],
                 "b": [*(ids[j] for _, j in links), *[None] * len(at)],
                 "component": [*[None] * len(links), *group["component"].to_numpy()[at]],
+                "at": [*[None] * len(links), *group["at"].to_numpy()[at]],
             }
         made = pd.DataFrame({k: pd.array(v, dtype="Int64") for k, v in out.items()})
-        return made.assign(**{k: group[k].iloc[0] for k in ("key", "i", "j")})[["key", "i", "j", "a", "b", "component"]]
+        return made.assign(**{k: group[k].iloc[0] for k in ("key", "span", "i", "j")})[["key", "span", "i", "j", "a", "b", "component", "at"]]
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "key bigint, i int, j int, a bigint, b bigint, component bigint")
+    return rows.groupBy("key", "span", "i", "j").applyInPandas(compare, "key bigint, span int, i int, j int, a bigint, b bigint, component bigint, at bigint")
 
 
 def _links_of_crowded(rows: DataFrame, texts: DataFrame, shapes: DataFrame, width: int, similarity: float, far: int) -> DataFrame:
-    """(a, b) of the similarity among rows (key, i, j, a, component), by their texts' sets. Rows that links already connect
-    aren't compared, so there are fewer links than rows."""
-    rows = rows.select("key", "i", "j", F.col("a").alias("id"), "component").join(shapes.select("id", F.col("n").alias("size"), "fingerprint"), "id").join(texts.select("id", "text"), "id")
+    """(a, b) of the similarity among rows (key, span, i, j, a, component, at), by their texts' sets. Rows that links already
+    connect aren't compared, so there are fewer links than rows."""
+    rows = rows.select("key", "span", "i", "j", F.col("a").alias("id"), "component", "at").join(shapes.select("id", F.col("n").alias("size"), "fingerprint"), "id").join(texts.select("id", "text"), "id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -427,7 +484,7 @@ def _links_of_crowded(rows: DataFrame, texts: DataFrame, shapes: DataFrame, widt
         ids = group["id"].to_numpy()
         return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return rows.groupBy("key", "span", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def _small_links(at: np.ndarray, sets: list[np.ndarray], root: np.ndarray, similarity: float, near: np.ndarray | None = None) -> list[tuple[int, int]]:

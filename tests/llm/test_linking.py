@@ -162,6 +162,57 @@ def test_keep_one_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == few
 
 
+def edited(rng, base, changes, name):
+    out = list(base)
+    for k, at in enumerate(rng.choice(len(base) // 5, changes, replace=False)):
+        out[5 * at + 2] = f"{name}x{k}"  # edits lie five words apart, so each changes five shingles
+    return " ".join(out)
+
+
+def test_parts_of_a_block_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 16)
+    rows = spark.range(400).selectExpr("cast(id % 2 as bigint) as key", "id", "cast(200 as bigint) as n")
+    dealt = simhash._in_parts(rows, "id")
+    assert dealt.select("id").distinct().count() == 400 and dealt.count() <= 1000
+
+
+def test_copies_that_nothing_can_reach_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 4)
+    compared = []
+    way = simhash._near_of_crowded
+    monkeypatch.setattr(simhash, "_near_of_crowded", lambda crowded, *rest: (compared.append(crowded.count()), way(crowded, *rest))[1])
+    rng = np.random.default_rng(15)
+    base = [f"w{x}" for x in range(150)]
+    texts = [" ".join(base), *(edited(rng, base, 1, f"a{i}") for i in range(40)), *(edited(rng, base, 5, f"b{i}") for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {0, *range(41, 101)}
+    assert compared == [0]
+
+
+@pytest.mark.parametrize("part", [4, 32])
+def test_keep_one_equals_brute_force_on_crowded_shingles(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
+    monkeypatch.setattr(simhash, "WIDE_PAIRS_MOST", 1)
+    no_links = lambda shapes, *_: simhash.written(shapes.selectExpr("id as a", "id as b").limit(0), "near")
+    monkeypatch.setattr(simhash, "wide_links", no_links)  # so all is left to the shingles
+    rng = np.random.default_rng(16)
+    texts = set()
+    for group, length in enumerate((30, 60, 160)):
+        base = [f"g{group}w{x}" for x in range(length)]
+        chain = base
+        for i in range(50):
+            chain = edited(rng, chain if i % 7 else base, int(rng.integers(0, 4)), f"g{group}i{i % 3}").split()
+            cut = int(rng.integers(0, length // 6))
+            texts.add(" ".join(chain[: length - cut] if i % 2 else chain[cut:]))
+    texts = sorted(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = set(classes(range(len(texts)), near).values())
+    assert 10 < len(want) < len(texts) - 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 def test_keep_one_of_odd_rows(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
