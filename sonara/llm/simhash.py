@@ -375,10 +375,12 @@ def rest_links(texts: DataFrame, shapes: DataFrame, names: DataFrame, width: int
     mixed = mixed.select("key", "span", F.col("main.component").alias("main"), F.col("main.n").alias("n_main"), (F.col("n") - F.col("main.n")).alias("n_other"))
     crowded, crowded_at = written(placed.join(mixed, ["key", "span"]), "mixed")
     tidy(spark, placed_at)
-    looked, looked_at = written(_near_of_crowded(crowded, shapes, similarity, far), "looked")
+    still = F.col("n_main") + F.col("n_other") > WIDE_PAIRS_MOST
+    met = open_.union(_pairs_of_span(crowded.filter(~still), similarity)).distinct()
+    looked, looked_at = written(_near_of_crowded(crowded.filter(still), shapes, similarity, far), "looked")
     sure = looked.filter(F.col("b").isNotNull()).select("a", "b")
     sure = sure.union(_links_of_crowded(looked.filter(F.col("b").isNull()), texts, shapes, width, similarity, far))
-    near = _with_prints(open_, shapes).filter((F.greatest("na", "nb") <= SMALL) | (_differ("fa", "fb") <= far)).select("a", "b")
+    near = _with_prints(met, shapes).filter((F.greatest("na", "nb") <= SMALL) | (_differ("fa", "fb") <= far)).select("a", "b")
     found = written(verified(near, texts, width, similarity).union(sure).distinct(), "rest")
     tidy(spark, open_at, crowded_at, looked_at)
     return found
@@ -401,6 +403,14 @@ def _fitting(many: DataFrame, similarity: float) -> DataFrame:
     return rows.join(least, ["key", "span"]).filter(shorter | (largest >= F.col("least"))).drop("least")
 
 
+def _pairs_of_span(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that fit and are in components of their own, of keys and spans where few rows are left."""
+    side = lambda k: rows.select("key", "span", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "at", "component", "home")))
+    fit = _fit(F.col("size_a"), F.col("at_a"), F.col("size_b"), F.col("at_b"), similarity) & (F.col("home_a") | F.col("home_b"))
+    pairs = side("a").join(side("b"), ["key", "span"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fit)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def _in_pairs_of_parts(crowded: DataFrame) -> DataFrame:
     """The rows with parts i and j: of each key and span, the rows of the main component and the others are dealt to parts, and
     each pair of parts has the rows of both, but for two parts of the main component. Up to PART_ROWS rows are one part."""

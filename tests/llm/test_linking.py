@@ -189,10 +189,10 @@ def test_copies_that_nothing_can_reach_are_not_compared(spark, monkeypatch):
     assert compared == [0]
 
 
-@pytest.mark.parametrize("part", [4, 32])
-def test_keep_one_equals_brute_force_on_crowded_shingles(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "most"), [(4, 1), (32, 8)])
+def test_keep_one_equals_brute_force_on_crowded_shingles(spark, monkeypatch, part, most):
     monkeypatch.setattr(simhash, "PART_ROWS", part)
-    monkeypatch.setattr(simhash, "WIDE_PAIRS_MOST", 1)
+    monkeypatch.setattr(simhash, "WIDE_PAIRS_MOST", most)
     no_links = lambda shapes, *_: simhash.written(shapes.selectExpr("id as a", "id as b").limit(0), "near")
     monkeypatch.setattr(simhash, "wide_links", no_links)  # so all is left to the shingles
     rng = np.random.default_rng(16)
