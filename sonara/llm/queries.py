@@ -1,4 +1,4 @@
-"""The queries of the ten operators: each applies its operator, with production parameters, to a whole table."""
+"""The queries of the thirteen operators: each applies its operator, with production parameters, to a whole table."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sonara.llm import bpe, chat, lzprint, mixing, quality, simhash, tokens, toxicity, urls, warc
+from sonara.llm import bpe, chat, fim, lzprint, mixing, quality, sentencepieces, simhash, tokens, toxicity, urls, warc, whitening
 from sonara.llm.common import prepare, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:
@@ -66,7 +67,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_bpe, op3_toxicity, op4_lz_fingerprint, op5_warc, op6_simhash, op7_quality, op8_url_rules, op9_mixing, op10_chat)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return sentencepieces.piece_round_trip(table(spark, sf_dir, "documents"), sentencepieces.read_model(public_tokenizers.path(PIECES)))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.whitening_rows(table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fim.fim_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_shards, op2_bpe, op3_toxicity, op4_lz_fingerprint, op5_warc, op6_simhash, op7_quality, op8_url_rules, op9_mixing, op10_chat, op11_sentencepiece, op12_whitening, op13_fim)}
 
 
 OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
@@ -128,5 +144,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256, CAST(sum(marks + length(text) + escapes) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
+OP13 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS d FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || d[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (len(u) + 1) AS b, CAST('0x' || d[25:32] AS BIGINT) % 100 < 50 AS s FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN s THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS e FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || e || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || e || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""
+
 #: The others tokenize, learn or hash in ways that SQL lacks; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5, "op7_quality": OP7, "op8_url_rules": OP8, "op9_mixing": OP9, "op10_chat": OP10}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5, "op7_quality": OP7, "op8_url_rules": OP8, "op9_mixing": OP9, "op10_chat": OP10, "op13_fim": OP13}
