@@ -28,7 +28,7 @@ from sonara.llm.common import give_back, map_arrow, slices, text_of
 SPACE = "▁"
 _SPACE = SPACE.encode()
 #: Known chunks are forgotten when there are so many; bytes of text that are encoded at a time; bits of the table of pairs.
-KNOWN, SLICE_BYTES, PAIR_BITS = 300_000, 2_000_000, 22
+KNOWN, SLICE_BYTES, PAIR_BITS = 1_000_000, 2_000_000, 22
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -193,7 +193,8 @@ class PieceModel:
         the last, among which SPACE itself counts."""
         blank, place = view == 32, np.arange(len(view))
         fresh = np.append(True, owner[1:] != owner[:-1])
-        leading = blank & np.where(fresh, source == begins[owner], np.append(False, until[:-1] == source[1:]))
+        alone = np.append((source[1:] != source[:-1]) | fresh[1:], True)  # the only byte that its source gives
+        leading = blank & alone & np.where(fresh, source == begins[owner], np.append(False, until[:-1] == source[1:]))
         stop = np.flatnonzero(~leading)
         reach = np.append(stop, len(view))[np.searchsorted(stop, place[fresh])]  # where the run from a text's start ends
         reach = np.minimum(reach, np.append(place[fresh], len(view))[1:])
@@ -233,8 +234,10 @@ class PieceModel:
             return np.zeros(0, dtype=np.int64)
         points = np.frombuffer(found.data.tobytes().decode().encode("utf-32-le"), dtype="<u4").astype(np.uint32)
         leads = np.flatnonzero((found.data & 0xC0) != 0x80)
-        apart = leads[1:][~self.joined[self._slot(points[:-1], points[1:])]]
-        return np.union1d(apart, found.edges[:-1][np.diff(found.edges) > 0])
+        begins = np.zeros(len(found.data) + 1, dtype=bool)
+        begins[leads[1:][~self.joined[self._slot(points[:-1], points[1:])]]] = True
+        begins[found.edges[:-1]] = True
+        return np.flatnonzero(begins[:-1])
 
     def _new(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         ids = [self.merged(c) for c in chunks.to_pylist()]
@@ -245,15 +248,15 @@ class PieceModel:
         leftmost. Characters that are no piece become bytes."""
         parts: list[str] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        score, heap = self.score, []
+        score = self.score
 
         def offer(a: int, b: int) -> None:
             union = parts[a] + parts[b]
             if union in score:
                 heapq.heappush(heap, (-score[union], a, b, len(union)))
 
-        for k in range(len(parts) - 1):
-            offer(k, k + 1)
+        heap = [(-score[u], k, k + 1, 2) for k in range(len(parts) - 1) if (u := text[k : k + 2]) in score]
+        heapq.heapify(heap)
         while heap:
             _, a, b, size = heapq.heappop(heap)
             if not parts[a] or not parts[b] or len(parts[a]) + len(parts[b]) != size:

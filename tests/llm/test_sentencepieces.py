@@ -28,7 +28,7 @@ MODELS = {"plain": PLAIN, "nmt_nfkc": with_map("nmt_nfkc"), "nfkc_cf": with_map(
 OWN = {k: sps.PieceModel(m) for k, m in MODELS.items()}
 LIBRARY = {k: sentencepiece.SentencePieceProcessor(model_proto=m) for k, m in MODELS.items()}
 
-CASES = ["", " ", "  ", "    ", "a", " a", "a ", "  a  b  ", "a\n\n b\t", "Hello world! It's 12345.", "▁", "a▁b", "▁▁ ▁", "日本語 テスト", "ﷺ ﬁne ½ ①", "é é ǅ İ ß", "👍🏽 x²³", "\x00a\x00", "​　x y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<s></s><unk><0x0A>", "�\U0010ffff", "آ", "ｶﾞｷﾞ", "   　  "]
+CASES = ["", " ", "  ", "    ", "a", " a", "a ", "  a  b  ", "a\n\n b\t", "Hello world! It's 12345.", "▁", "a▁b", "▁▁ ▁", "日本語 テスト", "ﷺ ﬁne ½ ①", "é é ǅ İ ß", "👍🏽 x²³", "\x00a\x00", "​　x y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "<s></s><unk><0x0A>", "�\U0010ffff", "آ", "ｶﾞｷﾞ", "   　  ", "\x1f0", "¯", " ¯ ", "\x1f", " \x1f ", "a▁ ▁", "\x1f a"]
 
 
 def library_pieces(name, text):
