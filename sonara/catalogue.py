@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonara.config import StreamConfig, TranscribeConfig, VadConfig
 from sonara.functions import arrays, scores, text, times
-from sonara.operators import attempts, curves, evaluate, phrases, regions, spectral, tokens, words
+from sonara.operators import attempts, curves, evaluate, phrases, regions, scan, spectral, tokens, words
 from sonara.plans import scoring, stub, transcribe
 from sonara.sources import documents as sources
 from sonara.streaming import endpoint
@@ -62,6 +62,12 @@ def user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def spread_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an ordered scan: a user's rows in blocks, so that a user may be many tasks."""
+    rows = scan.even_blocks(events(spark, sf_dir), "user_id", "ts")
+    return scan.scanned(rows, "user_id", ["ts", "event_id"], F.col("block"), n=scan.running_sum(F.lit(1).cast("bigint"))).withColumn("pos", F.col("n") - 1)
+
+
 @query(f"WITH {REGIONS} SELECT * FROM r")
 def regions_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_regions(spark, sf_dir)
@@ -111,7 +117,8 @@ g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(us) AS start_us, max(us) AS end_us FROM s GROUP BY user_id, session""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = regions.gap_sessions(events(spark, sf_dir), "user_id", F.unix_micros("ts"), 43_200_000_000)
+    rows = scan.even_blocks(events(spark, sf_dir), "user_id", "ts")
+    found = regions.gap_sessions(rows, "user_id", F.unix_micros("ts"), 43_200_000_000, F.col("block"))
     return found.withColumnsRenamed({"start": "start_us", "end": "end_us"})
 
 
@@ -121,7 +128,7 @@ MAP = """s AS (SELECT user_id, first_pos, end_pos, row_number() OVER w - 1 AS id
 
 @query(f"WITH {REGIONS}, {MAP} SELECT user_id, CAST(idx AS BIGINT) AS idx, CAST(cum_start AS BIGINT) AS cum_start, CAST(cum_end AS BIGINT) AS cum_end, CAST(silence AS BIGINT) AS silence FROM s")
 def silence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
+    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos", scan.places(F.col("first_pos")))
     return found.select("user_id", F.col("idx").cast("bigint").alias("idx"), "cum_start", "cum_end", "silence")
 
 
@@ -129,14 +136,15 @@ def silence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.user_id, p.pos, CAST(p.pos + coalesce(s.silence, l.last_silence, 0) AS BIGINT) AS original
 FROM p LEFT JOIN l ON l.user_id = p.user_id LEFT JOIN s ON s.user_id = p.user_id AND p.pos >= s.cum_start AND p.pos < s.cum_end""")
 def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos")
-    restored = regions.restore_times(user_rows(spark, sf_dir).select("user_id", "pos"), found, "user_id", "pos")
+    found = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos", scan.places(F.col("first_pos")))
+    restored = regions.restore_times(spread_rows(spark, sf_dir).select("user_id", "pos"), found, "user_id", "pos", scan.ROWS)
     return restored.select("user_id", "pos", F.col("original").cast("bigint").alias("original"))
 
 
 @query(f"WITH {POSITIONS}, l AS (SELECT user_id, list(value ORDER BY pos) AS v FROM p GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda y, x: 0.35 * x + 0.65 * y), 4) AS ema FROM l")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = curves.running_means(events(spark, sf_dir), "user_id", ["ts", "event_id"], "value", 0.35)
+    rows = scan.even_blocks(events(spark, sf_dir), "user_id", "ts")
+    found = curves.running_means(rows, "user_id", ["ts", "event_id"], "value", 0.35, F.col("block"))
     return found.select("user_id", F.round("mean", 4).alias("ema"))
 
 
@@ -571,17 +579,62 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- plans around plug-ins (rows only: a fold, a stub model or a stream) ---
 
 
-@query()
+SCORES = f"{POSITIONS}, s AS (SELECT user_id, pos, CAST(least(value / 120, 1.0) AS FLOAT) AS v, count(*) OVER (PARTITION BY user_id) AS total FROM p)"
+
+
+def _padded_sql(pad: int, samples: int) -> str:
+    """Regions r (user_id, a, b, total) padded and numbered."""
+    return f"""g AS (SELECT *, a - lag(b) OVER w AS before, lead(a) OVER w - b AS after, row_number() OVER w - 1 AS idx FROM r WINDOW w AS (PARTITION BY user_id ORDER BY a))
+SELECT user_id AS rec_id, CAST(idx AS BIGINT) AS idx, CAST(greatest(0, a - CASE WHEN before < {2 * pad} THEN before // 2 ELSE {pad} END) AS BIGINT) AS start,
+  CAST(CASE WHEN after < {2 * pad} THEN b + after // 2 ELSE least(total * {samples}, b + {pad}) END AS BIGINT) AS "end" FROM g"""
+
+
+#: One step of the frame machine for each row: a silence that ends, a region that begins, one that is cut, one that ends.
+FRAME_FOLD = f"""WITH RECURSIVE {SCORES},
+m AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS st, CAST(0 AS BIGINT) AS quiet, CAST(0 AS BIGINT) AS cut, CAST(0 AS BIGINT) AS back, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM s
+  UNION ALL SELECT user_id, pos, CASE WHEN ends THEN NULL ELSE st END, CASE WHEN ends THEN 0 WHEN falls THEN since ELSE quiet END, CASE WHEN ends THEN 0 WHEN falls AND now - since > 1568 THEN since ELSE cut END, CASE WHEN ends THEN 0 ELSE back END,
+    CASE WHEN ends AND since > st THEN st ELSE a END, CASE WHEN ends AND since > st THEN since ELSE b END
+  FROM (SELECT *, v < 0.35::FLOAT AND st IS NOT NULL AS falls, CASE WHEN quiet = 0 THEN now ELSE quiet END AS since, v < 0.35::FLOAT AND st IS NOT NULL AND now - CASE WHEN quiet = 0 THEN now ELSE quiet END >= 1024 AS ends
+    FROM (SELECT user_id, pos, v, now, CASE WHEN over AND cut <> 0 AND back >= cut THEN back WHEN over THEN NULL ELSE st END AS st, CASE WHEN over THEN 0 ELSE quiet END AS quiet, CASE WHEN over THEN 0 ELSE cut END AS cut, CASE WHEN over THEN 0 ELSE back END AS back,
+        CASE WHEN over THEN st END AS a, CASE WHEN over AND cut <> 0 THEN cut WHEN over THEN now END AS b
+      FROM (SELECT *, coalesce(now - st > 17664, false) AS over
+        FROM (SELECT s.user_id, s.pos, s.v, 512 * s.pos AS now, CASE WHEN s.v >= 0.5::FLOAT AND m.st IS NULL THEN 512 * s.pos ELSE m.st END AS st, CASE WHEN s.v >= 0.5::FLOAT THEN 0 ELSE quiet END AS quiet, cut,
+            CASE WHEN s.v >= 0.5::FLOAT AND quiet <> 0 AND back < cut THEN 512 * s.pos ELSE back END AS back
+          FROM m JOIN s ON s.user_id = m.user_id AND s.pos = m.pos + 1))))),
+t AS (SELECT DISTINCT user_id, total FROM s),
+r AS (SELECT user_id, a, b, total FROM m JOIN t USING (user_id) WHERE a IS NOT NULL UNION ALL SELECT user_id, st, total * 512, total FROM m JOIN t USING (user_id) WHERE pos = total - 1 AND st IS NOT NULL),
+{_padded_sql(512, 512)}"""
+
+
+@query(FRAME_FOLD)
 def speech_regions_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame machine with a limit on length, over each user's values as scores."""
-    rows = user_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
+    rows = spread_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
     lengths = rows.groupBy("rec_id").agg((F.count("*") * regions.WINDOW).alias("n_samples"))
     return regions.speech_regions(rows, lengths, VadConfig(max_speech_s=1.2, min_silence_ms=64, pad_ms=32))
 
 
-@query()
+STEP_S = f"{regions.FRAME_STEP}::DOUBLE"
+#: One step of the overlap machine for each row; fi and fv are the frames in memory.
+OVERLAP_FOLD = f"""WITH RECURSIVE {SCORES},
+m AS (SELECT user_id, pos, v > 0.5::FLOAT AS active, 0.5::DOUBLE * {STEP_S} AS st, [pos] AS fi, [v] AS fv, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM s WHERE pos = 0
+  UNION ALL SELECT user_id, pos, CASE WHEN active THEN over OR NOT low ELSE up END, CASE WHEN over THEN mid WHEN up AND NOT active THEN now ELSE st END,
+    CASE WHEN NOT active THEN fi WHEN over THEN list_append(fi[k + 1:], pos) WHEN low THEN [pos] ELSE list_append(fi, pos) END, CASE WHEN NOT active THEN fv WHEN over THEN list_append(fv[k + 1:], v) WHEN low THEN [v] ELSE list_append(fv, v) END,
+    CASE WHEN active AND (over OR low) THEN st END, CASE WHEN over THEN mid WHEN active AND low THEN now END
+  FROM (SELECT *, (fi[k] + 0.5::DOUBLE) * {STEP_S} AS mid
+    FROM (SELECT s.user_id, s.pos, s.v, active, st, fi, fv, (s.pos + 0.5::DOUBLE) * {STEP_S} AS now, s.v > 0.5::FLOAT AS up, s.v < 0.363::FLOAT AS low, active AND (s.pos + 0.5::DOUBLE) * {STEP_S} - st > 0.2::DOUBLE AS over,
+        len(fi) // 2 + list_position(fv[len(fi) // 2 + 1:], list_min(fv[len(fi) // 2 + 1:])) AS k
+      FROM m JOIN s ON s.user_id = m.user_id AND s.pos = m.pos + 1))),
+t AS (SELECT DISTINCT user_id, total FROM s),
+e AS (SELECT user_id, a, b, total FROM m JOIN t USING (user_id) WHERE a IS NOT NULL UNION ALL SELECT user_id, st, (total - 0.5::DOUBLE) * {STEP_S}, total FROM m JOIN t USING (user_id) WHERE pos = total - 1 AND active),
+q AS (SELECT user_id, total, least(floor(a * 16000 + 0.5::DOUBLE), total * 273) AS a, least(floor(b * 16000 + 0.5::DOUBLE), total * 273) AS b FROM e),
+r AS (SELECT user_id, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, total FROM q WHERE b > a),
+{_padded_sql(160, 273)}"""
+
+
+@query(OVERLAP_FOLD)
 def overlap_regions_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
+    rows = spread_rows(spark, sf_dir).select(F.col("user_id").alias("rec_id"), F.col("pos").alias("idx"), F.least(F.col("value") / 120, F.lit(1.0)).cast("float").alias("score"))
     lengths = rows.groupBy("rec_id").agg((F.count("*") * 273).alias("n_samples"))
     return regions.speech_regions(rows, lengths, VadConfig(max_speech_s=0.2, pad_ms=10), backend="overlap")
 

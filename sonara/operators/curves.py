@@ -39,10 +39,19 @@ def max_over_slots(slots: Column) -> Column:
     return F.array_max(slots)
 
 
-def running_means(df: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
-    """(key, mean): the last value of y = alpha * x + (1 - alpha) * y along each key's rows, beginning at its first x. Each
-    row has its weight by its place from the end, so rows are added up and never gathered."""
-    back = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    rows = df.select(key, F.col(value).alias("x"), (F.row_number().over(back) - 1).alias("age"), F.lead(F.lit(1)).over(back).isNull().alias("first"))
-    weight = F.pow(F.lit(1.0 - alpha), F.col("age")) * F.when(F.col("first"), F.lit(1.0)).otherwise(F.lit(alpha))
-    return rows.groupBy(key).agg(F.sum(F.col("x") * weight).alias("mean"))
+def running_means(df: DataFrame, key: str, order: list[str], value: str, alpha: float, block: Column | None = None) -> DataFrame:
+    """(key, mean): the last value of y = alpha * x + (1 - alpha) * y along each key's rows, beginning at its first x. Null
+    values are left out, and a key that has no others has no row.
+
+    Each row has its weight by its place from the end of its block, and each block by the number of rows behind it, so rows
+    are added up and never gathered. A key is one block unless one is given.
+    """
+    keep, part = 1.0 - alpha, F.lit(0) if block is None else block
+    rows = df.select(F.struct(F.col(key).alias("k")).alias("_key"), *order, F.col(value).alias("x"), part.alias("part")).filter(F.col("x").isNotNull())
+    back = Window.partitionBy("_key", "part").orderBy(*(F.desc(c) for c in order))
+    aged = rows.withColumn("age", F.row_number().over(back) - 1)
+    sums = aged.groupBy("_key", "part").agg(F.sum(F.col("x") * alpha * F.pow(F.lit(keep), F.col("age"))).alias("sum"), F.count("*").alias("n"), F.max_by("x", "age").alias("first"))
+    behind = F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.withColumn("weight", F.pow(F.lit(keep), behind))
+    start = F.min_by(F.col("first") * F.col("weight") * F.pow(F.lit(keep), F.col("n") - 1), "part")  # the first x counts in full
+    return placed.groupBy("_key").agg((F.sum(F.col("sum") * F.col("weight")) + keep * start).alias("mean")).select(F.col("_key.k").alias(key), "mean")
