@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonara.llm.common import map_arrow, pieces, text_of, tidy, written
+from sonara.llm.common import map_arrow, map_batches, pieces, text_of, tidy, written
 from sonara.llm.components import components
 
 SEED = 42
@@ -43,8 +44,10 @@ PAIRS_MOST = 64
 WIDE_PAIRS_MOST = 8
 #: 64-bit lanes of a wide fingerprint, at any number of texts.
 WIDE_LANES = 10
-#: Texts whose shingles are counted, and the shingles that then are known as frequent; both bear on speed only.
-SAMPLE_TEXTS, FREQUENT_MOST = 20_000, 50_000
+#: Shingles are counted by the texts that have them, all texts' shingles in buckets of their hashes. Of this many slots of hashes
+#: each knows the count of its most frequent shingle, if over RARE texts have that; the table's size (16 MB) and the bound bear
+#: on speed only.
+SLOT_BITS, RARE = 24, 4
 #: Sets of so many shingles at most are compared themselves. A larger pair of the similarity lies within FAR standard
 #: deviations of the bits in which it is expected to differ: of a thousand million such pairs one might not.
 SMALL, FAR = 40, 6
@@ -298,34 +301,68 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return map_arrow(both, start, "a bigint, b bigint")
 
 
-def frequent_shingles(texts: DataFrame, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, of shingles that a sample of the texts has often, and how many texts have each. They go last in the
-    order of shingles; another sample gives another order and the same links."""
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, count // SAMPLE_TEXTS))) == 0)
+def shingle_levels(texts: DataFrame, count: int, width: int) -> np.ndarray:
+    """How frequent the shingles of each slot (a hash's first SLOT_BITS bits) are among all texts (id, text): twice the binary
+    logarithm of the count of texts of the slot's most frequent shingle, 0 if RARE texts at most have each of its shingles.
+
+    Frequent shingles go last in the order of shingles. A rare one that shares its slot with a frequent one goes there too,
+    which takes no link. Hashes are dealt out by their first bits, in as many buckets as keep one small at any number of
+    texts; a batch's repeats are added up before. A bucket is a run of slots, so what comes to the driver is the table.
+    """
+    bits = min(SLOT_BITS, max(6, math.ceil(math.log2(max(2, count))) - 8))
+    shift, low = np.uint64(64 - bits), np.uint64(64 - SLOT_BITS)
 
     def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             for _, part in pieces(batch):
-                for t in part:
-                    yield {"v": pa.array(shingle_set(t, width).view(np.int64), pa.int64())}
+                hashes, counts = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(shingle_set(t, width) for t in part)]), return_counts=True)
+                buckets = (hashes >> shift).astype(np.int64)
+                edges = np.flatnonzero(np.diff(buckets, prepend=-1))
+                offsets = pa.py_buffer((np.append(edges, len(hashes)) * 8).astype(np.int32))
+                binary = lambda values: pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(values)])  # noqa: B023, E731
+                yield {"bucket": pa.array(buckets[edges]), "hashes": binary(hashes), "counts": binary(counts.astype(np.int64))}
 
         return each
 
-    often = map_arrow(sample.select("id", "text"), start, "v bigint").groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > 4)
-    rows = often.orderBy(F.desc("n"), "v").limit(FREQUENT_MOST).toPandas()
-    hashes, counts = rows["v"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def shapes_of(texts: DataFrame, width: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << (SLOT_BITS - bits)
+        bucket, hashes, counts = None, [], []
+
+        def done() -> pa.RecordBatch:
+            values, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+            often = np.flatnonzero(n > RARE)
+            table = np.zeros(size, dtype=np.uint8)
+            np.maximum.at(table, ((values[often] >> low) & np.uint64(size - 1)).astype(np.int64), (2 * np.log2(n[often])).astype(np.uint8))
+            return pa.RecordBatch.from_pydict({"bucket": [bucket], "levels": [zlib.compress(table.tobytes(), 1)]})
+
+        for batch in batches:
+            for b, h, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket is not None and b != bucket:
+                    yield done()
+                    hashes, counts = [], []
+                bucket = b
+                hashes.append(np.frombuffer(h, dtype=np.uint64))
+                counts.append(np.frombuffer(c, dtype=np.int64))
+        if bucket is not None:
+            yield done()
+
+    counted = map_arrow(texts.select("id", "text"), start, "bucket bigint, hashes binary, counts binary")
+    found = map_batches(counted.repartition("bucket").sortWithinPartitions("bucket"), levels, "bucket bigint, levels binary")
+    table = np.zeros((1 << bits, 1 << (SLOT_BITS - bits)), dtype=np.uint8)
+    for r in found.toLocalIterator():
+        table[r.bucket] = np.frombuffer(zlib.decompress(r.levels), dtype=np.uint8)
+    return table.ravel()
+
+
+def shapes_of(texts: DataFrame, width: int, similarity: float, levels: np.ndarray) -> DataFrame:
     """(id, n, fingerprint, prefix, small) of texts (id, text): the number of a text's distinct shingles, their wide
     fingerprint, the first n - ceil(similarity * n) + 1 of them, rare ones first, and all of them if they are few.
 
     Two sets of the similarity have at least ceil(similarity * n) shingles in common, so the first of these in the order is
     in the prefixes of both.
     """
-    often, counts = frequent
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
     longs = lambda found: pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[dict]]:
@@ -334,10 +371,7 @@ def shapes_of(texts: DataFrame, width: int, similarity: float, frequent: tuple[n
                 sets = [shingle_set(t, width) for t in texts_]
                 prefixes = []
                 for found in sets:
-                    rank = np.zeros(len(found), dtype=np.int64)
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-                        rank = np.where(often[at] == found, counts[at], 0)
+                    rank = shared.value[found >> np.uint64(64 - SLOT_BITS)]
                     first = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
                     prefixes.append(found[np.lexsort((found, rank))[:first]])
                 yield {
@@ -546,7 +580,7 @@ def keep_one(df: DataFrame, width: int = 5, similarity: float = 0.8, recall: flo
     count = classes.count()
     bits, blocks = wide_plan(count, similarity, recall)
     blocks = min(blocks, 64 * WIDE_LANES // bits)
-    shapes, shapes_at = written(shapes_of(classes, width, similarity, frequent_shingles(classes, count, width)), "shapes")
+    shapes, shapes_at = written(shapes_of(classes, width, similarity, shingle_levels(classes, count, width)), "shapes")
     near, near_at = wide_links(shapes, bits, blocks, bits_apart(similarity, 2))
     links, links_at = written(verified(near, classes, width, similarity), "links")
     known, known_at = written(components(links, "a", "b"), "known")

@@ -8,7 +8,7 @@ sum of expansion lengths and only its own symbols are expanded.
 
 A round takes pairs by falling count, leaving out a pair whose first id is second in a pair taken before or the reverse.
 Pairs of one round then never overlap, so each one's count is what it replaces, and all are replaced in one sweep. A pair
-of two equal ids overlaps with itself; it is taken only where it is the most frequent, alone in its round.
+of two equal ids overlaps with itself: of a run of equal ids every other pair is replaced, in the same round as other pairs.
 """
 
 from __future__ import annotations

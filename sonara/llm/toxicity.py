@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model of the labelled training rows; None if they don't have both labels.
 
     The sample is of labelled ids only, so its texts are found by a join with at most `rows` ids. Null labels and ids are
-    left out; an id that is labelled more than once counts by its highest label; of repeated documents each is a row.
+    left out; an id that is labelled more than once counts by its highest label; of repeated documents each is a row, and
+    where they make more than `rows` rows those of least hash are taken, so what the driver is sent has that bound.
     """
     known = labels.select(labels[id_col].cast("bigint").alias("id"), labels[label_col].cast("int").alias("y")).filter(in_training("id") & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -137,8 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return each
 
     stored, path = written(map_arrow(found, start, "id bigint, y int, places binary"), "features")
-    both = stored.select("y").distinct().count() == 2
-    model = ftrl(Stored(stored)) if both else None
+    found_rows, classes = stored.agg(F.count("*"), F.countDistinct("y")).first()
+    if found_rows > rows:
+        stored = stored.orderBy(F.xxhash64("id", "places"), "id", "places").limit(rows)
+        classes = stored.select("y").distinct().count()
+    model = ftrl(Stored(stored)) if classes == 2 else None
     remove(docs.sparkSession, path)
     return model
 

@@ -369,3 +369,19 @@ def test_chat_digest(spark):
         assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and r.formatted_chars > 0
     assert chat.chat_digest(df.limit(0)).count() == 0
+
+
+def test_shingle_levels_count_all_texts(spark):
+    from collections import Counter
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(5)
+    counts = Counter(h for t in texts for h in simhash.shingle_set(t, 3).tolist())
+    want = np.zeros(1 << simhash.SLOT_BITS, dtype=np.uint8)
+    for h, n in counts.items():
+        if n > simhash.RARE:
+            want[h >> (64 - simhash.SLOT_BITS)] = max(want[h >> (64 - simhash.SLOT_BITS)], int(2 * np.log2(n)))
+    for count in (2, 300, 1 << 20):
+        assert (simhash.shingle_levels(df, count, 3) == want).all()
+    assert not simhash.shingle_levels(df.limit(0), 0, 3).any()
