@@ -79,7 +79,7 @@ def scanned(df: DataFrame, key: str, order: list[str], block: Column | None, **s
     along = Window.partitionBy("_key").orderBy("_block")
     rank = F.struct(*order)
     here = held.select("*", *(s.local(w).alias(f"_here_{n}") for n, s in steps.items()))
-    sums = held.groupBy("_key", "_block").agg(*(s.total(rank).alias(f"_sum_{n}") for n, s in steps.items()))
+    sums = held.groupBy("_key", "_block").agg(*(s.total(rank).alias(f"_sum_{n}") for n, s in steps.items()), read(df)).filter(F.col("_read").isNotNull())
     carried = sums.select("_key", "_block", *(s.carried(F.col(f"_sum_{n}"), along).alias(f"_carry_{n}") for n, s in steps.items()))
     both = here.join(carried, ["_key", "_block"])
     return both.select(*(F.col(f"`{c}`") for c in df.columns), *(s.joined(F.col(f"_carry_{n}"), F.col(f"_here_{n}")).alias(n) for n, s in steps.items()))
@@ -91,6 +91,12 @@ def dealt(df: DataFrame, key: str, block: Column) -> DataFrame:
     return held.repartition("_key", "_block")
 
 
+def read(df: DataFrame) -> Column:
+    """An aggregate that needs all of df's columns: were they pruned where blocks are summed up, that would be an exchange of its
+    own, and what df takes would be done twice."""
+    return F.max(F.hash(*(F.col(f"`{n}`") for n, kind in df.dtypes if "map<" not in kind))).alias("_read")
+
+
 def runs(df: DataFrame, key: str, at: str, gap: Column, block: Column | None, heard: Column | None = None, name: str = "run") -> DataFrame:
     """df with `name`: the `at` of the first row of a row's run, and `silent`: how far behind the heard row before it a row lies.
 
@@ -114,7 +120,7 @@ def runs(df: DataFrame, key: str, at: str, gap: Column, block: Column | None, he
     if alone:
         return rows.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce("_run", "_opening").alias(name), (F.col(at) - F.col("_before")).alias("silent"))
     along = Window.partitionBy("_key").orderBy("_block").rowsBetween(_FIRST, -1)
-    sums = rows.groupBy("_key", "_block").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.max("_run").alias("_latest"))
+    sums = rows.groupBy("_key", "_block").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.max("_run").alias("_latest"), read(df)).filter(F.col("_read").isNotNull())
     known = sums.withColumn("_heard", F.last("_last", ignorenulls=True).over(along))
     known = known.withColumn("_own", F.when(F.col("_first").isNotNull() & far(F.col("_first"), F.col("_heard")), F.col("_first")))
     known = known.withColumn("_going", F.last(F.coalesce("_latest", "_own"), ignorenulls=True).over(along)).select("_key", "_block", "_heard", "_own", "_going")
