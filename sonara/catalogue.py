@@ -541,9 +541,22 @@ def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_pairs(spark, sf_dir).select("conv_id", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
 
 
-@query()
+#: Word distance by rows of the table of distances: each word of the reference makes the next row from the one before.
+WORD_DISTANCE = """list_reduce(rw, lambda row, w: list_reduce(range(1, len(hw) + 1), lambda acc, j: list_append(acc, least(row[j + 1] + 1, acc[-1] + 1, row[j] + CASE WHEN hw[j] = w THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, len(hw) + 1))[-1]"""
+LATER = rf"""x AS (SELECT a.conv_id, a.turn, trim(regexp_replace(lower(coalesce(a.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(coalesce(b.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2),
+y AS (SELECT conv_id, turn, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw, translate(replace(r, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS rc, translate(replace(h, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS hc FROM x),
+d AS (SELECT *, {WORD_DISTANCE} AS wd, levenshtein(rc, hc) AS cd FROM y)"""
+
+
+@query(f"""WITH {LATER} SELECT conv_id, turn, round(CASE WHEN len(rw) > 0 THEN wd / len(rw) WHEN len(hw) = 0 THEN 0 ELSE 1 END, 6) AS wer, round(CASE WHEN length(rc) > 0 THEN cd / length(rc) WHEN length(hc) = 0 THEN 0 ELSE 1 END, 6) AS cer,
+  CAST(len(rw) AS BIGINT) AS ref_words, CAST(len(hw) AS BIGINT) AS hyp_words, CAST(wd AS BIGINT) AS wer_distance, CAST(cd AS BIGINT) AS cer_distance FROM d""")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.error_rates(turn_pairs(spark, sf_dir), "reference", "hypothesis").select("conv_id", "wer", "cer", "ref_words", "hyp_words", "wer_distance", "cer_distance")
+    """Each turn against the same speaker's next one."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    later = said.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("hypothesis"))
+    pairs = said.withColumnRenamed("text", "reference").join(later, ["conv_id", "turn"])
+    found = evaluate.plain_error_rates(pairs, "reference", "hypothesis")
+    return found.select("conv_id", "turn", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"), "ref_words", "hyp_words", "wer_distance", "cer_distance")
 
 
 @query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS text, count(*) AS segments FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")

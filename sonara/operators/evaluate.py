@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonara.functions.scores import ratio
+from sonara.functions.text import plain_text
 from sonara.functions.times import round_half_away, samples_to_ns
 
 COUNTS = ["wer_distance", "ref_words", "hyp_words", "cer_distance", "ref_chars", "hyp_chars"]
@@ -86,6 +87,38 @@ def char_error_rate(reference: Column, hypothesis: Column) -> Column:
     return rate(F.levenshtein(r, h).cast("double"), F.length(r), F.length(h))
 
 
+def coded_words(words: Column, vocabulary: Column) -> Column:
+    """A text with one character for each word: the k-th word of the vocabulary is the k-th character from U+0100 on, surrogates
+    left out. That is a code for a million distinct words."""
+    place = lambda w: F.array_position(vocabulary, w) + F.lit(0xFF)
+    point = lambda n: n + F.when(n >= 0xD800, 0x800).otherwise(0)
+    character = lambda w: F.decode(F.unhex(F.lpad(F.hex(point(place(w))), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(words, character), "")
+
+
+def plain_error_rates(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """error_rates by column functions alone: pairs with wer, cer and their counts, of texts in plain form (lower case, word
+    characters; compatibility forms stay as they are). Each pair's distinct words become characters, so both distances are
+    the built-in one. Null texts are empty."""
+    plain = lambda c: plain_text(F.coalesce(F.col(c), F.lit("")))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    rows = pairs.select("*", plain(reference).alias("_r"), plain(hypothesis).alias("_h"))
+    rows = rows.withColumns({"_rw": words("_r"), "_hw": words("_h"), "_rc": F.replace("_r", F.lit(" "), F.lit("")), "_hc": F.replace("_h", F.lit(" "), F.lit(""))})
+    rows = rows.withColumn("_v", F.array_distinct(F.concat("_rw", "_hw")))
+    long = lambda c: c.cast("bigint")
+    counts = {
+        "wer_distance": F.levenshtein(coded_words(F.col("_rw"), F.col("_v")), coded_words(F.col("_hw"), F.col("_v"))),
+        "ref_words": F.size("_rw"),
+        "hyp_words": F.size("_hw"),
+        "cer_distance": F.levenshtein("_rc", "_hc"),
+        "ref_chars": F.length("_rc"),
+        "hyp_chars": F.length("_hc"),
+    }
+    rows = rows.withColumns({n: long(c) for n, c in counts.items()})
+    rows = rows.withColumns({"wer": rate(F.col("wer_distance"), F.col("ref_words"), F.col("hyp_words")), "cer": rate(F.col("cer_distance"), F.col("ref_chars"), F.col("hyp_chars"))})
+    return rows.select(*(F.col(f"`{c}`") for c in pairs.columns), "wer", "cer", *COUNTS)
+
+
 def speeds(df: DataFrame, audio_s: str, taken_s: str) -> DataFrame:
     """df with rtf (time over audio) and speedup (audio over time), 0 where undefined, to four and two places."""
     return df.withColumns({"rtf": round_half_away(ratio(F.col(taken_s), F.col(audio_s)), 4), "speedup": round_half_away(ratio(F.col(audio_s), F.col(taken_s)), 2)})
