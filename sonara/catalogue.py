@@ -141,6 +141,33 @@ def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select("user_id", "pos", F.col("original").cast("bigint").alias("original"))
 
 
+SAMPLE_NS = 62_500
+SHIFTED = "coalesce((SELECT min_by(s.silence, s.cum_end) FROM s WHERE s.user_id = c.user_id AND s.cum_end > c.place), l.last_silence, 0) / 16000::DOUBLE"
+
+
+@query(f"""WITH {REGIONS}, {MAP}, l AS (SELECT user_id, arg_max(silence, cum_end) AS last_silence FROM s GROUP BY user_id),
+g AS (SELECT user_id, pos // 4 AS id, min(pos) * {SAMPLE_NS} AS a, (max(pos) + 1) * {SAMPLE_NS} AS b FROM p GROUP BY ALL),
+probes AS (SELECT user_id, id, 0 AS k, a, b, a AS x, a / 1e9::DOUBLE * 16000 AS place FROM g UNION ALL SELECT user_id, id, -1, a, b, b, b / 1e9::DOUBLE * 16000 FROM g
+  UNION ALL SELECT user_id, pos // 4, pos % 4 + 1, pos * {SAMPLE_NS}, (pos + 1) * {SAMPLE_NS}, NULL, (2 * pos + 1) * {SAMPLE_NS} / 2e9::DOUBLE * 16000 FROM p),
+d AS (SELECT user_id, id, k, a, b, x, trunc(place) AS place FROM probes),
+f AS (SELECT c.user_id, c.id, c.k, c.a, c.b, c.x, {SHIFTED} AS more, (c.a + c.b) / 2e9::DOUBLE AS middle FROM d c LEFT JOIN l USING (user_id))
+SELECT user_id, id, k, CAST(trunc(((CASE WHEN k > 0 THEN a ELSE x END) / 1e9::DOUBLE + CASE WHEN k > 0 THEN (middle + more) - middle ELSE more END) * 1e9::DOUBLE) AS BIGINT) AS start_ns,
+  CASE WHEN k > 0 THEN CAST(trunc((b / 1e9::DOUBLE + ((middle + more) - middle)) * 1e9::DOUBLE) AS BIGINT) END AS end_ns FROM f""")
+def restore_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rows of a user are a segment of four words, a row is a sample: k is 0 for a segment's start, -1 for its end, else the
+    word's number."""
+    at = F.col("pos") * SAMPLE_NS
+    said = F.struct("pos", at.alias("start_ns"), (at + SAMPLE_NS).alias("end_ns"))
+    rows = spread_rows(spark, sf_dir).groupBy("user_id", F.floor(F.col("pos") / 4).alias("id")).agg(F.min(at).alias("start_ns"), (F.max(at) + SAMPLE_NS).alias("end_ns"), F.array_sort(F.collect_list(said)).alias("words"))
+    silence = regions.silence_map(user_regions(spark, sf_dir), "user_id", "first_pos", "end_pos", scan.places(F.col("first_pos")))
+    found = regions.restore_segments(rows, silence, "user_id", scan.ROWS)
+    none = F.lit(None).cast("bigint")
+    part = lambda k, start, end: F.struct(k.cast("bigint").alias("k"), start.alias("start_ns"), end.alias("end_ns"))
+    ends = F.array(part(F.lit(0), F.col("start_ns"), none), part(F.lit(-1), F.col("end_ns"), none))
+    words_ = F.transform("words", lambda w: part(w["pos"] % 4 + 1, w["start_ns"], w["end_ns"]))
+    return found.select("user_id", "id", F.explode(F.concat(ends, words_)).alias("r")).select("user_id", "id", "r.*")
+
+
 @query(f"WITH {POSITIONS}, l AS (SELECT user_id, list(value ORDER BY pos) AS v FROM p GROUP BY user_id) SELECT user_id, round(list_reduce(v, lambda y, x: 0.35 * x + 0.65 * y), 4) AS ema FROM l")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan.even_blocks(events(spark, sf_dir), "user_id", "ts")

@@ -148,6 +148,22 @@ def blocklist(spark, phrases: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "language string, phrase string").withColumn("words", normal_words(F.col("phrase")))
 
 
+#: Phrases that a block list may have: it travels with every task.
+LIST_MOST = 100_000
+
+
+def phrase_lists(listed: DataFrame) -> dict[str, list[str]]:
+    """{language: [phrase, ...]} of rows (language, phrase, ordinal), as a phrase file is read; for filter_phrases. Null phrases
+    are left out. A list beyond LIST_MOST phrases is an error, as lists go to every task."""
+    rows = listed.filter(F.col("language").isNotNull() & F.col("phrase").isNotNull()).select("language", "ordinal", "phrase").limit(LIST_MOST + 1).collect()
+    if len(rows) > LIST_MOST:
+        raise ValueError(f"a block list may have {LIST_MOST} phrases")
+    found: dict[str, list[str]] = {}
+    for language, _, phrase in sorted(map(tuple, rows)):
+        found.setdefault(language, []).append(phrase)
+    return found
+
+
 def whole_matches(texts: DataFrame, phrases: DataFrame, text: str, language: str) -> DataFrame:
     """The rows of texts that are a phrase of their language and nothing else, by words, or by trimmed lower case where
     neither has words. phrases is the block list: a few thousand rows, so Catalyst broadcasts it by its size."""
@@ -157,11 +173,13 @@ def whole_matches(texts: DataFrame, phrases: DataFrame, text: str, language: str
     return texts.join(named, same, "left_semi")
 
 
-def filter_phrases(segments: DataFrame, phrases: dict[str, list[str]], language: str = "language") -> DataFrame:
-    """Segments (rec_id, id, start_ns, end_ns, text, words, language) without phrases, numbered anew from 1.
+def filter_phrases(segments: DataFrame, phrases: dict[str, list[str]] | DataFrame, language: str = "language") -> DataFrame:
+    """Segments (rec_id, id, start_ns, end_ns, text, words, language) without phrases, numbered anew from 1. phrases are lists by
+    language, or the rows of a phrase file.
 
     Cleaning is row by row in Arrow batches; numbering needs each recording's rows in order.
     """
+    phrases = phrase_lists(phrases) if isinstance(phrases, DataFrame) else phrases
     schema = f"rec_id bigint, id int, start_ns bigint, end_ns bigint, text string, words array<{WORD}>, {language} string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -415,3 +415,36 @@ def restore_times(times: DataFrame, silence: DataFrame, key: str, at: str, block
     found = scanned(both, key, ["place", "late"], block, ahead=next_value(F.col("step")), behind=last_value(F.col("step")))
     found = found.filter(F.col("row").isNotNull()).withColumn("silence", F.coalesce("ahead", "behind", F.lit(0)))
     return found.select(*(F.col(f"row.`{c}`").alias(c) for c in times.columns), (F.col(f"row.`{at}`") + F.col("silence")).alias("original"))
+
+
+def restore_segments(segments: DataFrame, silence: DataFrame, key: str = "rec_id", block_places: int | None = None) -> DataFrame:
+    """segments (key, id, start_ns, end_ns, words, ...) of cut recordings, with their times on the recordings' own lines.
+
+    silence is silence_map's, in samples. A segment's start and end are moved by the silence before the region they fall
+    into, each by itself; a word's both ends by that of its middle, so words stay whole. Null words stay null, null times
+    null; a recording without regions keeps its times. id names a segment within its recording.
+
+    Starts, ends and middles become one table of places, restored in one pass over it, and are put together again by their
+    number in the segment. A segment travels with its start only.
+    """
+    names = segments.columns
+    sample = lambda ns: (ns / 1e9 * SAMPLE_RATE).cast("bigint")  # noqa: E731  cut, not rounded
+    middles = F.coalesce(F.transform("words", lambda w: ((w["start_ns"] + w["end_ns"]) / 2e9 * SAMPLE_RATE).cast("bigint")), F.array().cast("array<bigint>"))
+    probes = F.concat(F.array(sample(F.col("start_ns")), sample(F.col("end_ns"))), middles)
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))
+    rows = segments.select(key, F.col("id").alias("_id"), whole.alias("_segment"), F.posexplode(probes).alias("_n", "place"))
+    rows = rows.withColumn("_segment", F.when(F.col("_n") == 0, F.col("_segment")))
+    moved = restore_times(rows, silence.select(F.col(silence.columns[0]).alias(key), "cum_end", "silence"), key, "place", block_places)
+    shift = F.struct("_n", ((F.col("original") - F.col("place")) / SAMPLE_RATE).alias("s"))
+    grouped = moved.groupBy(key, "_id").agg(F.first("_segment", ignorenulls=True).alias("_segment"), F.array_sort(F.collect_list(shift)).alias("_shifts"))
+    by = lambda n: F.get("_shifts", n)["s"]
+    nanos = lambda s: (s * 1e9).cast("bigint")
+    field = lambda c: F.col(f"_segment.`{c}`")
+
+    def word(w: Column, i: Column) -> Column:
+        middle = (w["start_ns"] + w["end_ns"]) / 2e9
+        more = (middle + by(i + 2)) - middle  # what is left of the shift where it is added to a time
+        return w.withField("start_ns", nanos(w["start_ns"] / 1e9 + more)).withField("end_ns", nanos(w["end_ns"] / 1e9 + more))
+
+    new = {"start_ns": nanos(field("start_ns") / 1e9 + by(F.lit(0))), "end_ns": nanos(field("end_ns") / 1e9 + by(F.lit(1))), "words": F.transform(field("words"), word)}
+    return grouped.select(*(new.get(c, field(c)).alias(c) for c in names))

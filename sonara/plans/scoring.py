@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonara.config import VadConfig
 from sonara.operators.curves import hamming
-from sonara.operators.regions import FRAME_STEP, WINDOW
+from sonara.operators.regions import FRAME_STEP, WINDOW, greedy_windows, speech_regions
 from sonara.schema import SAMPLE_RATE, SCORES
 
 CONTEXT = 64
@@ -159,3 +160,18 @@ def overlap_scores(recordings: DataFrame, factory: Callable[[], SlideScorer]) ->
                 yield pd.DataFrame({"rec_id": rec, "idx": range(len(scores)), "score": scores})
 
     return recordings.select(F.col("rec_id").cast("bigint"), "pcm").mapInPandas(run, SCORES)
+
+
+def recording_regions(recordings: DataFrame, factory: Callable[[], object], config: VadConfig = VadConfig(), backend: str = "frames") -> DataFrame:
+    """REGIONS of RECORDINGS (rec_id, start_sample, pcm), for the overlapping backend of whole ones (rec_id, pcm): scored by the
+    plug-in, then cut to regions. Recordings without samples have no rows."""
+    part = F.col("start_sample") if "start_sample" in recordings.columns else F.lit(0)
+    lengths = recordings.groupBy(F.col("rec_id").cast("bigint").alias("rec_id")).agg(F.max(part + F.coalesce(F.size("pcm"), F.lit(0))).cast("bigint").alias("n_samples"))
+    scores = frame_scores(recordings.withColumn("start_sample", part.cast("bigint")), factory) if backend == "frames" else overlap_scores(recordings, factory)
+    return speech_regions(scores, lengths, config, backend)
+
+
+def recording_windows(recordings: DataFrame, factory: Callable[[], object], config: VadConfig = VadConfig(), backend: str = "frames", chunk_s: float = 30.0) -> DataFrame:
+    """(rec_id, window, start, end): the regions merged into windows of up to chunk_s seconds. Unlike a plan's windows, a
+    recording without speech has none, however short."""
+    return greedy_windows(recording_regions(recordings, factory, config, backend), "rec_id", "start", "end", int(chunk_s * SAMPLE_RATE))

@@ -1,4 +1,4 @@
-"""Tokenizer files, phrase lists, benchmark settings and results, and names of published models."""
+"""Tokenizer files, phrase lists, benchmark results, and names of published models."""
 
 from __future__ import annotations
 

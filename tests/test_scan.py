@@ -143,3 +143,62 @@ def test_runs_equal_a_loop(spark, size):
     df = spark.createDataFrame(data, "k int, i int, loud boolean").repartition(3)
     block = None if size is None else scan.places(F.col("i"), size)
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in scan.runs(df, "k", "i", F.lit(9), block, F.col("loud")).collect())
+
+
+def test_restored_segments_equal_those_of_the_plan(spark):
+    from sonara.plans import transcribe
+
+    rng = random.Random(12)
+    spans = {k: sorted({(a * 4000, a * 4000 + rng.randrange(500, 4000)) for a in rng.sample(range(60), n)}) for k, n in ((1, 12), (2, 1), (3, 0))}
+    rows = []
+    for rec in spans:
+        for seg in range(8):
+            cuts = sorted(rng.randrange(0, 4 * 10**9) for _ in range(2 + 2 * rng.randrange(4)))
+            words = [{"start_ns": a, "end_ns": b, "word": "w", "probability": 0.5} for a, b in zip(cuts[2::2], cuts[3::2], strict=False)]
+            rows.append((rec, seg, cuts[0], cuts[-1], words if seg else None, "x"))
+    word = "struct<start_ns: bigint, end_ns: bigint, word: string, probability: double>"
+    df = spark.createDataFrame(rows, f"rec_id bigint, id int, start_ns bigint, end_ns bigint, words array<{word}>, place string")
+    silence = regions.silence_map(spark.createDataFrame([(k, a, b) for k, s in spans.items() for a, b in s], "rec_id bigint, a bigint, b bigint"), "rec_id", "a", "b")
+    move = lambda t, rec: transcribe.ns(transcribe.original_time(t / 1e9, spans[rec]))
+    want = {}
+    for rec, seg, start, end, words, _ in rows:
+        moved = []
+        for w in words or []:
+            middle = (w["start_ns"] + w["end_ns"]) / 2e9
+            shift = transcribe.original_time(middle, spans[rec]) - middle
+            moved.append((transcribe.ns(w["start_ns"] / 1e9 + shift), transcribe.ns(w["end_ns"] / 1e9 + shift)))
+        want[rec, seg] = (move(start, rec), move(end, rec), None if words is None else moved)
+    for size in (None, 700):
+        found = regions.restore_segments(df, silence, "rec_id", size)
+        assert found.columns == df.columns
+        assert {(r.rec_id, r.id): (r.start_ns, r.end_ns, None if r.words is None else [(w.start_ns, w.end_ns) for w in r.words]) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("backend", ["frames", "overlap"])
+def test_regions_and_windows_of_recordings(spark, backend):
+    from sonara.plans import scoring, transcribe
+
+    rng = np.random.default_rng(13)
+    recordings = {k: np.concatenate([np.concatenate([np.zeros(rng.integers(3000, 30000)), rng.standard_normal(rng.integers(8000, 40000))]) for _ in range(n)] or [np.zeros(0)]).astype(np.float32) for k, n in ((1, 4), (2, 2), (3, 1))}
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in recordings.items()], "rec_id bigint, pcm array<float>")
+    config = VadConfig(min_silence_ms=300, pad_ms=100, max_speech_s=5.0)
+    want = {}
+    for k, x in recordings.items():
+        scorer = scoring.EnergyScorer()
+        found = regions.frame_regions(transcribe.voice_scores(x, scorer), len(x), config) if backend == "frames" else regions.overlap_regions(scoring.slide_scores(x, scorer), len(x), config)
+        want[k] = regions.pad_list(found, 1600, len(x))
+    got = scoring.recording_regions(df, scoring.EnergyScorer, config, backend).collect()
+    assert sorted((r.rec_id, r.start, r.end) for r in got) == sorted((k, a, b) for k, s in want.items() for a, b in s) and got
+    windows = scoring.recording_windows(df, scoring.EnergyScorer, config, backend, chunk_s=4.0).collect()
+    assert sorted((r.rec_id, r.start, r.end) for r in windows) == sorted((k, a, b) for k, s in want.items() for a, b in regions.merge_spans(s, 64_000))
+
+
+def test_phrases_come_from_a_file(spark, tmp_path):
+    from sonara.operators import phrases
+    from sonara.sources import documents
+
+    (tmp_path / "p.json").write_text('{"en": ["please do subscribe", "thank you"], "de": ["vielen dank"]}')
+    listed = documents.read_phrases(spark, f"file://{tmp_path}/p.json")
+    assert phrases.phrase_lists(listed) == {"en": ["please do subscribe", "thank you"], "de": ["vielen dank"]}
+    rows = spark.createDataFrame([(1, 1, 0, 9, "Now, please do subscribe soon.", None, "en"), (1, 2, 0, 9, "Vielen Dank", None, "de"), (1, 3, 0, 9, "Vielen Dank", None, "en")], f"rec_id bigint, id int, start_ns bigint, end_ns bigint, text string, words array<{phrases.WORD}>, language string")
+    assert [(r.id, r.text) for r in phrases.filter_phrases(rows, listed).orderBy("id").collect()] == [(1, "Now, soon."), (2, "Vielen Dank")]
