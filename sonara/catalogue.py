@@ -245,11 +245,11 @@ def log_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "band", F.round("level", 4).alias("level"))
 
 
-@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings), z AS (SELECT vec_id, unnest(range(60, 80)) AS i FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings), z AS (SELECT vec_id, unnest(range(80)) AS i FROM embeddings)
 SELECT z.vec_id, CAST(z.i AS BIGINT) AS i, coalesce(e.x, 0::FLOAT) AS x FROM z LEFT JOIN e ON e.vec_id = z.vec_id AND e.i = z.i""")
 def framing_pad_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = embeddings(spark, sf_dir).select("vec_id", F.posexplode(arrays.pad_or_trim(F.col("embedding"), 80)).alias("i", "x"))
-    return padded.filter(F.col("i") >= 60).select("vec_id", F.col("i").cast("bigint").alias("i"), "x")
+    return padded.select("vec_id", F.col("i").cast("bigint").alias("i"), "x")
 
 
 @query("""WITH l AS (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings),
@@ -355,13 +355,13 @@ PHRASES = {"en": ["The", "of", "And!", "is", "to be"]}
 
 
 @query(r"""WITH b(phrase) AS (VALUES ('the'), ('of'), ('and'), ('is'), ('to be')),
-t AS (SELECT conv_id, turn, k, unit FROM (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '\n', '. ', 'g'), '[^.]+\.') AS u FROM conversations), LATERAL (SELECT unnest(u) AS unit, generate_subscripts(u, 1) AS k)),
+t AS (SELECT conv_id, turn, k, unit FROM (SELECT conv_id, turn, regexp_extract_all(regexp_replace(text, '\n', '. ', 'g'), '[^.]+\.?') AS u FROM conversations), LATERAL (SELECT unnest(u) AS unit, generate_subscripts(u, 1) AS k)),
 x AS (SELECT conv_id, turn, k, regexp_extract_all(lower(unit), '[\p{L}\p{N}]+') AS ws FROM t),
 c AS (SELECT conv_id, turn, k, p, 1 AS n, ws[p] AS said FROM x, LATERAL (SELECT unnest(generate_series(1, len(ws))) AS p)
   UNION ALL SELECT conv_id, turn, k, p, 2, ws[p] || ' ' || ws[p + 1] FROM x, LATERAL (SELECT unnest(generate_series(1, len(ws) - 1)) AS p))
 SELECT conv_id, turn, CAST(k AS BIGINT) AS k, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n FROM c WHERE said IN (SELECT array_to_string(regexp_extract_all(phrase, '[\p{L}\p{N}]+'), ' ') FROM b)""")
 def phrase_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", "\n", ". "), F.lit(r"([^.]+\.)"), F.lit(1))).alias("k", "unit"))
+    units = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.regexp_replace("text", "\n", ". "), F.lit(r"([^.]+\.?)"), F.lit(1))).alias("k", "unit"))
     rows = units.select("conv_id", "turn", (F.col("k") + 1).cast("bigint").alias("k"), text.normal_words(F.col("unit")).alias("ws"))
     part = lambda i, n, said: F.struct((i + 1).cast("bigint").alias("p"), F.lit(n).cast("bigint").alias("n"), said.alias("said"))
     singles = F.transform("ws", lambda w, i: part(i, 1, w))
@@ -445,9 +445,9 @@ def prompt_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", found[1].alias("second"), found[2].alias("third"))
 
 
-@query("SELECT vec_id, CAST(k AS BIGINT) AS frame, list_max(embedding[3 * k + 1 : 3 * k + 3])::DOUBLE AS score FROM embeddings, generate_series(0, 20) AS g(k)")
+@query("SELECT vec_id, CAST(k AS BIGINT) AS frame, list_max(embedding[3 * k + 1 : 3 * k + 3])::DOUBLE AS score FROM embeddings, generate_series(0, 21) AS g(k)")
 def slot_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: curves.max_over_slots(F.slice("embedding", k * 3 + 1, 3)))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda k: curves.max_over_slots(F.slice("embedding", k * 3 + 1, 3)))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames).alias("frame", "score")).select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.col("score").cast("double").alias("score"))
 
 
@@ -554,35 +554,30 @@ def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB's levenshtein counts bytes, so each letter of the tables beyond ASCII stands for a capital or mark of its own there.
 FOREIGN = "àáâäçèéêëíîïñóôöùúûüßœ¿¡"
-PAIRS = rf"""x AS (SELECT a.conv_id, trim(regexp_replace(lower(a.text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(b.text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2)"""
+LATER = rf"""x AS (SELECT a.conv_id, a.turn, trim(regexp_replace(lower(coalesce(a.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(coalesce(b.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2),
+y AS (SELECT conv_id, turn, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw, translate(replace(r, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS rc, translate(replace(h, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS hc FROM x)"""
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    first = said.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("reference"))
-    return first.join(said.filter(F.col("turn") == 2).select("conv_id", F.col("text").alias("hypothesis")), "conv_id")
+    """Each turn and the same speaker's next one."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("reference"))
+    return said.join(said.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("reference").alias("hypothesis")), ["conv_id", "turn"])
 
 
-@query(f"WITH {PAIRS}, y AS (SELECT conv_id, translate(replace(r, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS r, translate(replace(h, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS h FROM x) SELECT conv_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0 ELSE 1 END, 6) AS cer FROM y")
+@query(f"WITH {LATER} SELECT conv_id, turn, round(CASE WHEN length(rc) > 0 THEN levenshtein(rc, hc) / length(rc) WHEN length(hc) = 0 THEN 0 ELSE 1 END, 6) AS cer FROM y")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_pairs(spark, sf_dir).select("conv_id", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluate.char_error_rate(text.plain_text(F.col("reference")), text.plain_text(F.col("hypothesis"))), 6).alias("cer"))
 
 
 #: Word distance by rows of the table of distances: each word of the reference makes the next row from the one before.
 WORD_DISTANCE = """list_reduce(rw, lambda row, w: list_reduce(range(1, len(hw) + 1), lambda acc, j: list_append(acc, least(row[j + 1] + 1, acc[-1] + 1, row[j] + CASE WHEN hw[j] = w THEN 0 ELSE 1 END)), [row[1] + 1]), range(0, len(hw) + 1))[-1]"""
-LATER = rf"""x AS (SELECT a.conv_id, a.turn, trim(regexp_replace(lower(coalesce(a.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS r, trim(regexp_replace(lower(coalesce(b.text, '')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2),
-y AS (SELECT conv_id, turn, list_filter(string_split(r, ' '), lambda w: w <> '') AS rw, list_filter(string_split(h, ' '), lambda w: w <> '') AS hw, translate(replace(r, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS rc, translate(replace(h, ' ', ''), '{FOREIGN}', 'ABCDEFGHIJKLMNOPQRSTUVWX') AS hc FROM x),
-d AS (SELECT *, {WORD_DISTANCE} AS wd, levenshtein(rc, hc) AS cd FROM y)"""
+COMPARED = f"{LATER}, d AS (SELECT *, {WORD_DISTANCE} AS wd, levenshtein(rc, hc) AS cd FROM y)"
 
 
-@query(f"""WITH {LATER} SELECT conv_id, turn, round(CASE WHEN len(rw) > 0 THEN wd / len(rw) WHEN len(hw) = 0 THEN 0 ELSE 1 END, 6) AS wer, round(CASE WHEN length(rc) > 0 THEN cd / length(rc) WHEN length(hc) = 0 THEN 0 ELSE 1 END, 6) AS cer,
+@query(f"""WITH {COMPARED} SELECT conv_id, turn, round(CASE WHEN len(rw) > 0 THEN wd / len(rw) WHEN len(hw) = 0 THEN 0 ELSE 1 END, 6) AS wer, round(CASE WHEN length(rc) > 0 THEN cd / length(rc) WHEN length(hc) = 0 THEN 0 ELSE 1 END, 6) AS cer,
   CAST(len(rw) AS BIGINT) AS ref_words, CAST(len(hw) AS BIGINT) AS hyp_words, CAST(wd AS BIGINT) AS wer_distance, CAST(cd AS BIGINT) AS cer_distance FROM d""")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn against the same speaker's next one."""
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    later = said.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("hypothesis"))
-    pairs = said.withColumnRenamed("text", "reference").join(later, ["conv_id", "turn"])
-    found = evaluate.plain_error_rates(pairs, "reference", "hypothesis")
+    found = evaluate.plain_error_rates(turn_pairs(spark, sf_dir), "reference", "hypothesis")
     return found.select("conv_id", "turn", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"), "ref_words", "hyp_words", "wer_distance", "cer_distance")
 
 
