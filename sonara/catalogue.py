@@ -682,6 +682,32 @@ def burst_recordings(spark: SparkSession, sf_dir: str, copies: int = 40) -> Data
     return embeddings(spark, sf_dir).select(F.col("vec_id").alias("rec_id"), F.concat(quiet, burst, quiet, burst, quiet).alias("pcm"))
 
 
+#: All events as one recording: a value is a sample at the place of its id, ids that are missing are silence.
+MEL = """WITH x AS (SELECT event_id AS i, CAST(value / 600 AS FLOAT)::DOUBLE AS v FROM events), n AS (SELECT max(i) + 1 AS n FROM x),
+pl AS (SELECT f, k, n, abs(f * 160 - 200 + k) % greatest(1, 2 * (n - 1)) AS a FROM n, unnest(range(n // 160)) AS g(f), unnest(range(400)) AS h(k)),
+fr AS (SELECT f, k, coalesce(v, 0) * 0.5 * (1 - cos(2 * pi() * k / 400)) AS v FROM (SELECT f, k, CASE WHEN a >= n THEN 2 * (n - 1) - a ELSE a END AS i FROM pl) LEFT JOIN x USING (i)),
+tw AS (SELECT bin, k, cos(2 * pi() * (bin * k % 400) / 400) AS c, sin(2 * pi() * (bin * k % 400) / 400) AS s FROM unnest(range(201)) AS g(bin), unnest(range(400)) AS h(k)),
+pw AS (SELECT f, bin, sum(v * c) ** 2 + sum(v * s) ** 2 AS p FROM fr JOIN tw USING (k) GROUP BY f, bin),
+ml AS (SELECT j, j * (15 + ln(8) * 27 / ln(6.4::DOUBLE)) / 81 AS m FROM unnest(range(82)) AS g(j)),
+hz AS (SELECT j, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) * ln(6.4::DOUBLE) / 27) END AS h FROM ml),
+tri AS (SELECT a.j AS band, a.h AS lo, b.h AS mid, c.h AS hi FROM hz a JOIN hz b ON b.j = a.j + 1 JOIN hz c ON c.j = a.j + 2),
+wt AS (SELECT band, bin, greatest(0, least((bin * 40.0::DOUBLE - lo) / (mid - lo), (hi - bin * 40.0::DOUBLE) / (hi - mid))) * 2 / (hi - lo) AS w FROM tri, unnest(range(201)) AS g(bin)),
+lv AS (SELECT f, band, log10(greatest(sum(p * w), 1e-10::DOUBLE)) AS l FROM pw JOIN wt USING (bin) GROUP BY f, band)
+SELECT f AS frame, band, round((greatest(l, max(l) OVER () - 8) + 4) / 4, 4) AS level FROM lv"""
+
+
+@query(MEL)
+def mel_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mel frames of one recording that comes in blocks of 200 samples."""
+    rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 200).alias("block"), (F.col("event_id") % 200).alias("k"), (F.col("value") / 600).cast("float").alias("v"))
+    blocks = rows.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("held"), F.max("k").alias("top"))
+    sample = lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("float"))
+    pcm = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("top")), sample)
+    recording = blocks.select(F.lit(0).cast("bigint").alias("rec_id"), (F.col("block") * 200).alias("start_sample"), pcm.alias("pcm"))
+    frames = spectral.mel_frames(recording, values="double").select("frame", F.posexplode("mel").alias("band", "level"))
+    return frames.select("frame", F.col("band").cast("bigint").alias("band"), F.round("level", 4).alias("level"))
+
+
 @query()
 def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = spectral.mel_frames(burst_recordings(spark, sf_dir))

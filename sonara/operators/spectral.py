@@ -1,16 +1,16 @@
-"""Short-time spectra and mel features, one Arrow batch of recordings at a time."""
+"""Short-time spectra and mel features, of recordings in blocks of any size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonara.operators.scan import read
 from sonara.schema import SAMPLE_RATE
 
 FFT, HOP, BINS = 400, 160, 201
@@ -80,31 +80,84 @@ def chunk_mel(samples: np.ndarray, n_mels: int = 80) -> np.ndarray:
     return mel_window(log_mel(samples, n_mels, extra=HOP), 0)
 
 
-def mel_frames(recordings: DataFrame, n_mels: int = 80) -> DataFrame:
-    """(rec_id, frame, mel) of rows (rec_id, pcm), the scale taken over each row's whole signal."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rec, pcm in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mel = log_mel(np.zeros(0) if pcm.as_py() is None else pcm.values.to_numpy(zero_copy_only=False), n_mels)
-                for at in range(0, len(mel), 1000):
-                    part = mel[at : at + 1000]
-                    values = pa.ListArray.from_arrays(pa.array(range(0, part.size + 1, n_mels), pa.int32()), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_pydict({"rec_id": pa.array([rec] * len(part), pa.int64()), "frame": pa.array(range(at, at + len(part)), pa.int64()), "mel": values})
-
-    return recordings.select(F.col("rec_id").cast("bigint"), F.col("pcm").cast("array<float>")).mapInArrow(run, "rec_id bigint, frame bigint, mel array<float>")
-
-
-def power_frames(recordings: DataFrame) -> DataFrame:
-    """(rec_id, frame, power) of rows (rec_id, pcm)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rec, pcm in zip(batch["rec_id"], batch["pcm"], strict=True):
-                power = power_spectrum(np.asarray(pcm if pcm is not None else []))
-                yield pd.DataFrame({"rec_id": rec, "frame": range(len(power)), "power": list(power)})
-
-    return recordings.select("rec_id", "pcm").mapInPandas(run, "rec_id bigint, frame bigint, power array<double>")
+#: Frames that a task transforms at a time: a minute of sound.
+GROUP = 6000
+#: Samples that a group of frames needs of its neighbours: half a frame, and what is mirrored at the end.
+HALO = 240
+
+
+def _grouped(recordings: DataFrame, group: int, extra: int) -> DataFrame:
+    """(rec_id, group, start, pcm, n): each group of frames with all samples that its frames see, in pieces, and a row with its
+    recording's length n. Blocks are cut where they lie, so each sample moves once, those of a halo twice."""
+    if group * HOP < FFT + HALO:
+        raise ValueError("a group is too short for its halo")
+    start = F.col("start_sample").cast("bigint") if "start_sample" in recordings.columns else F.lit(0).cast("bigint")
+    rows = recordings.select("rec_id", start.alias("s"), F.col("pcm").cast("array<float>").alias("pcm")).filter(F.size("pcm") > 0).withColumn("e", F.col("s") + F.size("pcm"))
+    span = group * HOP
+    which = lambda sample: F.floor(F.greatest(sample, F.lit(0)) / F.lit(span)).cast("bigint")
+    pieces = rows.select("*", F.explode(F.sequence(which(F.col("s") - HALO), which(F.col("e") - 1 + HALO))).alias("group"))
+    first, after = F.greatest("s", F.col("group") * span - HALO), F.least("e", (F.col("group") + 1) * span + HALO)
+    cut = F.slice("pcm", (first - F.col("s") + 1).cast("int"), (after - first).cast("int"))
+    pieces = pieces.select("rec_id", "group", first.alias("start"), cut.alias("pcm"), F.lit(None).cast("bigint").alias("n"))
+    sizes = rows.groupBy("rec_id").agg(F.max("e").alias("n"))
+    groups = F.explode(F.sequence(F.lit(0).cast("bigint"), which(F.col("n") + extra)))
+    return pieces.unionByName(sizes.select("rec_id", groups.alias("group"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("array<float>").alias("pcm"), "n"))
+
+
+def spectral_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray], group: int = GROUP, extra: int = 0, last: bool = True) -> DataFrame:
+    """(rec_id, frame, values): shape(power spectra), frame by frame, of recordings in rows (rec_id, start_sample, pcm), or
+    (rec_id, pcm) with all of a recording in a row.
+
+    Frames are those of the whole recording with `extra` zeros behind it, mirrored at both ends, however it is cut in blocks;
+    `last` says whether the last frame counts. A task holds one group's samples. Samples that no row has are silence, of
+    rows that overlap the one that starts later holds (of equal starts the longer, then the greater one), null and empty
+    rows count for nothing, and a null key is a key.
+    """
+    kind = dict(recordings.dtypes)["rec_id"]
+
+    def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        named = pieces["n"].dropna()
+        total = int(named.iloc[0]) + extra if len(named) else 0
+        lo = int(key[1]) * group
+        hi = min(lo + group, total // HOP + last)
+        if hi <= lo or not total:
+            return pd.DataFrame([], columns=["rec_id", "frame", "values"])
+        base, stop = max(0, lo * HOP - HALO), min(total, hi * HOP + HALO)
+        held = np.zeros(stop - base)
+        parts = [(int(s), len(x), x) for s, x in zip(pieces["start"], pieces["pcm"], strict=True) if x is not None]
+        for start, n, x in sorted(parts, key=lambda p: (p[0], p[1], p[2].tobytes())):
+            a, b = max(start, base), min(start + n, stop)
+            if a < b:
+                held[a - base : b - base] = x[a - start : b - start]
+        at, period = np.abs(np.arange(lo * HOP - FFT // 2, (hi - 1) * HOP + FFT // 2)), max(1, 2 * (total - 1))
+        at %= period
+        at = np.where(at >= total, period - at, at)
+        frames = np.lib.stride_tricks.sliding_window_view(held[at - base], FFT)[::HOP]
+        values = shape(np.abs(np.fft.rfft(frames * hann(), axis=1)) ** 2)
+        return pd.DataFrame({"rec_id": [None if pd.isna(key[0]) else key[0]] * len(values), "frame": range(lo, hi), "values": list(values)})
+
+    return _grouped(recordings, group, extra).groupBy("rec_id", "group").applyInPandas(run, f"rec_id {kind}, frame bigint, values array<double>")
+
+
+def mel_frames(recordings: DataFrame, n_mels: int = 80, group: int = GROUP, extra: int = 0, values: str = "float") -> DataFrame:
+    """(rec_id, frame, mel) of rows as spectral_frames takes them: log10 of the energies in n_mels bands, no more than 8 under the
+    recording's highest, then (v + 4) / 4. The last frame is left out.
+
+    Each group's levels move once; the highest, a row for each recording, is taken from the same exchange.
+    """
+
+    def bands(power: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(power @ mel_filters(n_mels).T, 1e-10))
+
+    levels = spectral_frames(recordings, bands, group, extra, last=False).repartition("rec_id", "frame")
+    tops = levels.groupBy(F.col("rec_id").alias("_rec")).agg(F.max(F.array_max("values")).alias("top"), read(levels)).filter(F.col("_read").isNotNull())
+    scaled = F.transform("values", lambda v: (F.greatest(v, F.col("top") - 8) + 4) / 4)
+    return levels.join(tops, levels["rec_id"].eqNullSafe(tops["_rec"])).select("rec_id", "frame", scaled.cast(f"array<{values}>").alias("mel"))
+
+
+def power_frames(recordings: DataFrame, group: int = GROUP, extra: int = 0) -> DataFrame:
+    """(rec_id, frame, power) of rows as spectral_frames takes them, the last frame included."""
+    return spectral_frames(recordings, lambda power: power, group, extra).withColumnRenamed("values", "power")
 
 
 def dft_power(df: DataFrame, key: str, signal: str, n: int, windowed: bool = False) -> DataFrame:
