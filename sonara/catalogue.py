@@ -682,6 +682,29 @@ def burst_recordings(spark: SparkSession, sf_dir: str, copies: int = 40) -> Data
     return embeddings(spark, sf_dir).select(F.col("vec_id").alias("rec_id"), F.concat(quiet, burst, quiet, burst, quiet).alias("pcm"))
 
 
+OPENING, CLOSING = "\"'“¿([{-", "\"'.。,，!！?？:：”)]}、"
+#: A word with the blank before it, one other character with its blank, or a blank.
+PIECE = r" ?[\p{L}\p{N}]+| ?[^\p{L}\p{N} ]| "
+MARKS = f"""WITH t AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS said, conv_id, turn, regexp_extract_all(text, '{PIECE}') AS p FROM conversations),
+w AS (SELECT said, conv_id, turn, unnest(p) AS word, generate_subscripts(p, 1) - 1 AS k FROM t),
+o AS (SELECT *, starts_with(word, ' ') AND length(trim(word)) = 1 AND contains('{OPENING.replace("'", "''")}', trim(word)) AS opens FROM w),
+g AS (SELECT *, coalesce(min(CASE WHEN NOT opens THEN k END) OVER (PARTITION BY said ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(k) OVER (PARTITION BY said)) AS lead FROM o),
+h AS (SELECT said, conv_id, turn, k, CASE WHEN k = lead THEN string_agg(word, '' ORDER BY k) OVER (PARTITION BY said, lead) ELSE '' END AS word, CASE WHEN k = lead THEN count(*) OVER (PARTITION BY said, lead) ELSE 0 END AS n FROM g),
+b AS (SELECT *, lag(word) OVER (PARTITION BY said ORDER BY k) AS before FROM h),
+c AS (SELECT *, max(CASE WHEN NOT (length(word) = 1 AND contains('{CLOSING.replace("'", "''")}', word)) OR before IS NULL OR before = '' OR before LIKE '% ' THEN k END) OVER (PARTITION BY said ORDER BY k) AS lead FROM b),
+d AS (SELECT conv_id, turn, k, lead, string_agg(word, '' ORDER BY k) OVER (PARTITION BY said, lead) AS word, sum(n) OVER (PARTITION BY said, lead) AS n FROM c)
+SELECT conv_id, turn, CAST(k AS BIGINT) AS place, CASE WHEN k = lead THEN word ELSE '' END AS word, CAST(CASE WHEN k = lead THEN n ELSE 0 END AS BIGINT) AS n_tokens FROM d"""
+
+
+@query(MARKS)
+def merge_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of all turns joined to their words; a piece of text counts as a token."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.monotonically_increasing_id().alias("said"), F.regexp_extract_all("text", F.lit(f"({PIECE})"), F.lit(1)).alias("p"))
+    pieces = turns.select("conv_id", "turn", "said", F.posexplode("p").alias("place", "word")).withColumn("tokens", F.array("place"))
+    found = words.merge_marks(pieces, "said", "place", OPENING, CLOSING)
+    return found.select("conv_id", "turn", F.col("place").cast("bigint").alias("place"), "word", F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
 #: All events as one recording: a value is a sample at the place of its id, ids that are missing are silence.
 MEL = """WITH x AS (SELECT event_id AS i, CAST(value / 600 AS FLOAT)::DOUBLE AS v FROM events), n AS (SELECT max(i) + 1 AS n FROM x),
 pl AS (SELECT f, k, n, abs(f * 160 - 200 + k) % greatest(1, 2 * (n - 1)) AS a FROM n, unnest(range(n // 160)) AS g(f), unnest(range(400)) AS h(k)),

@@ -50,6 +50,11 @@ def next_value(x: Column) -> Step:
     return Step(lambda order: F.min_by(x, F.when(x.isNotNull(), order)), lambda w: F.first(x, ignorenulls=True).over(w.rowsBetween(0, _LAST)), lambda t, w: F.first(t, ignorenulls=True).over(w.rowsBetween(1, _LAST)), lambda carry, here: F.coalesce(here, carry))
 
 
+def highest_ahead(x: Column) -> Step:
+    """The highest value from a row on."""
+    return Step(lambda order: F.max(x), lambda w: F.max(x).over(w.rowsBetween(0, _LAST)), lambda t, w: F.max(t).over(w.rowsBetween(1, _LAST)), lambda carry, here: F.coalesce(F.greatest(carry, here), here, carry))
+
+
 def previous(x: Column) -> Step:
     """The row's before, null included; null for a key's first row."""
     held = F.struct(x.alias("x"))

@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonara.functions.text import SENTENCE_MARKS
+from sonara.operators import scan
 from sonara.operators.tokens import Tokenizer
 from sonara.schema import WORD
 
@@ -107,6 +108,39 @@ def merge_punctuation(words: list[Aligned], prepend: str, append: str) -> None:
             target = k
 
 
+def _gathered(rows: DataFrame, key: str, at: str, leader: Column) -> DataFrame:
+    """Words and tokens of the rows with one leader (a place), in order, at the leader's row; the others' are empty."""
+    rows = rows.withColumn("_leader", leader)
+    group = Window.partitionBy(key, "_leader").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leads = F.col(at) == F.col("_leader")
+    none = F.array().cast(dict(rows.dtypes)["tokens"])
+    word = F.when(leads, F.array_join(F.collect_list("word").over(group), "")).otherwise("")
+    return rows.withColumns({"word": word, "tokens": F.when(leads, F.flatten(F.collect_list("tokens").over(group))).otherwise(none)}).drop("_leader")
+
+
+def merge_marks(words: DataFrame, key: str, at: str, prepend: str, append: str, block: Column | None = None) -> DataFrame:
+    """Rows (key, at, word, tokens, ...) after opening marks joined the word after them and closing ones the word before: a table's
+    merge_punctuation, along each key's rows by place.
+
+    A word that joined another is left empty and without tokens; all other columns stay. Rows are grouped by the place of the
+    word that they join: the next that is no opening mark (else the key's last word), then the last that is no closing mark
+    or stands behind an empty word or a blank. Only a word's own marks come together in one place. Null words and tokens are
+    empty, a null key is a key, places are unique and not null within a key, and marks are not blanks. Large keys take a
+    block, as scans do.
+    """
+    words = words.withColumns({"word": F.coalesce("word", F.lit("")), "tokens": F.coalesce("tokens", F.array().cast(dict(words.dtypes)["tokens"]))})
+    word = F.col("word")
+    bare = F.regexp_replace(word, r"(?U)^\s+|\s+$", "")
+    one = lambda c, marks: (F.length(c) == 1) & F.lit(marks).contains(c)
+    opens = F.startswith(word, F.lit(" ")) & one(bare, prepend)
+    rows = scan.scanned(words, key, [at], block, _next=scan.next_value(F.when(~opens, F.col(at))), _end=scan.highest_ahead(F.col(at)))
+    rows = _gathered(rows, key, at, F.coalesce("_next", "_end")).drop("_next", "_end")
+    rows = scan.scanned(rows, key, [at], block, _before=scan.previous(word))
+    stays = ~one(word, append) | F.col("_before").isNull() | (F.col("_before") == "") | F.endswith("_before", F.lit(" "))
+    rows = scan.scanned(rows.withColumn("_stays", F.when(stays, F.col(at))), key, [at], block, _last=scan.last_value(F.col("_stays")))
+    return _gathered(rows, key, at, F.col("_last")).drop("_before", "_stays", "_last")
+
+
 def hand_out(segments: list[Spoken], words: list[Aligned], eot: int, seek: int, prepend: str, append: str, last_speech: float) -> float:
     """Gives each segment the words that its text tokens pay for, repairs first and last words and the segment's bounds;
     returns where speech last ended (s)."""
