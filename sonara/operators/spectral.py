@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +92,7 @@ def _grouped(recordings: DataFrame, group: int, extra: int) -> DataFrame:
     recording's length n. Blocks are cut where they lie, so each sample moves once, those of a halo twice."""
     if group * HOP < FFT + HALO:
         raise ValueError("a group is too short for its halo")
-    start = F.col("start_sample").cast("bigint") if "start_sample" in recordings.columns else F.lit(0).cast("bigint")
-    rows = recordings.select("rec_id", start.alias("s"), F.col("pcm").cast("array<float>").alias("pcm")).filter(F.size("pcm") > 0).withColumn("e", F.col("s") + F.size("pcm"))
+    rows = recordings.select("rec_id", F.col("start_sample").cast("bigint").alias("s"), F.col("pcm").cast("array<float>").alias("pcm")).filter(F.size("pcm") > 0).withColumn("e", F.col("s") + F.size("pcm"))
     span = group * HOP
     which = lambda sample: F.floor(F.greatest(sample, F.lit(0)) / F.lit(span)).cast("bigint")
     pieces = rows.select("*", F.explode(F.sequence(which(F.col("s") - HALO), which(F.col("e") - 1 + HALO))).alias("group"))
@@ -105,8 +105,7 @@ def _grouped(recordings: DataFrame, group: int, extra: int) -> DataFrame:
 
 
 def spectral_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray], group: int = GROUP, extra: int = 0, last: bool = True) -> DataFrame:
-    """(rec_id, frame, values): shape(power spectra), frame by frame, of recordings in rows (rec_id, start_sample, pcm), or
-    (rec_id, pcm) with all of a recording in a row.
+    """(rec_id, frame, values): shape(power spectra), frame by frame, of recordings in rows (rec_id, start_sample, pcm).
 
     Frames are those of the whole recording with `extra` zeros behind it, mirrored at both ends, however it is cut in blocks;
     `last` says whether the last frame counts. A task holds one group's samples. Samples that no row has are silence, of
@@ -139,12 +138,33 @@ def spectral_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndar
     return _grouped(recordings, group, extra).groupBy("rec_id", "group").applyInPandas(run, f"rec_id {kind}, frame bigint, values array<double>")
 
 
+def _rows_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(rec_id, frame, values): shape(samples) of rows (rec_id, pcm), where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pcm = batch.column(1)[k]
+                values = shape(pcm.values.to_numpy(zero_copy_only=False)) if pcm.is_valid and len(pcm.values) else ()
+                for at in range(0, len(values), 1000):
+                    part = values[at : at + 1000].astype(np.float64)
+                    lists = pa.ListArray.from_arrays(pa.array(range(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+                    rec = pa.array([batch.column(0)[k].as_py()] * len(part), batch.schema.field(0).type)
+                    yield pa.RecordBatch.from_pydict({"rec_id": rec, "frame": pa.array(range(at, at + len(part)), pa.int64()), "values": lists})
+
+    return recordings.select("rec_id", F.col("pcm").cast("array<float>")).mapInArrow(run, f"rec_id {dict(recordings.dtypes)['rec_id']}, frame bigint, values array<double>")
+
+
 def mel_frames(recordings: DataFrame, n_mels: int = 80, group: int = GROUP, extra: int = 0, values: str = "float") -> DataFrame:
     """(rec_id, frame, mel) of rows as spectral_frames takes them: log10 of the energies in n_mels bands, no more than 8 under the
     recording's highest, then (v + 4) / 4. The last frame is left out.
 
-    Each group's levels move once; the highest, a row for each recording, is taken from the same exchange.
+    Each group's levels move once; the highest, a row for each recording, is taken from the same exchange. Without a column
+    start_sample each row is a recording of its own, and nothing moves.
     """
+    if "start_sample" not in recordings.columns:
+        whole = _rows_frames(recordings, lambda x: log_mel(x, n_mels, extra))
+        return whole.select("rec_id", "frame", F.col("values").cast(f"array<{values}>").alias("mel"))
 
     def bands(power: np.ndarray) -> np.ndarray:
         return np.log10(np.maximum(power @ mel_filters(n_mels).T, 1e-10))
@@ -156,7 +176,10 @@ def mel_frames(recordings: DataFrame, n_mels: int = 80, group: int = GROUP, extr
 
 
 def power_frames(recordings: DataFrame, group: int = GROUP, extra: int = 0) -> DataFrame:
-    """(rec_id, frame, power) of rows as spectral_frames takes them, the last frame included."""
+    """(rec_id, frame, power) of rows as spectral_frames takes them, or of rows that are recordings of their own; the last frame is
+    included."""
+    if "start_sample" not in recordings.columns:
+        return _rows_frames(recordings, lambda x: power_spectrum(x, extra)).withColumnRenamed("values", "power")
     return spectral_frames(recordings, lambda power: power, group, extra).withColumnRenamed("values", "power")
 
 

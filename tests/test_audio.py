@@ -58,6 +58,19 @@ def test_frames_read_missing_blocks_as_silence(spark):
         spectral.mel_frames(df, group=3)
 
 
+def test_rows_that_are_recordings_of_their_own(spark, signals):
+    df = spark.createDataFrame([(k, x.tolist(), "x") for k, x in signals.items()] + [(None, [0.25] * 700, "x"), (77, None, "x"), (78, [], "x")], "rec_id int, pcm array<float>, frame string")
+    known = signals | {None: np.full(700, 0.25, dtype=np.float32)}
+    power, mel = spectral.power_frames(df), spectral.mel_frames(df)
+    assert "Exchange" not in mel._jdf.queryExecution().executedPlan().toString()
+    found = {(r.rec_id, r.frame): r.power for r in power.collect()}
+    want = {(k, f): row for k, x in known.items() for f, row in enumerate(spectral.power_spectrum(x))}
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in found)
+    found = {(r.rec_id, r.frame): r.mel for r in mel.collect()}
+    want = {(k, f): row for k, x in known.items() for f, row in enumerate(spectral.log_mel(x))}
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k]) for k in found)
+
+
 def test_one_recording_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
