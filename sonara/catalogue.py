@@ -370,7 +370,26 @@ def phrase_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.whole_matches(rows, phrases.blocklist(spark, PHRASES), "said", "language").select("conv_id", "turn", "k", "p", "n")
 
 
-@query()
+@query(r"""WITH RECURSIVE b(phrase) AS (VALUES ('thanks for watching'), ('thank you for watching'), ('please subscribe'), ('subtitles by'), ('thank you')),
+s AS (SELECT row_number() OVER () AS seg, conv_id AS rec_id, turn AS id, concat_ws(' ', 'Thank you.', text, CASE WHEN turn % 2 = 0 THEN 'thanks for watching!' END) AS said FROM conversations),
+a AS (SELECT seg, unnest(us) AS unit, generate_subscripts(us, 1) AS k FROM (SELECT seg, regexp_extract_all(said, '[^\s\p{Z}\x0b\x{85}]+') AS us FROM s)),
+u AS (SELECT *, array_to_string(regexp_extract_all(replace(lower(unit), 'ё', 'е'), '[\p{L}\p{N}]+'), ' ') AS w, regexp_matches(unit, '[.!?…]["''»”)\]]*$') AS e, regexp_matches(regexp_extract(unit, '\p{L}'), '^\p{Lu}') AS up FROM a),
+g AS (SELECT *, sum(CAST(w <> '' AS INT)) OVER (PARTITION BY seg ORDER BY k) AS p, lag(e) OVER (PARTITION BY seg ORDER BY k) AS pe FROM u),
+sp AS (SELECT seg, p, any_value(w ORDER BY k) AS w, any_value(up ORDER BY k) AS up, coalesce(first(pe ORDER BY k), min(k) = 1) AS opened, bool_or(e) AS closed, count(*) OVER (PARTITION BY seg) AS n FROM g WHERE p > 0 GROUP BY seg, p),
+l AS (SELECT seg, p, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM sp WINDOW o AS (PARTITION BY seg ORDER BY p)),
+f AS (SELECT seg, p, p + 1 AS q, w AS said FROM l UNION ALL SELECT seg, p, p + 2, w || ' ' || w2 FROM l UNION ALL SELECT seg, p, p + 3, w || ' ' || w2 || ' ' || w3 FROM l UNION ALL SELECT seg, p, p + 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM l),
+c AS (SELECT seg, p, max(q) AS q, arg_max(said, q) AS phrase FROM f JOIN b ON said = phrase GROUP BY seg, p),
+x AS (SELECT c.*, (SELECT min(d.p) FROM c d WHERE d.seg = c.seg AND d.p >= c.q) AS np FROM c),
+m AS (SELECT x.* FROM x JOIN (SELECT seg, min(p) AS p FROM c GROUP BY seg) USING (seg, p) UNION ALL SELECT x.* FROM m JOIN x ON x.seg = m.seg AND x.p = m.np),
+r AS (SELECT *, len(phrase) - len(replace(phrase, ' ', '')) + 1 AS n,
+  coalesce(lag(q) OVER o = p AND lag(phrase) OVER o = phrase, false) OR coalesce(lead(p) OVER o = q AND lead(phrase) OVER o = phrase, false) AS twice FROM m WINDOW o AS (PARTITION BY seg ORDER BY p)),
+v AS (SELECT r.seg, r.p, r.q FROM r JOIN sp i ON i.seg = r.seg AND i.p = r.p JOIN sp j ON j.seg = r.seg AND j.p = r.q - 1 LEFT JOIN sp h ON h.seg = r.seg AND h.p = r.q
+  WHERE r.n >= 3 OR (r.n = 2 AND (twice OR ((i.opened OR i.up) AND (j.closed OR h.p IS NULL OR h.up))))),
+z AS (SELECT seg, sum(q - p) AS held FROM m GROUP BY seg),
+y AS (SELECT g.seg, g.k, g.unit, g.w, g.p, v.seg IS NULL AS stays FROM g LEFT JOIN v ON v.seg = g.seg AND g.p >= v.p AND g.p < v.q),
+t AS (SELECT seg, string_agg(unit, ' ' ORDER BY k) FILTER (WHERE stays) AS txt, bool_and(stays) AS whole, count_if(w <> '') AS n, count_if(stays AND w <> '') AS kept FROM y GROUP BY seg),
+d AS (SELECT rec_id, id, id * 1000000000 AS start_ns, (id + 1) * 1000000000 AS end_ns, CASE WHEN whole THEN said ELSE txt END AS text FROM s JOIN t USING (seg) LEFT JOIN z USING (seg) WHERE n = 0 OR (kept > 0 AND coalesce(held, 0) < n))
+SELECT rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY id, start_ns, end_ns, text) AS INT) AS id, CAST(start_ns AS BIGINT) AS start_ns, CAST(end_ns AS BIGINT) AS end_ns, text FROM d""")
 def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as segments of a conversation, with phrases of the block list put in and taken out again."""
     said = F.concat_ws(" ", F.lit("Thank you."), "text", F.when(F.col("turn") % 2 == 0, F.lit("thanks for watching!")))

@@ -1,22 +1,23 @@
-"""Removal of known spurious phrases from segments."""
+"""Removal of known spurious phrases from segments, by column functions.
 
-from __future__ import annotations
+A segment is a list of units (its words, or what blanks part in its text). It is written as one string of marks: a unit with
+words is `<said>`, or `<^said>` if it begins with a capital, and its own end follows as `!` (a sentence ends there) or `-`; a
+unit without words is its end alone. A language's phrases are one pattern over such strings, the longest first, so a search
+from the left takes the longest phrase at each place and none that overlap, and borders of units are part of the pattern.
+Runs (a phrase, or a unit that is in none, each with the wordless units behind it) then look at their neighbours only.
+"""
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from __future__ import annotations
 
-import pandas as pd
-import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonara.functions.text import normal_words
+from sonara.functions.text import ends_sentence, normal_words, plain_lower, starts_upper
+from sonara.operators import scan
 from sonara.schema import WORD
 
+#: Words of a phrase that goes wherever it stands.
 ANYWHERE = 3
-_RUNS = regex.compile(r"[\p{L}\p{N}]+")
-_LETTER = regex.compile(r"\p{L}")
-_ENDS = regex.compile(r"""[.!?…]["'»”)\]]*$""")
 
 #: A small list to begin with; give your own as {language: [phrase, ...]}.
 SEED = {
@@ -27,131 +28,18 @@ SEED = {
     "ru": ["продолжение следует", "спасибо за просмотр"],
 }
 
+#: Phrases that a block list may have: it travels with every task.
+LIST_MOST = 100_000
+#: What parts two words of a phrase: a blank inside a unit, or a unit's end and the next one's beginning.
+_BETWEEN = r"(?: |>[!-]+<\^?)"
+
 
-def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters and numbers, letter by letter, with ё written as е."""
-    lower = "".join(c.lower() if len(c.lower()) == 1 else "i" if c == "İ" else c for c in text)
-    return _RUNS.findall(lower.replace("ё", "е"))
-
-
-def ends_sentence(unit: str) -> bool:
-    return bool(_ENDS.search(unit.strip()))
-
-
-def starts_upper(unit: str) -> bool:
-    letter = _LETTER.search(unit)
-    return letter is not None and letter[0].isupper()
-
-
-@dataclass(frozen=True)
-class Match:
-    first: int
-    after: int
-    phrase: tuple[str, ...]
-
-
-class PhraseSet:
-    """One language's phrases, by first word and longest first, and those that have no words."""
-
-    def __init__(self, phrases: list[str]):
-        self.starting: dict[str, list[tuple[str, ...]]] = {}
-        self.wordless: set[str] = set()
-        for phrase in phrases:
-            words = tuple(words_of(phrase))
-            if words:
-                self.starting.setdefault(words[0], []).append(words)
-            else:
-                self.wordless.add(phrase.strip().lower())
-        for found in self.starting.values():
-            found.sort(key=len, reverse=True)  # stable: of equal length the first given
-
-    def is_phrase(self, text: str) -> bool:
-        words = tuple(words_of(text))
-        return words in self.starting.get(words[0], []) if words else text.strip().lower() in self.wordless
-
-    def _matches(self, words: list[str], unit: list[int]) -> list[Match]:
-        """Greedy from the left; a match begins and ends where units do."""
-        border = lambda i: i in (0, len(words)) or unit[i] != unit[i - 1]
-        out, at = [], 0
-        while at < len(words):
-            fitting = (p for p in self.starting.get(words[at], []) if border(at) and at + len(p) <= len(words) and border(at + len(p)) and tuple(words[at : at + len(p)]) == p)
-            phrase = next(fitting, None)
-            if phrase is None:
-                at += 1
-            else:
-                out.append(Match(at, at + len(phrase), phrase))
-                at += len(phrase)
-        return out
-
-    def keep(self, units: list[str]) -> tuple[list[bool] | None, bool]:
-        """(which units stay, None for all; whether a unit that stays has words).
-
-        Phrases that cover all words take all. Otherwise those of three words or more go, and those of two that are
-        repeated back to back or stand apart. Units without words go with the one before.
-        """
-        words, unit = [], []
-        for k, u in enumerate(units):
-            for w in words_of(u):
-                words.append(w)
-                unit.append(k)
-        if not words:
-            return None, False
-        matches = self._matches(words, unit)
-        if sum(m.after - m.first for m in matches) == len(words):
-            return [False] * len(units), False
-        spoken = set(unit)
-        gone: set[int] = set()
-        for k, m in enumerate(matches):
-            near = [n for n in (matches[k - 1] if k else None, matches[k + 1] if k + 1 < len(matches) else None) if n and n.phrase == m.phrase and (n.after == m.first or n.first == m.after)]
-            first, last = unit[m.first], unit[m.after - 1]
-            if len(m.phrase) >= ANYWHERE or (len(m.phrase) == 2 and (near or self._apart(units, spoken, first, last))):
-                gone.update(range(first, last + 1))
-        if not gone:
-            return None, True
-        stay: list[bool] = []
-        for k in range(len(units)):
-            stay.append(stay[k - 1] if k and k not in spoken else k not in gone)
-        return stay, any(stay[k] for k in spoken)
-
-    @staticmethod
-    def _apart(units: list[str], spoken: set[int], first: int, last: int) -> bool:
-        """Cut off on both sides: by the text's ends, by sentence ends, or by capitals."""
-        if not (first == 0 or ends_sentence(units[first - 1]) or starts_upper(units[first])):
-            return False
-        if last == len(units) - 1 or ends_sentence(units[last]):
-            return True
-        for k in range(last + 1, len(units)):
-            if k in spoken:
-                return starts_upper(units[k])
-            if ends_sentence(units[k]):
-                return True
-        return True
-
-    def clean(self, text: str, words: list[dict], start: int, end: int) -> tuple[str, list[dict], int, int] | None:
-        """(text, words, start, end) without phrases; None if the segment goes. Bounds move only with words at the edges."""
-        units = [w["word"] for w in words] if words else text.split()
-        stay, has_words = self.keep(units)
-        if stay is None:
-            return (text, words, start, end) if has_words or text.strip().lower() not in self.wordless else None
-        if not has_words:
-            return None
-        left = " ".join(u.strip() for u, s in zip(units, stay, strict=True) if s)
-        if not words:
-            return left, words, start, end
-        kept = [w for w, s in zip(words, stay, strict=True) if s]
-        return left, kept, start if stay[0] else kept[0]["start_ns"], end if stay[-1] else kept[-1]["end_ns"]
-
-
-def blocklist(spark, phrases: dict[str, list[str]]) -> DataFrame:
+def blocklist(spark: SparkSession, phrases: dict[str, list[str]]) -> DataFrame:
     """(language, phrase, words) with the words normalised."""
     rows = [(lang, p) for lang, ps in phrases.items() for p in ps]
     return spark.createDataFrame(rows, "language string, phrase string").withColumn("words", normal_words(F.col("phrase")))
 
 
-#: Phrases that a block list may have: it travels with every task.
-LIST_MOST = 100_000
-
-
 def phrase_lists(listed: DataFrame) -> dict[str, list[str]]:
     """{language: [phrase, ...]} of rows (language, phrase, ordinal), as a phrase file is read; for filter_phrases. Null phrases
     are left out. A list beyond LIST_MOST phrases is an error, as lists go to every task."""
@@ -173,39 +61,88 @@ def whole_matches(texts: DataFrame, phrases: DataFrame, text: str, language: str
     return texts.join(named, same, "left_semi")
 
 
-def filter_phrases(segments: DataFrame, phrases: dict[str, list[str]] | DataFrame, language: str = "language") -> DataFrame:
-    """Segments (rec_id, id, start_ns, end_ns, text, words, language) without phrases, numbered anew from 1. phrases are lists by
-    language, or the rows of a phrase file.
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    Cleaning is row by row in Arrow batches; numbering needs each recording's rows in order.
+
+def patterns(spark: SparkSession, phrases: dict[str, list[str]]) -> DataFrame:
+    """(language, pattern, bare) of each language: a pattern over marks that fits its phrases with words, null if it has
+    none, and the phrases without words, trimmed and in lower case."""
+    if sum(map(len, phrases.values())) > LIST_MOST:
+        raise ValueError(f"a block list may have {LIST_MOST} phrases")
+    listed = blocklist(spark, phrases).filter(F.col("phrase").isNotNull())
+    worded = F.when(F.size("words") > 0, F.struct((-F.size("words")).alias("rank"), F.array_join("words", _BETWEEN).alias("way")))
+    held = listed.groupBy("language").agg(F.array_sort(F.collect_set(worded)).alias("ways"), F.collect_set(F.when(F.size("words") == 0, plain_lower(_trimmed(F.col("phrase"))))).alias("bare"))
+    either = F.array_join(F.transform("ways", lambda w: w["way"]), "|")
+    return held.select("language", F.when(F.size("ways") > 0, F.concat(F.lit(r"<\^?(?:"), either, F.lit(r")>[!-]+"))).alias("pattern"), "bare")
+
+
+def marks(units: Column) -> Column:
+    """The string of marks of an array of units."""
+    seen = F.transform(units, lambda u: F.struct(F.array_join(normal_words(u), " ").alias("said"), starts_upper(u).alias("upper"), F.when(ends_sentence(u), "!").otherwise("-").alias("stop")))
+    each = F.transform(seen, lambda u: F.when(u["said"] == "", u["stop"]).otherwise(F.concat(F.when(u["upper"], "<^").otherwise("<"), u["said"], F.lit(">"), u["stop"])))
+    return F.array_join(each, "")
+
+
+def _goes(before: Column, run: Column, after: Column) -> Column:
+    """Whether a run goes, by itself and the runs beside it; the text's ends are runs without text."""
+    repeated = (before["listed"] & (before["said"] == run["said"])) | (after["listed"] & (after["said"] == run["said"]))
+    opens = (before["run"] == "") | F.endswith(before["run"], F.lit("!")) | F.startswith(run["run"], F.lit("<^"))
+    closes = (after["run"] == "") | F.regexp_extract(run["run"], "([!-]+)$", 1).contains("!") | F.startswith(after["run"], F.lit("<^"))
+    return run["listed"] & ((run["n"] >= ANYWHERE) | ((run["n"] == ANYWHERE - 1) & (repeated | (opens & closes))))
+
+
+def clean_phrases(segments: DataFrame, phrases: dict[str, list[str]] | DataFrame, language: str = "language") -> DataFrame:
+    """segments (start_ns, end_ns, text, words, language, ...) with phrases taken out of text and words, and a new column
+    `dropped`: nothing is left of the row. phrases are lists by language, or the rows of a phrase file.
+
+    A segment that consists of phrases goes. Of others, phrases of three words or more go, and those of two that are
+    repeated back to back or stand apart: behind the text's start, a sentence's end or with a capital, and before the text's
+    end, a sentence's end or a capital. Units without words go with the one before. Start and end move only with words at
+    the edges. A segment without any words goes if its text is a phrase without words. Rows that keep all units keep their
+    text as it is, nulls too; so do rows whose language is null or has no list. Null words and units are empty. Row by row:
+    no row moves. The pattern of a language travels with every task, which LIST_MOST bounds.
     """
     phrases = phrase_lists(phrases) if isinstance(phrases, DataFrame) else phrases
-    schema = f"rec_id bigint, id int, start_ns bigint, end_ns bigint, text string, words array<{WORD}>, {language} string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = {lang: PhraseSet(p) for lang, p in phrases.items()}
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                found = sets.get(getattr(r, language))
-                words = [dict(w) if isinstance(w, dict) else w.asDict() for w in r.words] if r.words is not None else []
-                cleaned = (r.text, words, r.start_ns, r.end_ns) if found is None else found.clean(r.text or "", words, r.start_ns, r.end_ns)
-                if cleaned is not None:
-                    rows.append((r.rec_id, r.id, cleaned[2], cleaned[3], cleaned[0], cleaned[1], getattr(r, language)))
-            yield pd.DataFrame(rows, columns=["rec_id", "id", "start_ns", "end_ns", "text", "words", language])
-
-    columns = ["rec_id", F.col("id").cast("int").alias("id"), "start_ns", "end_ns", "text", "words", language]
-    cleaned = segments.select(*columns).mapInPandas(run, schema)
-    return cleaned.withColumn("id", F.row_number().over(Window.partitionBy("rec_id").orderBy("id")))
-
-
-def cleaned_text(phrases: dict[str, list[str]]) -> Callable:
-    """A column function (text, language) -> text without phrases, null where nothing is left."""
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        sets = {lang: PhraseSet(p) for lang, p in phrases.items()}
-        done = [(sets[lang].clean(t or "", [], 0, 0) if lang in sets else (t,)) for t, lang in zip(texts, languages, strict=True)]
-        return pd.Series([None if d is None else d[0] for d in done], dtype=object)
-
-    return clean
+    names = segments.columns
+    listed = patterns(segments.sparkSession, phrases).select(F.col("language").alias("_lang"), F.col("pattern").alias("_pattern"), F.concat(F.lit("^(?:"), "pattern", F.lit(")$")).alias("_whole"), F.concat(F.lit("("), "pattern", F.lit("|<[^>]*>[!-]+)")).alias("_parts"), F.col("bare").alias("_bare"))
+    rows = segments.join(F.broadcast(listed), segments[language] == F.col("_lang"), "left")
+    in_text = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?U)(\S+)"), F.lit(1))
+    spoken = F.transform("words", lambda w: F.coalesce(w["word"], F.lit("")))
+    rows = rows.withColumn("_units", F.when(F.col("_lang").isNotNull(), F.when(F.size("words") > 0, spoken).otherwise(in_text)))
+    rows = rows.withColumn("_marks", marks(F.col("_units")))
+    runs = F.when(F.regexp_like("_marks", F.col("_pattern")), F.regexp_extract_all("_marks", F.col("_parts"), F.lit(1)))
+    said = F.transform(runs, lambda r: F.struct(r.alias("run"), F.regexp_extract_all(r, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w"), F.regexp_like(r, F.col("_whole")).alias("listed")))
+    run = lambda r, said, n, listed: F.struct(r.alias("run"), said.alias("said"), n.alias("n"), listed.alias("listed"))
+    rows = rows.withColumn("_runs", F.transform(said, lambda r: run(r["run"], F.array_join(r["w"], " "), F.size(r["w"]), r["listed"])))
+    # units without words before all others stay
+    rows = rows.withColumn("_head", F.regexp_extract("_marks", "^([!-]*)", 1))
+    edge = lambda text: F.array(run(text, F.lit(""), F.lit(0), F.lit(False)))
+    rows = rows.withColumns({"_before": F.concat(edge(F.col("_head")), F.slice("_runs", 1, F.size("_runs") - 1)), "_after": F.concat(F.slice("_runs", 2, F.size("_runs")), edge(F.lit("")))})
+    judged = F.transform(F.arrays_zip("_before", "_runs", "_after"), lambda z: F.struct(_goes(z["_before"], z["_runs"], z["_after"]).alias("gone"), F.length(F.regexp_replace(z["_runs"]["run"], "[^!-]", "")).alias("units")))
+    rows = rows.withColumn("_judged", judged)
+    all_gone = F.forall("_runs", lambda r: r["listed"]) | F.forall("_judged", lambda r: r["gone"])
+    bare = ~F.col("_marks").contains("<") & F.array_contains("_bare", plain_lower(_trimmed(F.coalesce("text", F.lit("")))))
+    cut = F.exists("_judged", lambda r: r["gone"])
+    stay = F.concat(F.array_repeat(F.lit(True), F.length("_head")), F.flatten(F.transform("_judged", lambda r: F.array_repeat(~r["gone"], r["units"]))))
+    rows = rows.withColumn("_stay", F.when(cut, stay))
+    left = lambda x: F.transform(F.filter(F.zip_with(x, "_stay", lambda v, s: F.struct(v.alias("v"), s.alias("s"))), lambda z: z["s"]), lambda z: z["v"])
+    rows = rows.withColumns({"_text": F.array_join(F.transform(left("_units"), _trimmed), " "), "_words": F.when(F.size("words") > 0, left("words")).otherwise(F.col("words"))})
+    worded, first, last = F.size("words") > 0, F.get("_words", F.lit(0)), F.try_element_at("_words", F.lit(-1))
+    new = {
+        "text": F.when(F.col("_stay").isNull(), F.col("text")).otherwise(F.col("_text")),
+        "words": F.when(F.col("_stay").isNull(), F.col("words")).otherwise(F.col("_words")),
+        "start_ns": F.when(worded & ~F.get("_stay", F.lit(0)), first["start_ns"]).otherwise(F.col("start_ns")),
+        "end_ns": F.when(worded & ~F.try_element_at("_stay", F.lit(-1)), last["end_ns"]).otherwise(F.col("end_ns")),
+    }
+    return rows.select(*(new[n].alias(n) if n in new else F.col(f"`{n}`") for n in names), F.coalesce(all_gone, bare, F.lit(False)).alias("dropped"))
+
+
+def filter_phrases(segments: DataFrame, phrases: dict[str, list[str]] | DataFrame, language: str = "language", block: Column | None = None) -> DataFrame:
+    """Segments (rec_id, id, start_ns, end_ns, text, words, language) without phrases, numbered anew from 1 by id, then time
+    and text; see clean_phrases. Large recordings take a block of ids, as scans do."""
+    columns = ["rec_id", F.col("id").cast("int").alias("id"), "start_ns", "end_ns", "text", F.col("words").cast(f"array<{WORD}>").alias("words"), language]
+    cleaned = clean_phrases(segments.select(*columns), phrases, language)
+    # rows that go are numbered along and left out behind the exchange, so that texts are looked at once
+    numbered = scan.scanned(cleaned, "rec_id", ["id", "start_ns", "end_ns", "text"], block, _number=scan.running_sum(F.when(F.col("dropped"), 0).otherwise(1)))
+    return numbered.filter(~F.col("dropped")).select("rec_id", F.col("_number").cast("int").alias("id"), "start_ns", "end_ns", "text", "words", language)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sonara.config import TranscribeConfig, batched_vad
 from sonara.operators.attempts import Heard, acceptable, compression_ratio, control_silence
-from sonara.operators.phrases import PhraseSet
+from sonara.operators.phrases import clean_phrases
 from sonara.operators.regions import batch_windows, frame_regions, overlap_regions, pad_list
 from sonara.operators.spectral import CHUNK_FRAMES, chunk_mel, log_mel, mel_window
 from sonara.operators.tokens import MAX_TOKENS, Tokenizer, split_segments
@@ -241,22 +241,9 @@ def finish(segments: DataFrame, phrases: dict[str, list[str]] | None = None) ->
 
     A recording's segments meet in one row, which is what a transcript is.
     """
-    if phrases:
-
-        def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sets = {lang: PhraseSet(p) for lang, p in phrases.items()}
-            for batch in batches:
-                rows = []
-                for r in batch.itertuples(index=False):
-                    found = sets.get(r.language)
-                    done = (r.text, list(r.words), r.start_ns, r.end_ns) if found is None else found.clean(r.text, list(r.words), r.start_ns, r.end_ns)
-                    if done is not None:
-                        rows.append((*r[:5], done[2], done[3], done[0], r.tokens, done[1], *r[10:]))
-                yield pd.DataFrame(rows, columns=NAMES)
-
-        segments = segments.mapInPandas(clean, SEGMENT)
-    ordered = F.array_sort(F.collect_list(F.struct("win", "seg", "start_ns", "end_ns", "text", "words", "temperature", "avg_logprob", "compression_ratio", "no_speech_prob", "language", "language_probability")))
-    grouped = segments.groupBy("rec_id").agg(ordered.alias("s"))
+    segments = clean_phrases(segments, phrases or {})
+    ordered = F.array_sort(F.collect_list(F.when(~F.col("dropped"), F.struct("win", "seg", "start_ns", "end_ns", "text", "words", "temperature", "avg_logprob", "compression_ratio", "no_speech_prob", "language", "language_probability"))))
+    grouped = segments.groupBy("rec_id").agg(ordered.alias("s")).filter(F.size("s") > 0)
     numbered = F.transform("s", lambda x, i: F.struct((i + 1).alias("id"), x["start_ns"].alias("start_ns"), x["end_ns"].alias("end_ns"), x["text"].alias("text"), x["words"].alias("words"), x["temperature"].alias("temperature"), x["avg_logprob"].alias("avg_logprob"), x["compression_ratio"].alias("compression_ratio"), x["no_speech_prob"].alias("no_speech_prob")))
     first = F.element_at("s", 1)
     return grouped.select("rec_id", first["language"].alias("language"), first["language_probability"].alias("language_probability"), F.array_join(F.transform("s", lambda x: F.trim(x["text"])), " ").alias("text"), numbered.alias("segments"))

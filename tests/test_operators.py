@@ -318,7 +318,14 @@ def test_words_are_handed_out():
 
 # --- phrases ---
 
-SET = phrases.PhraseSet(["thanks for watching", "thank you", "bye", "subtitles by the community", "!.."])
+LIST = {"en": ["thanks for watching", "thank you", "bye", "subtitles by the community", "!.."]}
+SPOKEN = f"start_ns bigint, end_ns bigint, text string, words array<{phrases.WORD}>, language string"
+
+
+def cleaned(spark, text, ws=None, start=0, end=0):
+    """(text, words, start, end), None if the segment goes."""
+    r = phrases.clean_phrases(spark.createDataFrame([(start, end, text, ws, "en")], SPOKEN), LIST).first()
+    return None if r.dropped else (r.text, r.words, r.start_ns, r.end_ns)
 
 
 @pytest.mark.parametrize(
@@ -338,16 +345,17 @@ SET = phrases.PhraseSet(["thanks for watching", "thank you", "bye", "subtitles b
         ("a subtitles by the community b", "a b"),
     ],
 )
-def test_phrases_in_text(said, left):
-    found = SET.clean(said, [], 0, 0)
+def test_phrases_in_text(spark, said, left):
+    found = cleaned(spark, said)
     assert (found and found[0]) == left
 
 
-def test_phrases_with_words_move_bounds():
+def test_phrases_with_words_move_bounds(spark):
     units = "thanks for watching the rain".split()
     ws = [{"word": u, "start_ns": k, "end_ns": k + 1, "probability": 1.0} for k, u in enumerate(units)]
-    assert SET.clean("", ws, 0, 5)[2:] == (3, 5)
-    assert SET.clean("", ws[3:] + ws[:3], 3, 3)[0] == "the rain"
+    assert cleaned(spark, "", ws, 0, 5)[2:] == (3, 5)
+    assert cleaned(spark, "", ws[3:] + ws[:3], 3, 3)[0] == "the rain"
+    assert cleaned(spark, "", ws[3:] + ws[:3], 3, 3)[3] == 5
 
 
 def test_filter_numbers_anew(spark):
