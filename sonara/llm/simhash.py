@@ -150,6 +150,20 @@ def near_fingerprints(prints: DataFrame, distance: int = 2) -> DataFrame:
     return links.union(through).distinct()
 
 
+#: A fingerprint with over this share of all rows is joined by broadcast: fewer than 1 / HOT_SHARE can be.
+HOT_SHARE = 0.001
+
+
+def _named(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows (id, fingerprint) with the component_id of `of` (fingerprint, component_id, n rows). Fingerprints of very many
+    rows (copies, or zero for all empty texts) would each be one task of a join, so their rows stay where they lie."""
+    total = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > F.lit(total * HOT_SHARE)
+    heavy = F.broadcast(of.filter(hot).select("fingerprint", "component_id"))
+    light = rows.join(heavy, "fingerprint", "left_anti").join(of.filter(~hot).select("fingerprint", "component_id"), "fingerprint")
+    return rows.join(heavy, "fingerprint").unionByName(light)
+
+
 def near_duplicates(df: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) of every row: the fingerprint as 16 hexadecimal digits, and the smallest id that
     links of up to `distance` bits lead to.
@@ -158,13 +172,13 @@ def near_duplicates(df: DataFrame, width: int = 3, distance: int = 2, id_col: st
     fingerprint and never name one, so that is null where all ids are. Repeated rows each get a result.
     """
     rows, _ = written(fingerprints(df, width, id_col, text_col), "fingerprints")
-    classes, _ = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")), "classes")
+    classes, _ = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     links, _ = written(near_fingerprints(classes, distance), "links")
     joined = components(links, "a", "b")
     of = classes.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("fingerprint", "component_id")
-    named = rows.join(of, "fingerprint")
+    of, _ = written(of.join(least, "component").select("fingerprint", "component_id", "n"), "components")
+    named = _named(rows, of)
     return named.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -21,6 +21,8 @@ from sonara.llm.components import components
 
 #: (verdict, host, path) of the rules in force (fixed values).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Pages of one address are dealt out to so many tasks; answers of aliases are as often.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _VALUE = r"""(?:"\s*([^">]*)|'\s*([^'>]*)|([^"'\s>]+))"""
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*""" + _VALUE
@@ -121,7 +123,10 @@ def judge_urls(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, r
     of_class = judged.groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
     decided = of_class.select("component", F.when(F.col("allowed"), F.lit("allow")).when(F.col("blocked"), F.lit("block")).alias("by_class"))
     by_node = judged.join(decided, "component").select("node", "by_class").filter(F.col("by_class").isNotNull())
-    # only pages without a rule need their class
-    open_pages = pages.filter(F.col("fit").isNull()).join(by_node, "node", "left").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("by_class", F.lit("allow")).alias("verdict"))
-    ruled = pages.filter(F.col("fit").isNotNull()).select("id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
-    return ruled.unionByName(open_pages).withColumnRenamed("id", id_col)
+    # only pages without a rule need their class, and those without an address have none
+    asks = F.col("fit").isNull() & F.col("node").isNotNull()
+    salted = pages.filter(asks).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    answers = by_node.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    by_alias = salted.join(answers, ["node", "salt"], "left").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("by_class", F.lit("allow")).alias("verdict"))
+    others = pages.filter(~asks).select("id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"))
+    return others.unionByName(by_alias).withColumnRenamed("id", id_col)
