@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from sonara.schema import SAMPLE_RATE, SCORES
 
 CONTEXT = 64
 SLIDE, SLIDE_HOP, SLIDE_FRAMES = 80_000, 8_000, 293
+#: Windows that are scored at a time, and rows of scores that a task hands on at a time.
+STEPS, OUT_ROWS = 1000, 10_000
 
 
 class FrameScorer(Protocol):
@@ -31,7 +34,9 @@ class FrameScorer(Protocol):
         """A fresh state."""
 
     def step(self, state: object, row: np.ndarray) -> tuple[float, object]:
-        """The score of a row of CONTEXT + WINDOW samples, and the next state."""
+        """The score of a row of CONTEXT + WINDOW samples, and the next state.
+
+        A scorer may also have `steps(state, rows)`: the scores of many rows in order, and the state behind them."""
 
 
 class SlideScorer(Protocol):
@@ -79,6 +84,10 @@ class EnergyScorer:
     def step(self, state: float, row: np.ndarray) -> tuple[float, float]:
         return min(1.0, float(np.sqrt(np.mean(np.square(row[CONTEXT:], dtype=np.float64)))) / self.full), state
 
+    def steps(self, state: float, rows: np.ndarray) -> tuple[list[float], float]:
+        level = np.sqrt(np.mean(np.square(rows[:, CONTEXT:], dtype=np.float64), axis=1)) / self.full
+        return np.where(level < 1.0, level, 1.0).tolist(), state
+
     def scores(self, windows: np.ndarray) -> np.ndarray:
         edges = np.linspace(0, windows.shape[1], SLIDE_FRAMES + 1).astype(int)
         sums = np.concatenate([np.zeros((len(windows), 1)), np.cumsum(np.square(windows, dtype=np.float64), axis=1)], axis=1)
@@ -99,8 +108,48 @@ def frame_rows(samples: np.ndarray, before: np.ndarray | None = None) -> np.ndar
     return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + WINDOW)[::WINDOW][:count]
 
 
+def stepped(scorer: FrameScorer, state: object, rows: np.ndarray) -> tuple[list[float], object]:
+    """The scores of rows in order and the state behind them, many rows at a time if the scorer can."""
+    out: list[float] = []
+    if not hasattr(scorer, "steps"):
+        for row in rows:
+            score, state = scorer.step(state, row)
+            out.append(score)
+        return out, state
+    for at in range(0, len(rows), STEPS):
+        found, state = scorer.steps(state, rows[at : at + STEPS])
+        out += found
+    return out, state
+
+
+def _whole_scores(recordings: DataFrame, factory: Callable[[], FrameScorer]) -> DataFrame:
+    """SCORES of rows (rec_id, pcm) that are recordings of their own, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = factory()
+        for batch in batches:
+            ids, counts, held = [], [], []
+            for k in range(batch.num_rows):
+                pcm = batch.column(1)[k]
+                if pcm.is_valid and len(pcm.values):
+                    found, _ = stepped(scorer, scorer.start(), frame_rows(pcm.values.to_numpy(zero_copy_only=False)))
+                    ids.append(batch.column(0)[k].as_py())
+                    counts.append(len(found))
+                    held += found
+                if held and (len(held) >= OUT_ROWS or k + 1 == batch.num_rows):
+                    rec = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts)))
+                    idx = np.concatenate([np.arange(n) for n in counts])
+                    yield pa.RecordBatch.from_pydict({"rec_id": rec, "idx": pa.array(idx, pa.int64()), "score": pa.array(np.array(held, dtype=np.float32))})
+                    ids, counts, held = [], [], []
+
+    return recordings.select(F.col("rec_id").cast("bigint"), F.col("pcm").cast("array<float>")).mapInArrow(run, SCORES)
+
+
 def frame_scores(recordings: DataFrame, factory: Callable[[], FrameScorer]) -> DataFrame:
-    """SCORES of RECORDINGS: one for each WINDOW samples, the state carried through each recording's parts in order."""
+    """SCORES of RECORDINGS: one for each WINDOW samples, the state carried through each recording's parts in order. Without a column
+    start_sample each row is a recording of its own, and nothing moves."""
+    if "start_sample" not in recordings.columns:
+        return _whole_scores(recordings, factory)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         scorer = factory()
@@ -108,9 +157,8 @@ def frame_scores(recordings: DataFrame, factory: Callable[[], FrameScorer]) -> D
 
         def take(samples: np.ndarray) -> None:
             nonlocal state, context
-            for row in frame_rows(samples, context):
-                score, state = scorer.step(state, row)
-                out.append(score)
+            found, state = stepped(scorer, state, frame_rows(samples, context))
+            out.extend(found)
             if len(samples) >= WINDOW:
                 context = samples[-CONTEXT:].copy()
 

@@ -83,6 +83,14 @@ def test_frame_scores_do_not_depend_on_parts(spark):
     assert parts(777) == whole and parts(5000) == whole
 
 
+def test_many_rows_score_as_one_by_one():
+    rng = np.random.default_rng(3)
+    rows = (rng.normal(size=(2500, scoring.CONTEXT + scoring.WINDOW)) * rng.choice([0.01, 0.05, 1], (2500, 1))).astype(np.float32)
+    rows[7, 100] = np.nan
+    scorer = scoring.EnergyScorer()
+    assert scoring.stepped(scorer, 0.0, rows)[0] == [scorer.step(0.0, r)[0] for r in rows]
+
+
 def test_slide_scores():
     x = bursts((3, 6), seconds=12)
     found = scoring.slide_scores(x, scoring.EnergyScorer())
@@ -161,6 +169,19 @@ def test_early_rows_wait_and_late_rows_are_counted():
     assert source.late == 1
 
 
+def test_rows_that_carry_on_are_taken_as_one():
+    x = bursts((0.5, 2), (2.6, 3.4), seconds=5)
+    for cuts in ([0, 900, 4000, 4000, 30_000, len(x)], list(range(0, len(x) + 1, 1000))):
+        rows = [(a, b, b == len(x)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for extra in ([], [(100, 500, False)], [(30_000, 60_000, True)], [(70_000, len(x), False)]):
+            both = sorted(rows + extra, key=lambda r: r[0])
+            scorer = scoring.EnergyScorer()
+            one, all_ = (endpoint.Source(endpoint.Endpointer(CONFIG, scorer.start())) for _ in range(2))
+            want = [e for a, b, last in both for e in one.take(a, x[a:b], last, scorer)] + one.give_up(scorer)
+            got = all_.take_all([r[0] for r in both], [r[1] - r[0] for r in both], [r[2] for r in both], np.concatenate([x[a:b] for a, b, _ in both]), scorer)
+            assert got + all_.give_up(scorer) == want and all_.late == one.late and want
+
+
 def chunks_of(spark):
     rows = []
     for name, x in (("a", bursts((0.5, 2), seconds=3)), ("b", bursts((0.2, 1), seconds=1))):
@@ -182,6 +203,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) == 4
 
 
+def test_endpoints_of_whole_rows_equal_those_of_chunks(spark):
+    chunks = chunks_of(spark)
+    want = endpoint.endpoints(chunks, scoring.EnergyScorer, CONFIG).collect()
+    held = {}
+    for r in sorted(chunks.collect(), key=lambda r: (r.source_id, -r.start_sample)):  # the last chunk first
+        held.setdefault(r.source_id, []).append(r)
+    rows = [(s, [(r.start_sample, len(r.pcm), r.last) for r in rs], [v for r in rs for v in r.pcm]) for s, rs in held.items()] + [("c", [], []), ("d", None, None)]
+    whole = spark.createDataFrame(rows, "source_id string, chunks array<struct<start_sample: bigint, n_samples: int, last: boolean>>, pcm array<float>")
+    assert sorted(endpoint.endpoints(whole, scoring.EnergyScorer, CONFIG).collect()) == sorted(want) and len(want) == 4
+    assert "Exchange" not in QUERIES["live_endpoints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contract(spark):
     names = contract.queries()
     assert set(contract.oracle_sql()) <= set(names) and set(QUERIES) <= set(names)
