@@ -25,38 +25,40 @@ def normal_form(text: str) -> str:
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Insertions, deletions and replacements, in a band around the diagonal that is doubled until it is wide enough."""
-    if len(a) > len(b):
+    """Insertions, deletions and replacements. A column of the table of distances is two numbers of a bit for each row (Myers,
+    Hyyrö): where it rises and where it falls by one."""
+    if len(a) < len(b):
         a, b = b, a
-    if not a:
-        return len(b)
-    codes: dict = {}
-    x = np.array([codes.setdefault(v, len(codes)) for v in a])
-    y = np.array([codes.setdefault(v, len(codes)) for v in b])
-    band = max(8, len(b) - len(a) + 1)
-    while True:
-        found = _banded(x, y, band)
-        if found <= band or band >= len(b):
-            return found
-        band *= 2
-
-
-def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """The distance if no path may leave the band; exact if it is no larger than the band."""
-    far = len(x) + len(y) + 1
-    row = np.where(np.arange(len(y) + 1) <= band, np.arange(len(y) + 1), far)
-    for i in range(1, len(x) + 1):
-        low, high = max(1, i - band), min(len(y), i + band)
-        step = np.minimum(row[low : high + 1] + 1, row[low - 1 : high] + (y[low - 1 : high] != x[i - 1]))
-        first = i if i <= band else far
-        # insertions run along the row: a running minimum of value minus position
-        place = np.arange(low, high + 1)
-        run = np.minimum.accumulate(np.concatenate([[first - (low - 1)], step - place]))[1:] + place
-        row = np.full(len(y) + 1, far)
-        row[low : high + 1] = run
-        if low == 1:
-            row[0] = first
-    return int(row[-1])
+    if not b:
+        return len(a)
+    places: dict = {}
+    for k, v in enumerate(a):
+        places.setdefault(v, []).append(k)
+    masks = {v: _bits(places[v], len(a)) for v in set(b) & places.keys()}
+    every = (1 << len(a)) - 1
+    last = 1 << (len(a) - 1)
+    rises, falls, found = every, 0, len(a)
+    for v in b:
+        same = masks.get(v, 0)
+        carried = (((same & rises) + rises) ^ rises) | same
+        up = falls | ~(carried | rises) & every
+        down = rises & carried
+        if up & last:
+            found += 1
+        elif down & last:
+            found -= 1
+        up = up << 1 & every | 1
+        same |= falls
+        rises = (down << 1 & every) | ~(same | up) & every
+        falls = up & same
+    return found
+
+
+def _bits(places: list[int], n: int) -> int:
+    """The number with a bit at each place."""
+    held = np.zeros(n, dtype=np.uint8)
+    held[places] = 1
+    return int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in COUNTS]))

@@ -1,6 +1,7 @@
 """Error rates by column functions against the ones by dynamic programming."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,3 +32,26 @@ def test_each_word_has_a_character_of_its_own(spark, size):
     coded = spark.range(1).select(evaluate.coded_words(some, words).alias("c"), F.length(evaluate.coded_words(some, words)).alias("n")).first()
     assert coded.n == 4 and len(set(coded.c)) == 4 - (size == 3)
     assert ord(coded.c[-1]) == (0xFF + size + (0x800 if 0xFF + size >= 0xD800 else 0))
+
+
+def test_edit_distance_is_that_of_the_table_of_distances():
+    rng = random.Random(4)
+    for _ in range(1500):
+        n = rng.choice([1, 2, 4, 30])
+        a, b = ([rng.randrange(n) for _ in range(rng.choice([0, 1, 2, 7, 63, 64, 65, 90]))] for _ in range(2))
+        b = a[: rng.randrange(len(a) + 1)] + [9] + a[rng.randrange(len(a) + 1) :] if rng.random() < 0.4 else b
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            after = [i]
+            for j, y in enumerate(b, 1):
+                after.append(min(row[j] + 1, after[-1] + 1, row[j - 1] + (x != y)))
+            row = after
+        assert evaluate.edit_distance(a, b) == row[-1]
+
+
+def test_distance_of_long_texts_takes_no_row_of_numbers_each():
+    rng = random.Random(5)
+    a, b = ([rng.choice("etaoins hr") for _ in range(20_000)] for _ in range(2))
+    began = time.process_time()
+    assert 0 < evaluate.edit_distance(a, b) < 20_000
+    assert time.process_time() - began < 4
