@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,3 +416,18 @@ def test_error_rates(spark):
     found = [(r.wer, r.cer) for r in evaluate.error_rates(df, "r", "h").collect()]
     assert found == [(pytest.approx(1 / 3), pytest.approx(1 / 3)), (0, 0), (1, 1), (0, 0)]
     assert evaluate.normal_form("Ａ  B—c") == "a b c"
+
+
+def test_a_batch_of_ids_takes_few_bytes_a_token(spark):
+    import tracemalloc
+
+    encode = tokens.encode_udf(toy_tokenizer()).func
+    texts = pd.Series(["the rain is here and the others are on the train again " * 20, "", None] * 500)
+    tracemalloc.start()
+    (found,) = encode(iter([texts]))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = sum(len(x) for x in found if x is not None)
+    assert n > 100_000 and held < 7 * n
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts[:3])], "k int, text string").select("k", tokens.encode_udf(toy_tokenizer())("text").alias("t")).orderBy("k").collect()
+    assert [r.t for r in rows] == [found[0].tolist(), [], None]
