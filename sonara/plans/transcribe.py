@@ -1,6 +1,6 @@
 """Batched and sequential transcription around a plug-in model.
 
-Batched: windows of a recording are independent, so they are rows, and an Arrow batch is a batch of the model. Sequential:
+Batched: windows of a recording are independent, so batches of the model are windows of any recordings. Sequential:
 where the next window begins depends on what this one said, so a recording is one task's loop, and recordings run in
 parallel.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,19 +24,17 @@ from sonara.operators.regions import batch_windows, frame_regions, overlap_regio
 from sonara.operators.spectral import CHUNK_FRAMES, chunk_mel, log_mel, mel_window
 from sonara.operators.tokens import MAX_TOKENS, Tokenizer, split_segments
 from sonara.operators.words import Spoken, aligned_words, hand_out, ns
-from sonara.plans.scoring import FrameScorer, SpeechModel, frame_rows, slide_scores
+from sonara.plans.scoring import FrameScorer, SpeechModel, frame_rows, slide_scores, stepped
 from sonara.schema import SAMPLE_RATE, WORD
 
 SEGMENT = f"rec_id bigint, win bigint, seg int, language string, language_probability float, start_ns bigint, end_ns bigint, text string, tokens array<int>, words array<{WORD}>, temperature float, avg_logprob float, compression_ratio float, no_speech_prob float"
 NAMES = [c.split()[0] for c in SEGMENT.split(", ")[:9]] + ["words", "temperature", "avg_logprob", "compression_ratio", "no_speech_prob"]
+#: Segments that a task hands on at a time.
+OUT_SEGMENTS = 200
 
 
 def voice_scores(samples: np.ndarray, scorer: FrameScorer) -> list[float]:
-    state, out = scorer.start(), []
-    for row in frame_rows(samples):
-        score, state = scorer.step(state, row)
-        out.append(score)
-    return out
+    return stepped(scorer, scorer.start(), frame_rows(samples))[0]
 
 
 def speech_windows(samples: np.ndarray, scorer, config: TranscribeConfig, backend: str) -> list[tuple[int, int]]:
@@ -48,14 +47,14 @@ def speech_windows(samples: np.ndarray, scorer, config: TranscribeConfig, backen
 
 
 def batched_plan(recordings: DataFrame, scorer: Callable[[], object], model: Callable[[], SpeechModel], tokenizer_json: str, config: TranscribeConfig = TranscribeConfig(), backend: str = "frames") -> DataFrame:
-    """SEGMENT rows of rows (rec_id, pcm): voice activity, windows, features and decoding, each a step of its own.
+    """SEGMENT rows of rows (rec_id, pcm): voice activity, windows, features and decoding, in one pass; the samples go to Python once.
 
     The first temperature only, no context, no timestamps from the model and no silence gate, as in the published batched
     mode. The language is that of a recording's first window if it isn't given. A recording without windows has no rows.
     """
     rows = recordings.select(F.col("rec_id").cast("bigint").alias("rec_id"), F.col("pcm").cast("array<float>").alias("pcm"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         plug = scorer()
         for batch in batches:
             for rec, pcm in zip(batch["rec_id"], batch["pcm"], strict=True):
@@ -63,19 +62,22 @@ def batched_plan(recordings: DataFrame, scorer: Callable[[], object], model: Cal
                 for k, (a, b) in enumerate(speech_windows(samples, plug, config, backend)):
                     stop = min(b, len(samples))
                     length = stop - a if config.clips else b - a
-                    yield pd.DataFrame({"rec_id": [rec], "win": [k], "offset": [a / SAMPLE_RATE], "duration": [length / SAMPLE_RATE], "pcm": [samples[a : max(a, stop)]]})
-
-    windows = rows.mapInPandas(cut, "rec_id bigint, win bigint, offset double, duration double, pcm array<float>")
+                    yield rec, k, a / SAMPLE_RATE, length / SAMPLE_RATE, samples[a : max(a, stop)]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plug, tokenizer = model(), Tokenizer.from_json(tokenizer_json)
-        progress = None  # windows of a recording come one after another, as they were cut in this task
-        for batch in batches:
-            for at in range(0, len(batch), config.batch_size):
-                found, progress = _decode_batch(batch.iloc[at : at + config.batch_size], plug, tokenizer, config, progress)
-                yield found
+        progress, found = None, []  # windows of a recording come one after another
+        cut = windows(batches)
+        while held := list(islice(cut, config.batch_size)):
+            rows, progress = _decode_windows(pd.DataFrame(held, columns=["rec_id", "win", "offset", "duration", "pcm"]), plug, tokenizer, config, progress)
+            found += rows
+            if len(found) >= OUT_SEGMENTS:
+                yield pd.DataFrame(found, columns=NAMES)
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=NAMES)
 
-    return windows.mapInPandas(decode, SEGMENT)
+    return rows.mapInPandas(run, SEGMENT)
 
 
 @dataclass
@@ -88,6 +90,12 @@ class Progress:
 
 def _decode_batch(batch: pd.DataFrame, model: SpeechModel, tokenizer: Tokenizer, config: TranscribeConfig, progress: Progress | None) -> tuple[pd.DataFrame, Progress]:
     """The batch's segments, and what the windows after it need."""
+    rows, progress = _decode_windows(batch, model, tokenizer, config, progress)
+    return pd.DataFrame(rows, columns=NAMES), progress
+
+
+def _decode_windows(batch: pd.DataFrame, model: SpeechModel, tokenizer: Tokenizer, config: TranscribeConfig, progress: Progress | None) -> tuple[list[tuple], Progress]:
+    """_decode_batch with rows as tuples."""
     mels = [chunk_mel(np.asarray(p, dtype=np.float32), model.n_mels) for p in batch["pcm"]]
     of, first = [], []
     for k, win in enumerate(batch["win"]):
@@ -114,7 +122,7 @@ def _decode_batch(batch: pd.DataFrame, model: SpeechModel, tokenizer: Tokenizer,
             heard.last_speech = hand_out(spoken, words, tokenizer.eot, int(r.offset * 100), config.prepend_punctuations, config.append_punctuations, heard.last_speech)
         logprob = d.score * len(d.tokens) ** config.length_penalty / (len(d.tokens) + 1) if d.tokens else 0.0
         rows += _rows(r.rec_id, r.win, spoken, tokenizer, (lang, probability), temperature, logprob, d.no_speech)
-    return pd.DataFrame(rows, columns=NAMES), progress
+    return rows, progress
 
 
 def _rows(rec: int, win: int, spoken: list[Spoken], tokenizer: Tokenizer, language: tuple, temperature: float, logprob: float, no_speech: float) -> list[tuple]:

@@ -56,3 +56,12 @@ def test_a_recording_is_detected_once(tmp_path, monkeypatch):
     except StopIteration:
         pass
     assert model.detected == [2] and model.prompts == [["en", False]] * 4
+
+
+def test_the_batched_plan_hands_samples_to_python_once(spark):
+    from sonara.catalogue import toy_tokenizer
+    from sonara.plans import scoring, stub
+
+    rows = spark.createDataFrame([(1, [0.0] * 10)], "rec_id bigint, pcm array<float>")
+    plan = transcribe.batched_plan(rows, scoring.EnergyScorer, stub.StubModel, toy_tokenizer())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
