@@ -16,6 +16,8 @@ from sonara.schema import SAMPLE_RATE
 
 FFT, HOP, BINS = 400, 160, 201
 CHUNK_FRAMES = 3000
+#: Frames that are transformed at a time.
+SLAB = 64
 
 
 @cache
@@ -35,9 +37,19 @@ def framed(samples: np.ndarray, extra: int = 0) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, FFT)[::HOP]
 
 
+def _slabs(frames: np.ndarray, shape: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """shape(power) of SLAB frames at a time, so that what lies between stays in the cache; zeros need no transform."""
+    out = []
+    for at in range(0, len(frames), SLAB):
+        part = frames[at : at + SLAB] * hann()
+        silent = shape(np.zeros((1, BINS))).repeat(len(part), axis=0) if not part.any() else None
+        out.append(shape(np.abs(np.fft.rfft(part, axis=1)) ** 2) if silent is None else silent)
+    return out
+
+
 def power_spectrum(samples: np.ndarray, extra: int = 0) -> np.ndarray:
     """(frames, BINS): squared magnitudes."""
-    return np.abs(np.fft.rfft(framed(samples, extra) * hann(), axis=1)) ** 2
+    return np.concatenate([np.zeros((0, BINS)), *_slabs(framed(samples, extra), lambda power: power)])
 
 
 def hz_to_mel(hz: np.ndarray) -> np.ndarray:
@@ -64,8 +76,9 @@ def mel_filters(n_mels: int = 80) -> np.ndarray:
 
 def log_mel(samples: np.ndarray, n_mels: int = 80, extra: int = 0) -> np.ndarray:
     """(frames, n_mels): log10, no more than 8 under the highest value, then (v + 4) / 4. The last frame is left out."""
-    power = power_spectrum(samples, extra)[:-1] if len(samples) else np.zeros((0, BINS))
-    mel = np.log10(np.maximum(power @ mel_filters(n_mels).T, 1e-10))
+    filters = mel_filters(n_mels).T
+    frames = framed(samples, extra)[:-1] if len(samples) else ()
+    mel = np.concatenate([np.zeros((0, n_mels)), *_slabs(frames, lambda power: np.log10(np.maximum(power @ filters, 1e-10)))])
     return ((np.maximum(mel, mel.max() - 8) + 4) / 4).astype(np.float32) if len(mel) else mel.astype(np.float32)
 
 
@@ -138,8 +151,9 @@ def spectral_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndar
     return _grouped(recordings, group, extra).groupBy("rec_id", "group").applyInPandas(run, f"rec_id {kind}, frame bigint, values array<double>")
 
 
-def _rows_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(rec_id, frame, values): shape(samples) of rows (rec_id, pcm), where they lie."""
+def _rows_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> DataFrame:
+    """(rec_id, frame, values): shape(samples) of rows (rec_id, pcm), where they lie; kind is that of the values."""
+    of = np.float32 if kind == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +161,12 @@ def _rows_frames(recordings: DataFrame, shape: Callable[[np.ndarray], np.ndarray
                 pcm = batch.column(1)[k]
                 values = shape(pcm.values.to_numpy(zero_copy_only=False)) if pcm.is_valid and len(pcm.values) else ()
                 for at in range(0, len(values), 1000):
-                    part = values[at : at + 1000].astype(np.float64)
+                    part = values[at : at + 1000].astype(of)
                     lists = pa.ListArray.from_arrays(pa.array(range(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
-                    rec = pa.array([batch.column(0)[k].as_py()] * len(part), batch.schema.field(0).type)
+                    rec = batch.column(0).take(pa.array(np.full(len(part), k)))
                     yield pa.RecordBatch.from_pydict({"rec_id": rec, "frame": pa.array(range(at, at + len(part)), pa.int64()), "values": lists})
 
-    return recordings.select("rec_id", F.col("pcm").cast("array<float>")).mapInArrow(run, f"rec_id {dict(recordings.dtypes)['rec_id']}, frame bigint, values array<double>")
+    return recordings.select("rec_id", F.col("pcm").cast("array<float>")).mapInArrow(run, f"rec_id {dict(recordings.dtypes)['rec_id']}, frame bigint, values array<{kind}>")
 
 
 def mel_frames(recordings: DataFrame, n_mels: int = 80, group: int = GROUP, extra: int = 0, values: str = "float") -> DataFrame:
@@ -163,7 +177,7 @@ def mel_frames(recordings: DataFrame, n_mels: int = 80, group: int = GROUP, extr
     start_sample each row is a recording of its own, and nothing moves.
     """
     if "start_sample" not in recordings.columns:
-        whole = _rows_frames(recordings, lambda x: log_mel(x, n_mels, extra))
+        whole = _rows_frames(recordings, lambda x: log_mel(x, n_mels, extra), "float")  # as log_mel gives them
         return whole.select("rec_id", "frame", F.col("values").cast(f"array<{values}>").alias("mel"))
 
     def bands(power: np.ndarray) -> np.ndarray:

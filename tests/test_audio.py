@@ -153,3 +153,15 @@ def test_mel_of_events_equals_its_sql(spark, sf):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     want = sorted(con.sql(ORACLE_SQL["mel_of_events"]).fetchall())
     assert want and sorted(tuple(r) for r in QUERIES["mel_of_events"](spark, sf).collect()) == want
+
+
+def test_silence_is_not_transformed(monkeypatch):
+    loud = RNG.normal(0, 0.2, 8000).astype(np.float32)
+    x = np.concatenate([np.zeros(60_000, dtype=np.float32), loud, np.zeros(60_000, dtype=np.float32)])
+    power = np.abs(np.fft.rfft(spectral.framed(x) * spectral.hann(), axis=1)) ** 2
+    levels = np.log10(np.maximum(power[:-1] @ spectral.mel_filters().T, 1e-10))
+    seen, rfft = [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda a, axis: seen.append(len(a)) or rfft(a, axis=axis))
+    assert np.array_equal(spectral.power_spectrum(x), power)
+    assert np.allclose(spectral.log_mel(x), (np.maximum(levels, levels.max() - 8) + 4) / 4, atol=1e-6)
+    assert 0 < sum(seen) < len(power) / 2
